@@ -11,7 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tagloom.functions.lets import let
 from tagloom.functions.patterns import (
+    ARROW_BRACED,
     EMPTY_EXPRESSION,
     ENTITIES,
     EXPRESSION_KINDS,
@@ -19,6 +21,7 @@ from tagloom.functions.patterns import (
     NAME,
     NAMED_EXPRESSION_KINDS,
     OTHER_EXPRESSION,
+    SIMPLE_BRACED,
 )
 
 _BLANKS = " \t\r\n"
@@ -106,64 +109,98 @@ def flat_statement(statement: Column) -> Column:
     return F.replace(joined, F.lit("\n  "), F.lit(" "))
 
 
+def _tag_body(tag: Column, name: Column) -> Column:
+    end = F.when(F.endswith(tag, F.lit("/>")), 2).otherwise(1)
+    return F.substring(tag, F.length(name) + 2, F.length(tag) - F.length(name) - 1 - end)
+
+
+def attribute_names(tag: Column, name: Column) -> Column:
+    """Attribute names of an opening tag in text order; a spread gives an empty name."""
+    return F.regexp_extract_all(_tag_body(tag, name), F.lit(JAVA.attribute_parts), F.lit(1))
+
+
+def attribute_values(tag: Column, name: Column) -> Column:
+    """Attribute values of an opening tag, in step with :func:`attribute_names`."""
+    sources = F.regexp_extract_all(_tag_body(tag, name), F.lit(JAVA.attribute_parts), F.lit(2))
+    return F.transform(
+        sources,
+        lambda s: F.when(s == "", "true").when(F.startswith(s, F.lit("{")), braced_value(s)).otherwise(quoted_value(s)),
+    )
+
+
+def props_from(names: Column, values: Column) -> Column:
+    """Names and values as MAP<STRING,STRING>: no spreads, no empty values, last one wins.
+
+    Both columns are used several times and should be plain columns.
+    """
+    clean = ~F.array_contains(names, "") & ~F.array_contains(values, "")
+    unique = F.size(F.array_distinct(names)) == F.size(names)
+
+    def kept(pairs: Column) -> Column:
+        full = F.filter(pairs, lambda p: (p["n"] != "") & (p["v"] != ""))
+        return let(
+            full,
+            lambda k: F.map_from_entries(
+                F.filter(k, lambda p, i: F.size(k) - F.array_position(F.reverse(k["n"]), p["n"]) == i)
+            ),
+        )
+
+    return F.when(clean & unique, F.map_from_arrays(names, values)).otherwise(
+        kept(F.arrays_zip(names.alias("n"), values.alias("v")))
+    )
+
+
 def attribute_list(tag: Column, name: Column) -> Column:
     """Attributes of an opening tag in text order.
 
     ARRAY<STRUCT<name, value, kind, raw>>; ``kind`` is shorthand, text, expr or
     spread, and a spread has neither name nor value.
     """
-    end = F.when(F.endswith(tag, F.lit("/>")), 2).otherwise(1)
-    body = F.substring(tag, F.length(name) + 2, F.length(tag) - F.length(name) - 1 - end)
     parts = F.transform(
-        extract_all(body, JAVA.attribute),
+        extract_all(_tag_body(tag, name), JAVA.attribute),
         lambda raw: F.struct(
             raw.alias("raw"),
-            F.startswith(raw, F.lit("{")).alias("spread"),
-            F.regexp_extract(raw, r"^[^\s=]+", 0).alias("name"),
+            F.btrim(F.substring_index(raw, "=", 1), F.lit(_BLANKS)).alias("name"),
             F.when(
                 F.contains(raw, F.lit("=")),
                 F.btrim(F.substring(raw, F.instr(raw, "=") + 1, F.length(raw)), F.lit(_BLANKS)),
             ).alias("source"),
         ),
     )
-    parts = F.transform(
-        parts,
-        lambda p: F.struct(
-            p.raw.alias("raw"),
-            p.spread.alias("spread"),
-            p["name"].alias("name"),
-            p.source.alias("source"),
-            F.substring(p.source, F.lit(1), F.lit(1)).alias("mark"),
-            F.btrim(F.substring(p.source, F.lit(2), F.length(p.source) - 2), F.lit(_BLANKS)).alias("inside"),
-        ),
-    )
-    return F.transform(
-        parts,
-        lambda p: F.struct(
-            F.when(~p.spread, p["name"]).alias("name"),
-            F.when(~p.spread, attribute_value(p.source, p.mark, p.inside)).alias("value"),
-            F.when(p.spread, "spread")
-            .when(p.source.isNull(), "shorthand")
-            .when(p.mark == "{", "expr")
+
+    def finished(p: Column) -> Column:
+        spread = F.startswith(p["raw"], F.lit("{"))
+        braced = F.startswith(p["source"], F.lit("{"))
+        return F.struct(
+            F.when(~spread, p["name"]).alias("name"),
+            F.when(spread, None)
+            .when(p["source"].isNull(), "true")
+            .when(braced, braced_value(p["source"]))
+            .otherwise(quoted_value(p["source"]))
+            .alias("value"),
+            F.when(spread, "spread")
+            .when(p["source"].isNull(), "shorthand")
+            .when(braced, "expr")
             .otherwise("text")
             .alias("kind"),
-            p.raw.alias("raw"),
-        ),
-    )
+            p["raw"].alias("raw"),
+        )
 
+    return F.transform(parts, finished)
 
-def attribute_value(source: Column, mark: Column, inside: Column) -> Column:
-    """The text form of an attribute value; a missing value is ``true``.
 
-    ``mark`` is the first character of the value, ``inside`` what its quotes or
-    braces enclose, trimmed.
-    """
-    return (
-        F.when(source.isNull(), F.lit("true"))
-        .when(mark == "{", expression_value(inside))
-        .when(mark.isin('"', "'"), decode_entities(F.substring(source, F.lit(2), F.length(source) - 2)))
-        .otherwise(source)
-    )
+def quoted_value(source: Column) -> Column:
+    """What the quotes of a value enclose; a bare word as it is."""
+    quote = F.startswith(source, F.lit('"')) | F.startswith(source, F.lit("'"))
+    return F.when(quote, decode_entities(F.substring(source, F.lit(2), F.length(source) - 2))).otherwise(source)
+
+
+def braced_value(source: Column) -> Column:
+    """The text form of a value in braces."""
+    simple = F.when(~F.contains(source, F.lit("this")), F.nullif(F.regexp_extract(source, SIMPLE_BRACED, 1), F.lit("")))
+    arrow = F.when(source.rlike(ARROW_BRACED), F.lit("ArrowFunctionExpression"))
+    inside = F.btrim(F.substring(source, F.lit(2), F.length(source) - 2), F.lit(_BLANKS))
+    return F.coalesce(simple, arrow, let(inside, expression_value))
 
 
 def decode_entities(text: Column) -> Column:
@@ -176,11 +213,16 @@ def decode_entities(text: Column) -> Column:
 
 def expression_value(expression: Column) -> Column:
     """Literals, names and members as text, any other expression as its kind."""
-    start = F.substring(expression, 1, 1)
-    branches = F.when(start == "", EMPTY_EXPRESSION)
-    for starts, kinds in EXPRESSION_KINDS:
-        branches = branches.when(start.isin(list(starts)), _by_pattern(expression, kinds))
-    return branches.otherwise(_by_pattern(expression, NAMED_EXPRESSION_KINDS))
+    pairs = [(c, number) for number, (starts, _) in enumerate(EXPRESSION_KINDS) for c in starts]
+    by_start = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+
+    def by_group(group: Column) -> Column:
+        branches = F.when(group.isNull(), _by_pattern(expression, NAMED_EXPRESSION_KINDS))
+        for number, (_, kinds) in enumerate(EXPRESSION_KINDS):
+            branches = branches.when(group == number, _by_pattern(expression, kinds))
+        return branches
+
+    return F.when(expression == "", EMPTY_EXPRESSION).otherwise(let(by_start[F.substring(expression, 1, 1)], by_group))
 
 
 def _by_pattern(expression: Column, kinds: list[tuple[str, str]]) -> Column:
@@ -198,69 +240,48 @@ def _by_pattern(expression: Column, kinds: list[tuple[str, str]]) -> Column:
 
 def props_of(attributes: Column) -> Column:
     """Attributes as MAP<STRING,STRING>: no spreads, no empty values, last one wins."""
-    kept = F.filter(attributes, lambda a: (a.kind != "spread") & (a.value != ""))
-    # one-element transform: ``kept`` is computed once and then referred to
-    return F.get(
-        F.transform(
-            F.array(kept),
-            lambda k: F.map_from_entries(
-                F.transform(
-                    F.filter(
-                        k,
-                        lambda a, i: F.size(k) - F.array_position(F.reverse(k["name"]), a["name"]) == i,
-                    ),
-                    lambda a: F.struct(a["name"].alias("key"), a["value"].alias("value")),
-                )
-            ),
-        ),
-        0,
-    )
+    kept = F.filter(attributes, lambda a: (a["kind"] != "spread") & (a["value"] != ""))
+
+    def last_of_each(k: Column) -> Column:
+        # of two attributes with one name the later one stays
+        return F.when(F.size(F.array_distinct(k["name"])) == F.size(k), k).otherwise(
+            F.filter(k, lambda a, i: F.size(k) - F.array_position(F.reverse(k["name"]), a["name"]) == i)
+        )
+
+    def as_map(k: Column) -> Column:
+        return F.map_from_arrays(k["name"], k["value"])
+
+    return let(kept, lambda k: let(last_of_each(k), as_map))
 
 
 def tag_tokens(code: Column) -> Column:
-    """Tag and comment tokens of a text: ARRAY<STRUCT<raw, kind, name>>.
+    """Tag and comment tokens of a text: ARRAY<STRUCT<raw, kind, name, pos>>.
 
-    ``kind`` is open, self (self-closing), close or comment.
+    ``kind`` is open, self (self-closing), close or comment; ``pos`` is the
+    index among all tokens.
     """
     return F.transform(
         extract_all(code, JAVA.token),
-        lambda t: F.struct(
+        lambda t, i: F.struct(
             t.alias("raw"),
             F.when(t.rlike(r"^<[A-Za-z_$]"), F.when(F.endswith(t, F.lit("/>")), "self").otherwise("open"))
             .when(F.startswith(t, F.lit("</")), "close")
             .otherwise("comment")
             .alias("kind"),
             F.regexp_extract(t, "^</?(" + NAME + ")", 1).alias("name"),
+            i.alias("pos"),
         ),
     )
 
 
-def elements(tokens: Column, target: str | None = None) -> Column:
-    """Elements among the tokens: ARRAY<STRUCT<pos, name, attrs, props>>.
+def opening_tags(tokens: Column, target: str | None = None) -> Column:
+    """The tokens that open an element, of one name when a target is given."""
 
-    ``pos`` is the index of the opening tag among all tokens of the text.
-    """
-    indexed = F.transform(
-        tokens,
-        lambda t, i: F.struct(i.alias("pos"), t.raw.alias("raw"), t.kind.alias("kind"), t["name"].alias("name")),
-    )
+    def opens(t: Column) -> Column:
+        tag = t["kind"].isin("open", "self")
+        return tag & (t["name"] == target) if target else tag
 
-    def is_element(t: Column) -> Column:
-        opens = t.kind.isin("open", "self")
-        return opens & (t["name"] == target) if target else opens
-
-    with_attrs = F.transform(
-        F.filter(indexed, is_element),
-        lambda t: F.struct(
-            t.pos.alias("pos"), t["name"].alias("name"), attribute_list(t.raw, t["name"]).alias("attrs")
-        ),
-    )
-    return F.transform(
-        with_attrs,
-        lambda t: F.struct(
-            t.pos.alias("pos"), t["name"].alias("name"), t.attrs.alias("attrs"), props_of(t.attrs).alias("props")
-        ),
-    )
+    return F.filter(tokens, opens)
 
 
 def gaps(code: Column) -> Column:

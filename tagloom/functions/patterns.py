@@ -23,6 +23,7 @@ class Patterns:
     """The patterns of one regex dialect."""
 
     attribute: str
+    attribute_parts: str  # the same with groups: 1 name, 2 value source; a spread has neither
     opening_tag: str
     token: str
     import_statement: str
@@ -36,7 +37,9 @@ def build_patterns(possessive: bool) -> Patterns:
         inner = r"[^{}]" + many + r"(?:\{" + inner + r"\}[^{}]" + many + ")" + many
     braces = r"\{" + inner + r"\}"
     value = r'"[^"]*"|\'[^\']*\'|' + braces + r"|[^\s\"'{}<>=`]+"
-    attribute = r"[A-Za-z_$@:][A-Za-z0-9_$@:.-]*(?:\s*=\s*(?:" + value + "))?|" + braces
+    name = r"[A-Za-z_$@:][A-Za-z0-9_$@:.-]*"
+    attribute = name + r"(?:\s*=\s*(?:" + value + "))?|" + braces
+    parts = "(" + name + r")(?:\s*=\s*(" + value + "))?|" + braces
     opening = "<" + NAME + r"(?:\s+(?:" + attribute + "))" + many + r"\s*/?>"
     closing = "</" + NAME + r"\s*>"
     comment = r"/\*[\s\S]*?\*/|<!--[\s\S]*?-->|(?:^|\n)[ \t]*//[^\n]*"
@@ -44,7 +47,7 @@ def build_patterns(possessive: bool) -> Patterns:
     statement = (
         r"(?:^|\n)[ \t]*import\s+" + clause + r"\s*from\s*(?:\"[^\"\n]+\"|'[^'\n]+')[ \t]*;?"
     )
-    return Patterns(attribute, opening, "|".join([opening, closing, comment]), statement)
+    return Patterns(attribute, parts, opening, "|".join([opening, closing, comment]), statement)
 
 
 JAVA = build_patterns(possessive=True)
@@ -84,6 +87,9 @@ NAMED_EXPRESSION_KINDS: list[tuple[str, str]] = [
     (r"^" + _CHAIN + r"\?\." + IDENT + r"$", "OptionalMemberExpression"),
     (r"^(?:async\s+)?function\b", "FunctionExpression"),
 ]
+# The most frequent braced values, recognised with their braces in one step.
+SIMPLE_BRACED = r"^\{\s*(" + IDENT + r"(?:\." + IDENT + r")?|0|[1-9][0-9]*)\s*\}$"
+ARROW_BRACED = r"^\{\s*(?:async\s+)?(?:\([^()]*\)|" + IDENT + r")\s*=>"
 EMPTY_EXPRESSION = "JSXEmptyExpression"
 OTHER_EXPRESSION = "Expression"
 

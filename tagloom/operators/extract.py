@@ -39,19 +39,42 @@ def import_rows(
 
 def element_rows(files: DataFrame, target: str | None = None, text: str = "code") -> DataFrame:
     """One row per element with a simple name: pos, component, attrs, props and the other columns."""
-    others = [c for c in files.columns if c != text]
-    rows = each(files, markup.elements(markup.tag_tokens(F.col(text)), target), "e")
-    return rows.select(
-        *others, F.col("e.pos"), F.col("e.name").alias("component"), F.col("e.attrs"), F.col("e.props")
+    others = [F.col(c) for c in files.columns if c != text]
+    rows = each(files, markup.opening_tags(markup.tag_tokens(F.col(text)), target), "t")
+    return _with_props(rows, *others, F.col("t.pos").alias("pos"), F.col("t.name").alias("component"))
+
+
+def _with_props(rows: DataFrame, *columns: Column) -> DataFrame:
+    """Read the attributes of tag ``t``, row by row after the tags were spread out.
+
+    ``attrs`` and ``props`` are read independently, so that a query which needs
+    only the props never builds the attribute list.
+    """
+    raw, name = F.col("t.raw"), F.col("t.name")
+    read = rows.select(
+        *columns,
+        raw.alias("_raw"),
+        name.alias("_name"),
+        markup.attribute_names(raw, name).alias("_names"),
+        markup.attribute_values(raw, name).alias("_values"),
+    )
+    return read.select(
+        *[c for c in read.columns if not c.startswith("_")],
+        markup.attribute_list(F.col("_raw"), F.col("_name")).alias("attrs"),
+        markup.props_from(F.col("_names"), F.col("_values")).alias("props"),
     )
 
 
-def _located_elements(code: Column, target: str | None) -> Column:
+def _located_tags(code: Column, target: str | None) -> Column:
     def build(tokens: Column) -> Column:
         return let(
             markup.token_locations(tokens, markup.gaps(code)),
             lambda places: F.transform(
-                markup.elements(tokens, target), lambda e: F.struct(e.alias("e"), F.get(places, e["pos"]).alias("at"))
+                markup.opening_tags(tokens, target),
+                lambda t: F.struct(
+                    t["raw"].alias("raw"), t["name"].alias("name"), t["pos"].alias("pos"),
+                    F.get(places, t["pos"]).alias("at"),
+                ),
             ),
         )
 
@@ -70,35 +93,30 @@ def usages(
     An element belongs to the file's first import (best-ranked package, then
     text order); a file without such an import contributes nothing.  With
     ``locate`` each usage also gets its line, column and
-    ``relpath:line:column`` identity.
+    ``relpath:line:column`` identity.  ``component`` is the name in the tag,
+    ``resolved`` the exported component behind the import; rules go by that.
     """
     code = F.col("code")
     chosen = mentioning(files, packages).select(
         "file_path", "code", markup.first_import(markup.import_specifiers(code), packages, target).alias("import")
     )
-    if locate:
-        array = _located_elements(code, target)
-    else:
-        array = F.transform(
-            markup.elements(markup.tag_tokens(code), target), lambda e: F.struct(e.alias("e"))
-        )
-    rows = each(chosen, F.when(F.col("import").isNotNull(), array), "u")
+    tags = _located_tags(code, target) if locate else markup.opening_tags(markup.tag_tokens(code), target)
+    rows = each(chosen, F.when(F.col("import").isNotNull(), tags), "t")
     rel = relative_path(F.col("file_path"), root)
     columns = [
         F.col("file_path"),
         rel.alias("rel_path"),
         F.col("import.package").alias("package"),
-        F.col("u.e.name").alias("component"),
+        F.col("t.name").alias("component"),
         F.col("import.local_name").alias("local_name"),
-        F.col("u.e.pos").alias("pos"),
-        F.col("u.e.props").alias("props"),
-        F.col("u.e.attrs").alias("attrs"),
+        markup.component_name(F.col("import")).alias("resolved"),
+        F.col("t.pos").alias("pos"),
         F.col("import"),
     ]
     if locate:
-        place = F.concat_ws(":", rel, F.col("u.at.line"), F.col("u.at.column"))
-        columns += [F.col("u.at.line").alias("line"), F.col("u.at.column").alias("column"), place.alias("usage_id")]
-    return rows.select(*columns)
+        place = F.concat_ws(":", rel, F.col("t.at.line"), F.col("t.at.column"))
+        columns += [F.col("t.at.line").alias("line"), F.col("t.at.column").alias("column"), place.alias("usage_id")]
+    return _with_props(rows, *columns)
 
 
 def event_usages(events: DataFrame, file: str, component: str, props: str, package: str) -> DataFrame:
@@ -115,7 +133,8 @@ def prop_rows(used: DataFrame, ignored: bool = False) -> DataFrame:
     """One row per usage and prop; ignored props only on request."""
     others = [c for c in used.columns if c not in ("props", "attrs", "import")]
     props = F.col("props") if ignored else reportable(F.col("props"))
-    return used.select(*others, F.explode(props).alias("prop", "value"))
+    # outer, then filtered: see ``rows.each``
+    return used.select(*others, F.explode_outer(props).alias("prop", "value")).filter(F.col("prop").isNotNull())
 
 
 def elements_of_files(located: DataFrame, selected: DataFrame) -> DataFrame:

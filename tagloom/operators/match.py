@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.matching import clause_holds, first_rule, rules_of, term_holds
@@ -26,14 +26,19 @@ def match_rules(
     constant = inline_rules(rules, mode, limit)
     if constant is None:
         return match_by_anchor(used, rules, mode, keep_unmatched)
-    own = rules_of(constant, F.col("package"), F.col("component"))
+    own = rules_of(constant, F.col("package"), ruled_component(used))
     rule = F.array(first_rule(own, F.col("props")))
     if keep_unmatched:
         return used.select("*", F.explode_outer(rule).alias("rule"))
     return each(used, rule, "rule")
 
 
-def rule_rank(mode: str):
+def ruled_component(used: DataFrame) -> Column:
+    """The component whose rules apply: the exported one where the table knows it."""
+    return F.col("resolved") if "resolved" in used.columns else F.col("component")
+
+
+def rule_rank(mode: str) -> Column:
     """Struct column that orders the rules of a component."""
     if mode == "most_specific":
         return F.struct((-F.col("specificity")).alias("a"), F.col("rule_pos").alias("b"))
@@ -42,117 +47,117 @@ def rule_rank(mode: str):
 
 def distinct_prop_sets(used: DataFrame) -> DataFrame:
     """Distinct (package, component, props) with the number of usages: what matching depends on."""
-    keyed = used.select("package", "component", prop_key(F.col("props")).alias("full_key"))
+    keyed = used.select("package", ruled_component(used).alias("component"), prop_key(F.col("props")).alias("full_key"))
     return keyed.groupBy("package", "component", "full_key").agg(F.count("*").alias("n"))
 
 
 def match_by_anchor(
     used: DataFrame, rules: DataFrame, mode: str = "first_match", keep_unmatched: bool = False
 ) -> DataFrame:
-    """Matching for rule tables of any size: equi-joins on one term per clause.
+    """Matching for rule tables of any size: one equi-join on one term per clause.
 
     Distinct prop sets are matched, not usages.  Every clause with terms is
     filed under its first term, so a prop set meets only the clauses whose
     first term it satisfies and each of those is then tested in full.  Of the
     rules that need no term only the best one per component can ever win, so
-    those join on package and component with one row each; rules with only
-    excluded terms join the same way, tested one by one.
+    that one is kept; rules with only excluded terms are tested one by one.
     """
-    sets = distinct_prop_sets(used)
-    ranked = rules.withColumn("rank", rule_rank(mode))
-    hits = _anchored_hits(sets, ranked).unionByName(_open_hits(sets, ranked))
-    best = hits.groupBy("package", "component", "full_key").agg(F.min_by("rule_pos", "rank").alias("rule_pos"))
+    best = best_rules(distinct_prop_sets(used), rules, mode)
     bodies = rules.select("package", "component", "rule_pos", F.struct(*rules.columns).alias("rule"))
-    chosen = best.join(bodies, ["package", "component", "rule_pos"]).drop("rule_pos")
-    keyed = used.withColumn("full_key", prop_key(F.col("props")))
+    chosen = best.join(bodies, ["package", "component", "rule_pos"]).select(
+        "package", F.col("component").alias("_ruled"), "full_key", "rule"
+    )
+    keyed = used.withColumn("full_key", prop_key(F.col("props"))).withColumn("_ruled", ruled_component(used))
     how = "left" if keep_unmatched else "inner"
-    return keyed.join(chosen, ["package", "component", "full_key"], how).drop("full_key").select(*used.columns, "rule")
+    return keyed.join(chosen, ["package", "_ruled", "full_key"], how).select(*used.columns, "rule")
+
+
+_TERM_KEYS = ["package", "component", "anchor_kind", "anchor_key", "anchor_value"]
+
 
+def _anchor(kind: str, key: Column, value: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), key.alias("key"), value.alias("value"))
 
-def _anchored_hits(sets: DataFrame, ranked: DataFrame) -> DataFrame:
-    clauses = ranked.select("package", "component", "rule_pos", "rank", "none_of", F.explode("any_of").alias("clause"))
-    clauses = clauses.filter(F.size("clause") > 0)
-    anchor = F.get("clause", 0)
-    clauses = clauses.select(
-        "*", anchor["key"].alias("anchor_key"), anchor["value"].isNull().alias("by_presence"),
-        F.coalesce(anchor["value"], F.lit("")).alias("anchor_value"),
+
+def _set_anchors(sets: DataFrame) -> DataFrame:
+    """Prop sets spread over what a clause can be filed under: each prop by value, by name, and nothing."""
+    none = F.lit("")
+    anchors = F.concat(
+        F.transform("full_key", lambda e: _anchor("value", e["key"], e["value"])),
+        F.transform("full_key", lambda e: _anchor("presence", e["key"], none)),
+        F.array(_anchor("open", none, none)),
     )
-    entries = sets.select("package", "component", "full_key", F.explode("full_key").alias("e"))
-    by_value = entries.select("package", "component", "full_key", F.col("e.key").alias("anchor_key"),
-                              F.lit(False).alias("by_presence"), F.col("e.value").alias("anchor_value"))
-    by_presence = entries.select("package", "component", "full_key", F.col("e.key").alias("anchor_key"),
-                                 F.lit(True).alias("by_presence"), F.lit("").alias("anchor_value"))
-    keys = ["package", "component", "anchor_key", "by_presence", "anchor_value"]
-    props = F.map_from_entries("full_key")
-    return (
-        by_value.unionByName(by_presence)
-        .join(clauses, keys)
-        .filter(clause_holds(F.col("clause"), props) & ~F.exists("none_of", lambda t: term_holds(t, props)))
-        .select("package", "component", "full_key", "rule_pos", "rank")
+    return sets.select("*", F.explode(anchors).alias("_a")).select(
+        *sets.columns,
+        F.col("_a.kind").alias("anchor_kind"), F.col("_a.key").alias("anchor_key"), F.col("_a.value").alias("anchor_value"),
     )
 
 
-def _open_hits(sets: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Rules with an empty clause or without positive clauses."""
-    no_term = (F.size("any_of") == 0) | F.exists("any_of", lambda c: F.size(c) == 0)
-    free = ranked.filter(no_term)
-    always = (
-        free.filter(F.size("none_of") == 0)
-        .groupBy("package", "component")
-        .agg(F.min_by("rule_pos", "rank").alias("rule_pos"), F.min("rank").alias("rank"))
+def _anchor_columns(term: Column) -> list[Column]:
+    """Where a clause with the given term (null for none) is filed."""
+    return [
+        F.when(term.isNull(), "open").when(term["value"].isNull(), "presence").otherwise("value").alias("anchor_kind"),
+        F.coalesce(term["key"], F.lit("")).alias("anchor_key"),
+        F.coalesce(term["value"], F.lit("")).alias("anchor_value"),
+    ]
+
+
+def _clauses(rules: DataFrame, mode: str) -> DataFrame:
+    """One row per clause; rules without clauses get an empty one.
+
+    Of the clauses that always hold only those of the best rule per component
+    are kept.
+    """
+    empty = F.array(F.array().cast("array<struct<key:string,value:string>>"))
+    rows = rules.select(
+        "package", "component", "rule_pos", rule_rank(mode).alias("rank"), "none_of",
+        F.posexplode(F.when(F.size("any_of") == 0, empty).otherwise(F.col("any_of"))).alias("clause_pos", "clause"),
     )
-    catch_all = sets.join(always, ["package", "component"]).select("package", "component", "full_key", "rule_pos", "rank")
-    excluded = free.filter(F.size("none_of") > 0).select("package", "component", "rule_pos", "rank", "none_of")
+    always = (F.size("clause") == 0) & (F.size("none_of") == 0)
+    best = Window.partitionBy("package", "component", always)
+    return rows.withColumn("_best", F.min("rank").over(best)).filter(~always | (F.col("rank") == F.col("_best"))).drop("_best")
+
+
+def best_rules(sets: DataFrame, rules: DataFrame, mode: str = "first_match") -> DataFrame:
+    """(package, component, full_key, n, rule_pos) of the prop sets that match a rule."""
+    filed = _clauses(rules, mode).select("*", *_anchor_columns(F.get("clause", 0)))
     props = F.map_from_entries("full_key")
-    negative = (
-        sets.join(excluded, ["package", "component"])
-        .filter(~F.exists("none_of", lambda t: term_holds(t, props)))
-        .select("package", "component", "full_key", "rule_pos", "rank")
+    return (
+        _set_anchors(sets)
+        .join(filed, _TERM_KEYS)
+        .filter(clause_holds(F.col("clause"), props) & ~F.exists("none_of", lambda t: term_holds(t, props)))
+        .groupBy("package", "component", "full_key", "n")
+        .agg(F.min_by("rule_pos", "rank").alias("rule_pos"))
     )
-    return catch_all.unionByName(negative)
 
 
 def match_by_division(used: DataFrame, rules: DataFrame, mode: str = "first_match") -> DataFrame:
     """The same result by relational division: the cross-check of the other plans.
 
-    Props and clause terms meet on package, component and prop name; a clause
-    holds when as many of its terms hold as it has.  Gives (package, component,
-    props, n, rule_pos) per distinct prop set with a match.
+    Props and clause terms meet term by term; a clause holds when as many of
+    its terms hold as it has.  Gives (package, component, props, n, rule_pos)
+    per distinct prop set with a match.
     """
-    sets = distinct_prop_sets(used)
-    ranked = rules.withColumn("rank", rule_rank(mode))
-    clauses = ranked.select(
-        "package", "component", "rule_pos", "rank", "none_of", F.posexplode("any_of").alias("clause_pos", "clause")
-    )
-    terms = clauses.filter(F.size("clause") > 0).select(
-        "package", "component", "rule_pos", "rank", "none_of", "clause_pos", F.size("clause").alias("n_terms"),
-        F.explode("clause").alias("t"),
-    ).select("*", F.col("t.key").alias("prop"), F.col("t.value").alias("wanted")).drop("t")
-    entries = sets.select("package", "component", "full_key", F.explode("full_key").alias("e")).select(
-        "package", "component", "full_key", F.col("e.key").alias("prop"), F.col("e.value").alias("value")
+    terms = _clauses(rules, mode).withColumn("n_terms", F.greatest(F.size("clause"), F.lit(1))).select(
+        "*", F.explode_outer("clause").alias("_t")
     )
+    filed = terms.select("package", "component", "rule_pos", "rank", "none_of", "clause_pos", "n_terms",
+                         *_anchor_columns(F.col("_t")))
     props = F.map_from_entries("full_key")
-    divided = (
-        entries.join(terms, ["package", "component", "prop"])
-        .filter(F.col("wanted").isNull() | (F.col("wanted") == F.col("value")))
-        .groupBy("package", "component", "full_key", "rule_pos", "clause_pos")
-        .agg(F.count("*").alias("n_hit"), F.any_value("n_terms").alias("n_terms"),
-             F.any_value("rank").alias("rank"), F.any_value("none_of").alias("none_of"))
-        .filter(F.col("n_hit") == F.col("n_terms"))
-        .filter(~F.exists("none_of", lambda t: term_holds(t, props)))
-        .select("package", "component", "full_key", "rule_pos", "rank")
-    )
-    best = (
-        divided.unionByName(_open_hits(sets, ranked))
-        .groupBy("package", "component", "full_key")
+    return (
+        _set_anchors(distinct_prop_sets(used))
+        .join(filed, _TERM_KEYS)
+        .groupBy("package", "component", "full_key", "n", "rule_pos", "clause_pos", "n_terms", "rank", "none_of")
+        .agg(F.count("*").alias("n_hit"))
+        .filter((F.col("n_hit") == F.col("n_terms")) & ~F.exists("none_of", lambda t: term_holds(t, props)))
+        .groupBy("package", "component", "full_key", "n")
         .agg(F.min_by("rule_pos", "rank").alias("rule_pos"))
-    )
-    return sets.join(best, ["package", "component", "full_key"]).select(
-        "package", "component", F.map_from_entries("full_key").alias("props"), "n", "rule_pos"
+        .select("package", "component", props.alias("props"), "n", "rule_pos")
     )
 
 
 def without_rules(used: DataFrame, rules: DataFrame) -> DataFrame:
     """Usages whose package and component have no rules at all."""
-    return used.join(rules.select("package", "component").distinct(), ["package", "component"], "left_anti")
-
+    known = rules.select("package", F.col("component").alias("_ruled")).distinct()
+    ruled = used.withColumn("_ruled", ruled_component(used))
+    return ruled.join(known, ["package", "_ruled"], "left_anti").select(*used.columns)

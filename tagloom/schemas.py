@@ -11,7 +11,7 @@ ATTRIBUTES = "array<struct<name:string,value:string,kind:string,raw:string>>"
 
 USAGES = (
     "file_path string, rel_path string, package string, component string, "
-    f"local_name string, pos int, props map<string,string>, attrs {ATTRIBUTES}, import {SPECIFIER}"
+    f"local_name string, resolved string, pos int, props map<string,string>, attrs {ATTRIBUTES}, import {SPECIFIER}"
 )
 
 # The rule document as it is written by hand or by the rule sink.  Match and
