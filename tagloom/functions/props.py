@@ -80,9 +80,9 @@ def render_attributes(attributes: Column) -> Column:
     return F.concat_ws("", F.transform(attributes, lambda a: F.concat(F.lit(" "), a["raw"])))
 
 
-def wide_columns(props: Column, keys: Sequence[str], absent: str = "-") -> list[Column]:
+def wide_columns(props: Column, keys: Sequence[str], prefix: str = "", absent: str = "-") -> list[Column]:
     """One column per key, absent ones filled: a pivot without a shuffle."""
-    return [F.coalesce(props[k], F.lit(absent)).alias(k) for k in keys]
+    return [F.coalesce(props[k], F.lit(absent)).alias(prefix + k) for k in keys]
 
 
 def table_cell(text: Column, width: int = 16) -> Column:

@@ -127,13 +127,14 @@ def column_keys(used: DataFrame, limit: int = MAX_COLUMNS) -> list[str]:
     return [r["prop"] for r in rows]
 
 
-def wide_table(combos: DataFrame, keys: Sequence[str]) -> DataFrame:
+def wide_table(combos: DataFrame, keys: Sequence[str], prefix: str = "") -> DataFrame:
     """Combinations with one column per prop, ``-`` where it is absent.
 
     The key holds the props already, so this is a projection and not a pivot.
+    ``prefix`` keeps the names of the props apart from the other columns.
     """
     props = F.map_from_entries("props_key")
-    return combos.select("props_key", "n", *wide_columns(props, keys))
+    return combos.select("props_key", "n", *wide_columns(props, keys, prefix))
 
 
 def numbered_combinations(combos: DataFrame, key_text: Column) -> DataFrame:
