@@ -47,7 +47,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" n={"), F.col("n").cast("string"), F.lit("}>"), F.col("rf"), F.lit("</"), name, F.lit(">"),
     )
     bodies = shape.select("l_partkey", element.alias("el")).groupBy("l_partkey").agg(
-        F.array_join(F.array_sort(F.collect_list("el")), "\n").alias("body")
+        F.array_join(F.sort_array(F.collect_list("el")), "\n").alias("body")
     )
     size10 = F.col("p_size") % 10
     size3 = F.col("p_size") % 3

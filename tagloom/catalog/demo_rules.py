@@ -64,12 +64,9 @@ def demo_rules(spark: SparkSession) -> DataFrame:
 
 def build_rules(spark: SparkSession) -> DataFrame:
     clauses = r.variant_clauses(r.scenarios(spark), r.variant_table(spark))
-    first = r.variant_rules(clauses, PACKAGES[:1], TARGET, NEW_PACKAGE)
-    second = r.append_rules(
-        r.append_rules(
-            rules_from_rows(spark, PACKAGES[1:], TARGET, BEFORE_MAPPED),
-            r.variant_rules(clauses, PACKAGES[1:], TARGET, NEW_PACKAGE),
-        ),
-        rules_from_rows(spark, PACKAGES[1:], TARGET, AFTER_MAPPED),
-    )
-    return first.unionByName(second)
+    mapped = r.variant_rules(clauses, PACKAGES, TARGET, NEW_PACKAGE)
+    mapped = spark.createDataFrame(mapped.collect(), mapped.schema)
+    first, second = (mapped.filter(mapped.package == package) for package in PACKAGES)
+    before = rules_from_rows(spark, PACKAGES[1:], TARGET, BEFORE_MAPPED)
+    after = rules_from_rows(spark, PACKAGES[1:], TARGET, AFTER_MAPPED)
+    return first.unionByName(r.append_rules(r.append_rules(before, second), after))

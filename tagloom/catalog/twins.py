@@ -258,7 +258,7 @@ twin("target_imports", """
       CASE WHEN import_type = 'default' THEN local_name ELSE coalesce(imported_name, local_name) END AS component
     FROM imports""", "imports")
 twin("package_members", f"""
-    SELECT package, list_position([{PKGS}], package) - 1 AS pkg_rank, count(*) AS n, count(DISTINCT local_name) AS n_names
+    SELECT package, (list_position([{PKGS}], package) - 1)::BIGINT AS pkg_rank, count(*) AS n, count(DISTINCT local_name) AS n_names
     FROM all_imports WHERE package IN ({PKGS}) GROUP BY ALL""", "all_imports")
 twin("usage_location", """
     SELECT u.rel_path || ':' || l.line || ':' || l.col AS usage_id, l.line, l.col AS "column", u.package, u.component
@@ -357,7 +357,7 @@ twin("variant_clauses", """
         JOIN variant_pos USING (variant) GROUP BY ALL)
       GROUP BY ALL) h ON h.package = p.package AND h.vpos = v.vpos""", "ruled", "variant_pos")
 twin("package_rules", """
-    SELECT package, rule_pos, variant, n_terms, count(*) AS n FROM (
+    SELECT package, rule_pos, variant, n_terms::BIGINT AS n_terms, count(*) AS n FROM (
       SELECT r.file_path, r.pos, r.package, min(c.rule_pos) AS rule_pos, arg_min(c.variant, c.rule_pos) AS variant,
         arg_min(c.n_terms, c.rule_pos) AS n_terms
       FROM ruled r JOIN (SELECT *, row_number() OVER (ORDER BY n_terms DESC, scenario_no) - 1 AS rule_pos FROM clauses) c

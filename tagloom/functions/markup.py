@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tagloom.functions.arrays import running
 from tagloom.functions.lets import let
 from tagloom.functions.patterns import (
     ARROW_BRACED,
@@ -289,62 +290,25 @@ def gaps(code: Column) -> Column:
     return F.split(code, JAVA.token, -1)
 
 
-_BLOCK = 256
-
-
 def token_locations(tokens: Column, text_gaps: Column) -> Column:
-    """Line (from 1) and column (from 0) of each token.
-
-    A running sum in two levels, blocks of 256 and tokens inside a block, so a
-    text with n tokens costs about n * 256 steps and no prefix is ever copied.
-    """
+    """Line (from 1) and column (from 0) of each token, from the running extent of the text before it."""
     spans = F.transform(
         F.arrays_zip(F.slice(text_gaps, F.lit(1), F.size(tokens)).alias("g"), tokens.alias("t")),
         lambda z: F.struct(_extent(z["g"]).alias("gap"), _extent(z["t"]["raw"]).alias("tok")),
     )
 
-    def measured(s: Column) -> Column:
-        n_blocks = F.ceil(F.size(s) / _BLOCK).cast("int")
-        blocks = F.when(n_blocks == 0, F.array().cast("array<int>")).otherwise(
-            F.sequence(F.lit(1), F.greatest(n_blocks, F.lit(1)))
-        )
-        sliced = F.transform(blocks, lambda b: F.slice(s, (b - 1) * _BLOCK + 1, F.lit(_BLOCK)))
-        starts = F.aggregate(
-            sliced,
-            F.struct(_extent_zero().alias("now"), F.array().cast("array<struct<nl:int,tail:int>>").alias("out")),
-            lambda acc, block: F.struct(
-                F.aggregate(block, acc["now"], lambda a, z: _join_extents(_join_extents(a, z["gap"]), z["tok"])).alias(
-                    "now"
-                ),
-                F.concat(acc["out"], F.array(acc["now"])).alias("out"),
-            ),
-            lambda acc: acc["out"],
-        )
-        located = F.transform(
-            F.arrays_zip(sliced.alias("block"), starts.alias("start")),
-            lambda z: F.aggregate(
-                z["block"],
-                F.struct(
-                    z["start"].alias("now"), F.array().cast("array<struct<nl:int,tail:int>>").alias("out")
-                ),
-                lambda acc, x: F.get(
-                    F.transform(
-                        F.array(_join_extents(acc["now"], x["gap"])),
-                        lambda here: F.struct(
-                            _join_extents(here, x["tok"]).alias("now"),
-                            F.concat(acc["out"], F.array(here)).alias("out"),
-                        ),
-                    ),
-                    0,
-                ),
-                lambda acc: acc["out"],
-            ),
-        )
-        return F.transform(
-            F.flatten(located), lambda e: F.struct((e["nl"] + 1).alias("line"), e["tail"].alias("column"))
-        )
-
-    return F.get(F.transform(F.array(spans), measured), 0)
+    def place(before: Column, z: Column) -> Column:
+        at = _join_extents(before, z["gap"])
+        return F.struct((at["nl"] + 1).alias("line"), at["tail"].alias("column"))
+
+    return running(
+        spans,
+        _extent_zero(),
+        "struct<nl:int,tail:int>",
+        lambda now, z: _join_extents(_join_extents(now, z["gap"]), z["tok"]),
+        _join_extents,
+        place,
+    )
 
 
 def _extent_zero() -> Column:

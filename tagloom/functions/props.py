@@ -25,7 +25,7 @@ def prop_key(props: Column, locale_order: bool = False) -> Column:
     """
     entries = F.map_entries(props)
     if not locale_order:
-        return F.array_sort(entries)
+        return F.sort_array(entries)
     return F.array_sort(
         entries,
         lambda a, b: F.when(F.collate(a["key"], "UNICODE") < F.collate(b["key"], "UNICODE"), -1)

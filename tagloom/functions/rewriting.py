@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tagloom.functions import markup
+from tagloom.functions.arrays import running
 from tagloom.functions.lets import let
 from tagloom.functions.matching import first_rule
 from tagloom.functions.patterns import JAVA
@@ -159,49 +160,52 @@ def rewrite_tags(code: Column, rules: Column, target: str | None, rename_compone
 def _partners(tokens: Column) -> Column:
     """For each token the index of its other half: opening to closing and back, else null.
 
-    A running stack of open names; a closing tag takes the last open one of its
-    name and drops what was opened inside it and never closed.
+    Tags of one name pair up by depth: the running number of open tags of that
+    name.  At each depth an opening tag belongs to the closing tag right after it.
     """
-    start = F.struct(
-        F.array().cast("array<struct<name:string,at:int>>").alias("stack"),
-        F.array().cast("array<struct<opener:int,closer:int>>").alias("pairs"),
-        F.lit(0).alias("i"),
+    by_name = F.sort_array(
+        F.transform(
+            tokens,
+            lambda t: F.struct(
+                t["name"].alias("name"),
+                t["pos"].alias("pos"),
+                F.when(t["kind"] == "open", 1).when(t["kind"] == "close", -1).otherwise(0).alias("delta"),
+            ),
+        )
     )
 
-    def step(acc: Column, t: Column) -> Column:
-        place = F.size(acc["stack"]) - F.array_position(F.reverse(acc["stack"]["name"]), t["name"]).cast("int")
-        found = F.array_contains(acc["stack"]["name"], t["name"])
-        closes = (t["kind"] == "close") & F.coalesce(found, F.lit(False))
-        return F.struct(
-            F.when(t["kind"] == "open", F.concat(acc["stack"], F.array(F.struct(t["name"].alias("name"), acc["i"].alias("at")))))
-            .when(closes, F.slice(acc["stack"], F.lit(1), F.greatest(place, F.lit(0))))
-            .otherwise(acc["stack"])
-            .alias("stack"),
-            F.when(
-                closes,
-                F.concat(acc["pairs"], F.array(F.struct(F.get(acc["stack"], place)["at"].alias("opener"), acc["i"].alias("closer")))),
-            )
-            .otherwise(acc["pairs"])
-            .alias("pairs"),
-            (acc["i"] + 1).alias("i"),
-        )
+    def leveled(before: Column, t: Column) -> Column:
+        # an opening tag counts itself, a closing tag is still inside
+        depth = before + F.greatest(t["delta"], F.lit(0))
+        return F.struct(t["name"].alias("name"), (t["delta"] == 0).alias("single"), depth.alias("depth"),
+                        t["pos"].alias("pos"), t["delta"].alias("delta"))
 
-    pairs = F.aggregate(tokens, start, step, lambda acc: acc["pairs"])
-    both = let(
-        pairs,
-        lambda p: F.concat(
-            F.transform(p, lambda x: F.struct(x["opener"].alias("key"), x["closer"].alias("value"))),
-            F.transform(p, lambda x: F.struct(x["closer"].alias("key"), x["opener"].alias("value"))),
-        ),
+    levels = running(
+        by_name, F.lit(0), "int", lambda now, t: now + t["delta"], lambda a, b: a + b, leveled
     )
-    return F.map_from_entries(both)
+
+    def pairs(s: Column) -> Column:
+        def half(t: Column, other: Column, delta: int) -> Column:
+            same = (other["name"] == t["name"]) & (other["depth"] == t["depth"])
+            return F.when((t["delta"] == delta) & (other["delta"] == -delta) & same, other["pos"])
+
+        found = F.transform(
+            s,
+            lambda t, i: F.struct(
+                t["pos"].alias("pos"),
+                F.coalesce(half(t, F.get(s, i + 1), 1), half(t, F.get(s, i - 1), -1)).alias("partner"),
+            ),
+        )
+        return F.sort_array(found)["partner"]
+
+    return let(F.sort_array(levels), pairs)
 
 
 def _rewritten(x: Column, i: Column, partners: Column, rename_components: bool) -> Column:
     """What a token turns into: its own text and, for an opening tag, that of its closing tag."""
     rule, token = x["rule"], x["t"]
     closed = token["kind"] == "self"
-    closer = partners[i]
+    closer = F.get(partners, i)
     template = F.btrim(rule["template"], F.lit(" \t\r\n"))
     takes_children = F.contains(template, F.lit(CHILDREN))
     supported = rule["template"].isNull() | closed | (closer.isNotNull() & takes_children)
@@ -241,7 +245,7 @@ def _joined(code: Column, done: Column, partners: Column) -> Column:
                 F.transform(
                     done,
                     lambda d, i: F.concat(
-                        F.get(g, i), F.coalesce(F.get(done, partners[i])["closing"], d["text"])
+                        F.get(g, i), F.coalesce(F.get(done, F.get(partners, i))["closing"], d["text"])
                     ),
                 ),
                 "",

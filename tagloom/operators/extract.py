@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions import markup
-from tagloom.functions.lets import let
+from tagloom.functions.lets import built_once, let
 from tagloom.functions.paths import relative_path
 from tagloom.functions.props import reportable
 from tagloom.operators.rows import each
@@ -30,7 +30,7 @@ def import_rows(
     """One row per import specifier: of the given packages, with the target as local name."""
     if packages is not None:
         files = mentioning(files, packages)
-    rows = each(files.select("file_path", "code"), markup.import_specifiers(F.col("code")), "s")
+    rows = each(files.select("file_path", "code"), _specifiers("code"), "s")
     rows = rows.select("file_path", "s.*")
     if packages is not None:
         rows = rows.filter(F.col("package").isin(list(packages)))
@@ -40,7 +40,7 @@ def import_rows(
 def element_rows(files: DataFrame, target: str | None = None, text: str = "code") -> DataFrame:
     """One row per element with a simple name: pos, component, attrs, props and the other columns."""
     others = [F.col(c) for c in files.columns if c != text]
-    rows = each(files, markup.opening_tags(markup.tag_tokens(F.col(text)), target), "t")
+    rows = each(files, _tags(text, target, False), "t")
     return _with_props(rows, *others, F.col("t.pos").alias("pos"), F.col("t.name").alias("component"))
 
 
@@ -50,35 +50,67 @@ def _with_props(rows: DataFrame, *columns: Column) -> DataFrame:
     ``attrs`` and ``props`` are read independently, so that a query which needs
     only the props never builds the attribute list.
     """
-    raw, name = F.col("t.raw"), F.col("t.name")
     read = rows.select(
-        *columns,
-        raw.alias("_raw"),
-        name.alias("_name"),
-        markup.attribute_names(raw, name).alias("_names"),
-        markup.attribute_values(raw, name).alias("_values"),
+        *columns, F.col("t.raw").alias("_raw"), F.col("t.name").alias("_name"), _names().alias("_names"), _values().alias("_values")
     )
     return read.select(
-        *[c for c in read.columns if not c.startswith("_")],
-        markup.attribute_list(F.col("_raw"), F.col("_name")).alias("attrs"),
-        markup.props_from(F.col("_names"), F.col("_values")).alias("props"),
+        *[c for c in read.columns if not c.startswith("_")], _attrs().alias("attrs"), _props().alias("props")
     )
 
 
-def _located_tags(code: Column, target: str | None) -> Column:
-    def build(tokens: Column) -> Column:
-        return let(
-            markup.token_locations(tokens, markup.gaps(code)),
-            lambda places: F.transform(
-                markup.opening_tags(tokens, target),
-                lambda t: F.struct(
-                    t["raw"].alias("raw"), t["name"].alias("name"), t["pos"].alias("pos"),
-                    F.get(places, t["pos"]).alias("at"),
-                ),
+@built_once
+def _names() -> Column:
+    return markup.attribute_names(F.col("t.raw"), F.col("t.name"))
+
+
+@built_once
+def _values() -> Column:
+    return markup.attribute_values(F.col("t.raw"), F.col("t.name"))
+
+
+@built_once
+def _attrs() -> Column:
+    return markup.attribute_list(F.col("_raw"), F.col("_name"))
+
+
+@built_once
+def _props() -> Column:
+    return markup.props_from(F.col("_names"), F.col("_values"))
+
+
+@built_once
+def _tags(text: str, target: str | None, locate: bool) -> Column:
+    """The opening tags of a text column, on request with their places."""
+    tokens = markup.tag_tokens(F.col(text))
+    if not locate:
+        return markup.opening_tags(tokens, target)
+
+    def located(toks: Column, places: Column) -> Column:
+        return F.transform(
+            markup.opening_tags(toks, target),
+            lambda t: F.struct(
+                t["raw"].alias("raw"), t["name"].alias("name"), t["pos"].alias("pos"), F.get(places, t["pos"]).alias("at")
             ),
         )
 
-    return let(markup.tag_tokens(code), build)
+    return let(tokens, lambda t: let(markup.token_locations(t, markup.gaps(F.col(text))), lambda places: located(t, places)))
+
+
+@built_once
+def _specifiers(text: str) -> Column:
+    return markup.import_specifiers(F.col(text))
+
+
+@built_once
+def _first_import(text: str, packages: tuple[str, ...], target: str | None) -> Column:
+    return markup.first_import(_specifiers(text), packages, target)
+
+
+def with_import(files: DataFrame, packages: Sequence[str], target: str | None) -> DataFrame:
+    """(file_path, code, import) of the files that name a package; import is null without a match."""
+    return mentioning(files, packages).select(
+        "file_path", "code", _first_import("code", tuple(packages), target).alias("import")
+    )
 
 
 def usages(
@@ -96,12 +128,8 @@ def usages(
     ``relpath:line:column`` identity.  ``component`` is the name in the tag,
     ``resolved`` the exported component behind the import; rules go by that.
     """
-    code = F.col("code")
-    chosen = mentioning(files, packages).select(
-        "file_path", "code", markup.first_import(markup.import_specifiers(code), packages, target).alias("import")
-    )
-    tags = _located_tags(code, target) if locate else markup.opening_tags(markup.tag_tokens(code), target)
-    rows = each(chosen, F.when(F.col("import").isNotNull(), tags), "t")
+    tags = F.when(F.col("import").isNotNull(), _tags("code", target, locate))
+    rows = each(with_import(files, packages, target), tags, "t")
     rel = relative_path(F.col("file_path"), root)
     columns = [
         F.col("file_path"),

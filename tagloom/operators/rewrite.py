@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions import markup, rewriting
-from tagloom.functions.lets import let
+from tagloom.functions.lets import built_once, let
 from tagloom.functions.matching import rules_of
-from tagloom.operators.extract import mentioning
+from tagloom.operators.extract import with_import
 from tagloom.operators.rows import each
 from tagloom.sources.rules import INLINE_RULES, inline_rules
 
@@ -86,25 +86,11 @@ def rewrite_files(
     constant = inline_rules(rules, mode, limit)
     if constant is None:
         raise ValueError(f"more than {limit} rules; rewrite the files per group of components")
-    code = F.col("code")
-    chosen = mentioning(files, packages).select(
-        "file_path", "code", markup.first_import(markup.import_specifiers(code), packages, target).alias("import")
-    )
     spec = F.col("import")
     own = rules_of(constant, spec["package"], markup.component_name(spec))
-
-    def rewritten(own_rules):
-        return let(
-            rewriting.rewrite_tags(code, own_rules, target, rename_components),
-            lambda r: F.struct(
-                r.alias("r"), rewriting.rewire_imports(r["code"], spec, r["import_targets"]).alias("code_after")
-            ),
-        )
-
-    done = F.when(
-        spec.isNotNull(), F.filter(F.array(let(own, lambda o: F.when(F.size(o) > 0, rewritten(o)))), lambda x: x.isNotNull())
-    )
-    return each(chosen, done, "d").select(
+    chosen = with_import(files, packages, target).withColumn("_rules", F.when(spec.isNotNull(), own))
+    done = each(chosen, _rewritten(target, rename_components), "d")
+    return done.select(
         "file_path",
         spec["package"].alias("package"),
         markup.component_name(spec).alias("component"),
@@ -115,3 +101,19 @@ def rewrite_files(
         F.col("d.r.n_matched").alias("n_matched"),
         F.col("d.r.n_unsupported").alias("n_unsupported"),
     )
+
+
+@built_once
+def _rewritten(target: str | None, rename_components: bool) -> Column:
+    """The rewrite of column ``code`` by the rules in ``_rules``, in an array that is empty without rules."""
+    code, spec = F.col("code"), F.col("import")
+
+    def apply(rules: Column) -> Column:
+        return let(
+            rewriting.rewrite_tags(code, rules, target, rename_components),
+            lambda r: F.struct(
+                r.alias("r"), rewriting.rewire_imports(r["code"], spec, r["import_targets"]).alias("code_after")
+            ),
+        )
+
+    return let(F.col("_rules"), lambda rules: F.when(F.size(rules) > 0, F.array(apply(rules))))

@@ -89,7 +89,7 @@ def clauses_by_variant(clauses: DataFrame) -> DataFrame:
     The input is the mapping table, a few dozen rows.
     """
     listed = clauses.groupBy("variant").agg(
-        F.array_sort(F.collect_list(F.struct("scenario_no", _terms(F.col("type"), F.col("size")).alias("clause")))).alias("c")
+        F.sort_array(F.collect_list(F.struct("scenario_no", _terms(F.col("type"), F.col("size")).alias("clause")))).alias("c")
     )
     return listed.select(
         "variant", F.get("c.scenario_no", 0).alias("first_no"), F.col("c.clause").alias("any_of")

@@ -205,7 +205,7 @@ def rule_documents(rules: DataFrame) -> DataFrame:
     )
     rows = rules.select("package", "component", "rule_pos", F.concat(F.lit("{"), text, F.lit("}")).alias("rule"))
     grouped = rows.groupBy("package", "component").agg(
-        F.array_sort(F.collect_list(F.struct("rule_pos", "rule"))).alias("rules")
+        F.sort_array(F.collect_list(F.struct("rule_pos", "rule"))).alias("rules")
     )
     return grouped.select(
         "package",

@@ -18,7 +18,7 @@ def read_spec(spark: SparkSession, path: str) -> DataFrame:
         F.split("old.oldImportPath", ","), lambda p, i: F.struct((-F.length(p)).alias("len"), i.alias("i"), p.alias("p"))
     )
     return raw.select(
-        F.transform(F.array_sort(indexed), lambda x: x["p"]).alias("old_packages"),
+        F.transform(F.sort_array(indexed), lambda x: x["p"]).alias("old_packages"),
         F.col("old.compName").alias("old_component"),
         F.col("new.newImportPath").alias("new_package"),
         F.col("new.importType").alias("import_type"),
