@@ -68,7 +68,8 @@ def prop_entries(spark: SparkSession, sf: str) -> DataFrame:
     """Every attribute of every element, with its normalised value and kind."""
     rows = extract.element_rows(b.code_files(spark, sf))
     return rows.select("file_path", "pos", "component", F.posexplode("attrs").alias("attr_no", "a")).select(
-        "file_path", "pos", "component", "attr_no", F.col("a.name").alias("prop"), F.col("a.value").alias("value"), "a.kind"
+        "file_path", "pos", "component", "attr_no", F.nullif("a.name", F.lit("")).alias("prop"),
+        F.when(F.col("a.kind") != "spread", F.col("a.value")).alias("value"), "a.kind",
     )
 
 

@@ -151,43 +151,29 @@ def props_from(names: Column, values: Column) -> Column:
     )
 
 
-def attribute_list(tag: Column, name: Column) -> Column:
-    """Attributes of an opening tag in text order.
+def attribute_sources(tag: Column, name: Column) -> Column:
+    """The attributes of an opening tag as written, in step with :func:`attribute_names`."""
+    return extract_all(_tag_body(tag, name), JAVA.attribute)
 
-    ARRAY<STRUCT<name, value, kind, raw>>; ``kind`` is shorthand, text, expr or
-    spread, and a spread has neither name nor value.
+
+def attribute_list(sources: Column, names: Column, values: Column) -> Column:
+    """Attributes in text order: ARRAY<STRUCT<name, value, kind, raw>>.
+
+    ``kind`` is shorthand, text, expr or spread; a spread has an empty name.
     """
-    parts = F.transform(
-        extract_all(_tag_body(tag, name), JAVA.attribute),
-        lambda raw: F.struct(
-            raw.alias("raw"),
-            F.btrim(F.substring_index(raw, "=", 1), F.lit(_BLANKS)).alias("name"),
-            F.when(
-                F.contains(raw, F.lit("=")),
-                F.btrim(F.substring(raw, F.instr(raw, "=") + 1, F.length(raw)), F.lit(_BLANKS)),
-            ).alias("source"),
-        ),
+    kinds = F.transform(
+        sources,
+        lambda r: F.when(F.startswith(r, F.lit("{")), "spread")
+        .when(~F.contains(r, F.lit("=")), "shorthand")
+        .when(F.endswith(r, F.lit("}")), "expr")
+        .otherwise("text"),
     )
+    return F.arrays_zip(names.alias("name"), values.alias("value"), kinds.alias("kind"), sources.alias("raw"))
 
-    def finished(p: Column) -> Column:
-        spread = F.startswith(p["raw"], F.lit("{"))
-        braced = F.startswith(p["source"], F.lit("{"))
-        return F.struct(
-            F.when(~spread, p["name"]).alias("name"),
-            F.when(spread, None)
-            .when(p["source"].isNull(), "true")
-            .when(braced, braced_value(p["source"]))
-            .otherwise(quoted_value(p["source"]))
-            .alias("value"),
-            F.when(spread, "spread")
-            .when(p["source"].isNull(), "shorthand")
-            .when(braced, "expr")
-            .otherwise("text")
-            .alias("kind"),
-            p["raw"].alias("raw"),
-        )
 
-    return F.transform(parts, finished)
+def attributes_of(tag: Column, name: Column) -> Column:
+    """:func:`attribute_list` straight from an opening tag."""
+    return attribute_list(attribute_sources(tag, name), attribute_names(tag, name), attribute_values(tag, name))
 
 
 def quoted_value(source: Column) -> Column:
@@ -240,19 +226,8 @@ def _by_pattern(expression: Column, kinds: list[tuple[str, str]]) -> Column:
 
 
 def props_of(attributes: Column) -> Column:
-    """Attributes as MAP<STRING,STRING>: no spreads, no empty values, last one wins."""
-    kept = F.filter(attributes, lambda a: (a["kind"] != "spread") & (a["value"] != ""))
-
-    def last_of_each(k: Column) -> Column:
-        # of two attributes with one name the later one stays
-        return F.when(F.size(F.array_distinct(k["name"])) == F.size(k), k).otherwise(
-            F.filter(k, lambda a, i: F.size(k) - F.array_position(F.reverse(k["name"]), a["name"]) == i)
-        )
-
-    def as_map(k: Column) -> Column:
-        return F.map_from_arrays(k["name"], k["value"])
-
-    return let(kept, lambda k: let(last_of_each(k), as_map))
+    """Attributes as a prop map (see :func:`props_from`)."""
+    return let(attributes, lambda a: props_from(a["name"], a["value"]))
 
 
 def tag_tokens(code: Column) -> Column:

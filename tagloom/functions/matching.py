@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,21 +22,34 @@ def clause_holds(clause: Column, props: Column) -> Column:
     return F.forall(clause, lambda t: term_holds(t, props))
 
 
-def rule_matches(rule: Column, props: Column) -> Column:
-    """Some clause holds (or there is none) and no excluded term does.
+def compiled_rule(rows: Sequence[Mapping], package: Column, component: Column, props: Column) -> Column:
+    """Index of the first matching rule among ``rows`` (rule structs as dicts), or null.
 
-    Matching sees all props, ignored ones too, and other props do not disturb it.
+    One CASE per package and component: it stops at the first rule that holds
+    and runs inside generated code, unlike the array functions above.
     """
-    return ((F.size(rule["any_of"]) == 0) | F.exists(rule["any_of"], lambda c: clause_holds(c, props))) & ~F.exists(
-        rule["none_of"], lambda t: term_holds(t, props)
-    )
-
-
-def first_rule(rules: Column, props: Column) -> Column:
-    """The first matching rule of an array, or null."""
-    return F.get(F.filter(rules, lambda r: rule_matches(r, props)), 0)
-
 
-def rules_of(rules: Column, package: Column, component: Column) -> Column:
-    """The rules of one package and component, order kept."""
-    return F.filter(rules, lambda r: (r["package"] == package) & (r["component"] == component))
+    def holds(term: Mapping) -> Column:
+        key = F.lit(term["key"])
+        return F.map_contains_key(props, key) if term.get("value") is None else props[key].eqNullSafe(term["value"])
+
+    def matches(rule: Mapping) -> Column:
+        clauses = [reduce(and_, map(holds, clause), F.lit(True)) for clause in rule["any_of"]]
+        wanted = reduce(or_, clauses) if clauses else F.lit(True)
+        return reduce(and_, [~holds(t) for t in rule["none_of"]], wanted)
+
+    owners = list(dict.fromkeys((r["package"], r["component"]) for r in rows))
+    chosen = F.when(F.lit(False), F.lit(0))
+    for owner in owners:
+        ladder = F.when(F.lit(False), F.lit(0))
+        for index, rule in enumerate(rows):
+            if (rule["package"], rule["component"]) == owner:
+                ladder = ladder.when(matches(rule), index)
+        chosen = chosen.when((package == owner[0]) & (component == owner[1]), ladder)
+    return chosen
+
+
+def has_rules(rows: Sequence[Mapping], package: Column, component: Column) -> Column:
+    """Whether a package and component have any rule."""
+    owners = dict.fromkeys((r["package"], r["component"]) for r in rows)
+    return reduce(or_, [(package == p) & (component == c) for p, c in owners], F.lit(False))

@@ -14,8 +14,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-NAME = r"[A-Za-z_$][A-Za-z0-9_$-]*"
-IDENT = r"[A-Za-z_$][A-Za-z0-9_$]*"
+NAME = r"[A-Za-z_$][\w$-]*"
+IDENT = r"[A-Za-z_$][\w$]*"
 
 
 @dataclass(frozen=True)
@@ -37,13 +37,13 @@ def build_patterns(possessive: bool) -> Patterns:
         inner = r"[^{}]" + many + r"(?:\{" + inner + r"\}[^{}]" + many + ")" + many
     braces = r"\{" + inner + r"\}"
     value = r'"[^"]*"|\'[^\']*\'|' + braces + r"|[^\s\"'{}<>=`]+"
-    name = r"[A-Za-z_$@:][A-Za-z0-9_$@:.-]*"
+    name = r"[A-Za-z_$@:][\w$@:.-]*"
     attribute = name + r"(?:\s*=\s*(?:" + value + "))?|" + braces
     parts = "(" + name + r")(?:\s*=\s*(" + value + "))?|" + braces
     opening = "<" + NAME + r"(?:\s+(?:" + attribute + "))" + many + r"\s*/?>"
     closing = "</" + NAME + r"\s*>"
     comment = r"/\*[\s\S]*?\*/|<!--[\s\S]*?-->|(?:^|\n)[ \t]*//[^\n]*"
-    clause = r"(?:type\s+)?[A-Za-z0-9_$*{},\s]+?"
+    clause = r"(?:type\s+)?[\w$*{},\s]+?"
     statement = (
         r"(?:^|\n)[ \t]*import\s+" + clause + r"\s*from\s*(?:\"[^\"\n]+\"|'[^'\n]+')[ \t]*;?"
     )

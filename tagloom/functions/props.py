@@ -46,12 +46,12 @@ def props_text(props: Column) -> Column:
 
 def pick_attributes(attributes: Column, names: Column) -> Column:
     """Attributes with the given names, value and order kept; spreads are left out."""
-    return F.filter(attributes, lambda a: F.coalesce(F.array_contains(names, a["name"]), F.lit(False)))
+    return F.filter(attributes, lambda a: F.array_contains(names, a["name"]))
 
 
 def drop_attributes(attributes: Column, names: Column) -> Column:
     """Attributes without the given names; spreads stay."""
-    return F.filter(attributes, lambda a: ~F.coalesce(F.array_contains(names, a["name"]), F.lit(False)))
+    return F.filter(attributes, lambda a: ~F.array_contains(names, a["name"]))
 
 
 def new_attribute(name: Column, value: Column, literal: Column) -> Column:

@@ -6,13 +6,14 @@ text around them, so neither the text nor its pieces are shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tagloom.functions import markup
 from tagloom.functions.arrays import running
 from tagloom.functions.lets import let
-from tagloom.functions.matching import first_rule
 from tagloom.functions.patterns import JAVA
 from tagloom.functions.props import drop_attributes, new_attribute, pick_attributes, render_attributes
 
@@ -56,7 +57,10 @@ def _set_attributes(rule: Column) -> Column:
 
 def apply_rule(attributes: Column, props: Column, rule: Column) -> Column:
     """Remove, rename, set."""
-    return set_props(rename_props(remove_props(attributes, rule), props, rule), rule)
+    dropped = F.concat(rule["remove"], rule["set"]["key"])
+    return F.when(
+        F.size(rule["rename"]) == 0, F.concat(drop_attributes(attributes, dropped), _set_attributes(rule))
+    ).otherwise(set_props(rename_props(remove_props(attributes, rule), props, rule), rule))
 
 
 def split_for_template(attributes: Column, props: Column, rule: Column) -> Column:
@@ -66,7 +70,7 @@ def split_for_template(attributes: Column, props: Column, rule: Column) -> Colum
     rule lists them, otherwise outside; without a list all go outside.  Spreads
     and attributes without a value do not survive, and renames are not applied.
     """
-    named = F.filter(attributes, lambda a: F.coalesce(F.map_contains_key(props, a["name"]), F.lit(False)))
+    named = F.filter(attributes, lambda a: F.map_contains_key(props, a["name"]))
     kept = let(named, lambda k: F.filter(k, lambda a, i: F.array_position(k["name"], a["name"]) == i + 1))
     survivors = drop_attributes(kept, rule["remove"])
     listed = F.coalesce(rule["inner_props"], F.array().cast("array<string>"))
@@ -104,10 +108,12 @@ def rule_mutates(rule: Column) -> Column:
     )
 
 
-def rewrite_tags(code: Column, rules: Column, target: str | None, rename_components: bool = False) -> Column:
+def rewrite_tags(
+    code: Column, choose: Callable[[Column], Column], target: str | None, rename_components: bool = False
+) -> Column:
     """Rewrite the matched elements of a text.
 
-    ``rules`` are the rules of the file (ARRAY<RULE>).  Gives STRUCT<code,
+    ``choose`` gives the rule (or null) for a prop map.  Gives STRUCT<code,
     n_elements, n_matched, n_unsupported, mutated, import_targets>.  Elements
     that a template cannot be applied to are left alone and counted: no
     ``{CHILDREN}`` in the template although there is a closing tag, or no
@@ -121,7 +127,7 @@ def rewrite_tags(code: Column, rules: Column, target: str | None, rename_compone
     def with_attrs(tokens: Column) -> Column:
         return F.transform(
             tokens,
-            lambda t: F.struct(t.alias("t"), F.when(opens(t), markup.attribute_list(t["raw"], t["name"])).alias("attrs")),
+            lambda t: F.struct(t.alias("t"), F.when(opens(t), markup.attributes_of(t["raw"], t["name"])).alias("attrs")),
         )
 
     def with_props(tokens: Column) -> Column:
@@ -135,7 +141,7 @@ def rewrite_tags(code: Column, rules: Column, target: str | None, rename_compone
         return F.transform(
             tokens,
             lambda x: F.struct(x["t"].alias("t"), x["attrs"].alias("attrs"), x["props"].alias("props"),
-                               F.when(x["props"].isNotNull(), first_rule(rules, x["props"])).alias("rule")),
+                               F.when(x["props"].isNotNull(), choose(x["props"])).alias("rule")),
         )
 
     def build(tokens: Column) -> Column:

@@ -51,13 +51,18 @@ def _with_props(rows: DataFrame, *columns: Column) -> DataFrame:
     only the props never builds the attribute list.
     """
     read = rows.select(
-        *columns, F.col("t.raw").alias("_raw"), F.col("t.name").alias("_name"), _names().alias("_names"), _values().alias("_values")
+        *columns, _sources().alias("_sources"), _names().alias("_names"), _values().alias("_values")
     )
     return read.select(
         *[c for c in read.columns if not c.startswith("_")], _attrs().alias("attrs"), _props().alias("props")
     )
 
 
+@built_once
+def _sources() -> Column:
+    return markup.attribute_sources(F.col("t.raw"), F.col("t.name"))
+
+
 @built_once
 def _names() -> Column:
     return markup.attribute_names(F.col("t.raw"), F.col("t.name"))
@@ -70,7 +75,7 @@ def _values() -> Column:
 
 @built_once
 def _attrs() -> Column:
-    return markup.attribute_list(F.col("_raw"), F.col("_name"))
+    return markup.attribute_list(F.col("_sources"), F.col("_names"), F.col("_values"))
 
 
 @built_once

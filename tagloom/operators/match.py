@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.functions.matching import clause_holds, first_rule, rules_of, term_holds
+from tagloom.functions.matching import clause_holds, compiled_rule, term_holds
 from tagloom.functions.props import prop_key
 from tagloom.operators.rows import each
 from tagloom.sources.rules import INLINE_RULES, inline_rules
@@ -20,14 +20,14 @@ def match_rules(
 ) -> DataFrame:
     """Usages with the rule that applies to them, as struct column ``rule``.
 
-    Up to ``limit`` rules travel as a constant and matching is a projection.
+    Up to ``limit`` rules travel in the plan and matching is a projection.
     A larger table goes through :func:`match_by_anchor`.
     """
     constant = inline_rules(rules, mode, limit)
     if constant is None:
         return match_by_anchor(used, rules, mode, keep_unmatched)
-    own = rules_of(constant, F.col("package"), ruled_component(used))
-    rule = F.array(first_rule(own, F.col("props")))
+    index = compiled_rule(constant.rows, F.col("package"), ruled_component(used), F.col("props"))
+    rule = F.array(F.get(constant.array(), index))
     if keep_unmatched:
         return used.select("*", F.explode_outer(rule).alias("rule"))
     return each(used, rule, "rule")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import markup, rewriting
 from tagloom.functions.lets import built_once, let
-from tagloom.functions.matching import rules_of
+from tagloom.functions.matching import compiled_rule, has_rules
 from tagloom.operators.extract import with_import
 from tagloom.operators.rows import each
-from tagloom.sources.rules import INLINE_RULES, inline_rules
+from tagloom.sources.rules import INLINE_RULES, InlineRules, inline_rules
 
 
 
@@ -87,9 +87,7 @@ def rewrite_files(
     if constant is None:
         raise ValueError(f"more than {limit} rules; rewrite the files per group of components")
     spec = F.col("import")
-    own = rules_of(constant, spec["package"], markup.component_name(spec))
-    chosen = with_import(files, packages, target).withColumn("_rules", F.when(spec.isNotNull(), own))
-    done = each(chosen, _rewritten(target, rename_components), "d")
+    done = each(with_import(files, packages, target), _rewritten(constant, target, rename_components), "d")
     return done.select(
         "file_path",
         spec["package"].alias("package"),
@@ -104,16 +102,18 @@ def rewrite_files(
 
 
 @built_once
-def _rewritten(target: str | None, rename_components: bool) -> Column:
-    """The rewrite of column ``code`` by the rules in ``_rules``, in an array that is empty without rules."""
-    code, spec = F.col("code"), F.col("import")
-
-    def apply(rules: Column) -> Column:
-        return let(
-            rewriting.rewrite_tags(code, rules, target, rename_components),
-            lambda r: F.struct(
-                r.alias("r"), rewriting.rewire_imports(r["code"], spec, r["import_targets"]).alias("code_after")
-            ),
-        )
-
-    return let(F.col("_rules"), lambda rules: F.when(F.size(rules) > 0, F.array(apply(rules))))
+def _rewritten(rules: InlineRules, target: str | None, rename_components: bool) -> Column:
+    """The rewrite of column ``code`` in an array; null for files without import or rules."""
+    code, spec, rows = F.col("code"), F.col("import"), rules.rows
+    component = markup.component_name(spec)
+
+    def choose(props: Column) -> Column:
+        return F.get(rules.array(), compiled_rule(rows, spec["package"], component, props))
+
+    rewritten = let(
+        rewriting.rewrite_tags(code, choose, target, rename_components),
+        lambda r: F.struct(
+            r.alias("r"), rewriting.rewire_imports(r["code"], spec, r["import_targets"]).alias("code_after")
+        ),
+    )
+    return F.when(spec.isNotNull() & has_rules(rows, spec["package"], component), F.array(rewritten))

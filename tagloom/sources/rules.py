@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,23 +116,35 @@ def _set_entry(entry: Column) -> Column:
     )
 
 
-INLINE_RULES = 1000
+INLINE_RULES = 300
 
 
-def inline_rules(rules: DataFrame, mode: str = "first_match", limit: int = INLINE_RULES) -> Column | None:
-    """The rule table as one constant array, or None when it has more than ``limit`` rules.
+@dataclass(frozen=True)
+class InlineRules:
+    """A small rule table carried by the plan itself: JSON texts, in matching order."""
 
-    A constant needs no join at all.  ``first_match`` keeps the order of the
-    document; ``most_specific`` puts rules with more terms in their first
-    clause first.
+    texts: tuple[str, ...]
+
+    @property
+    def rows(self) -> list[dict]:
+        return [json.loads(t) for t in self.texts]
+
+    def array(self) -> Column:
+        """The rules as a constant ARRAY<STRUCT>."""
+        return F.from_json(F.lit("[" + ",".join(self.texts) + "]"), f"array<struct<{RULE_FIELDS}>>")
+
+
+def inline_rules(rules: DataFrame, mode: str = "first_match", limit: int = INLINE_RULES) -> InlineRules | None:
+    """The rule table for use without a join, or None when it has more than ``limit`` rules.
+
+    ``first_match`` keeps the order of the document; ``most_specific`` puts
+    rules with more terms in their first clause first.
     """
     order = ["rule_pos"] if mode == "first_match" else [F.desc("specificity"), "rule_pos"]
-    text = rules.select("package", "component", "rule_pos", "specificity", F.to_json(F.struct("*")).alias("rule"))
-    rows = text.orderBy("package", "component", *order).limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    document = "[" + ",".join(r["rule"] for r in rows) + "]"
-    return F.from_json(F.lit(document), f"array<struct<{RULE_FIELDS}>>")
+    text = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    listed = rules.select("package", "component", "rule_pos", "specificity", text.alias("rule"))
+    rows = listed.orderBy("package", "component", *order).limit(limit + 1).collect()
+    return None if len(rows) > limit else InlineRules(tuple(r["rule"] for r in rows))
 
 
 def write_rules(rules: DataFrame, folder: str, old_component: str, new_component: str, mode: str = "error") -> str:
