@@ -1,0 +1 @@
+"""Named queries over the standard test tables and their SQL twins."""

@@ -6,6 +6,7 @@ shown as sorted ``name=value`` text.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -19,6 +20,10 @@ from tagloom.functions import props as p
 from tagloom.operators import aggregates as agg
 from tagloom.operators import attribute, changes, extract, imports, match, rewrite
 from tagloom.operators import rules as rule_ops
+from tagloom.operators.numbering import ensure_checkpoint_dir
+from tagloom.plans import migrate
+from tagloom.sources import reports
+from tagloom.sources import rules as rules_io
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -569,3 +574,58 @@ def change_hunks(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def run_summary(spark: SparkSession, sf: str) -> DataFrame:
     return changes.run_summary(_rewritten(spark, sf))
+
+
+# ---- stored tables ----
+
+
+def _work_folder(spark: SparkSession) -> str:
+    """A new folder below the session's checkpoint folder, which all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+
+
+@query
+def stored_usages(spark: SparkSession, sf: str) -> DataFrame:
+    """Usages written by package and read back for one of them."""
+    path = f"{_work_folder(spark)}/usages"
+    reports.write_usages(_usages(spark, sf), path)
+    stored = reports.read_usages(spark, path).filter(F.col("package") == b.PACKAGES[1])
+    return stored.groupBy("package", "component", F.col("import.import_type").alias("import_type"),
+                          _text("props").alias("props")).agg(F.count("*").alias("n"))
+
+
+@query
+def stored_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Props summary written as JSON lines and read back."""
+    path = f"{_work_folder(spark)}/summary"
+    reports.write_summary(_usages(spark, sf), path)
+    return agg.prop_value_frequency(reports.read_summary(spark, path))
+
+
+@query
+def stored_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored usages flattened to usages per package and file."""
+    path = f"{_work_folder(spark)}/usages"
+    reports.write_usages(_usages(spark, sf).select("package", "rel_path", "props"), path)
+    return reports.files_of_usages(reports.read_usages(spark, path))
+
+
+@query
+def stored_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Generated rules written, read back and matched with the usages they came from."""
+    used = _usages(spark, sf).select("package", "component", p.reportable(F.col("props")).alias("props"))
+    keyed = used.withColumn("props_key", p.prop_key(F.col("props"))).groupBy("props_key").agg(F.count("*").alias("n"))
+    combos = keyed.withColumn("n_props", F.size("props_key"))
+    rules = rule_ops.skeletons(combos, {"new_component": "Label", "import_to": b.NEW_PACKAGE}, b.PACKAGES, b.TARGET)
+    path = rules_io.write_rules(rules, _work_folder(spark), b.TARGET, "Label")
+    best = match.best_rules(match.distinct_prop_sets(used), rules_io.read_rule_lines(spark, path), "most_specific")
+    return best.groupBy("package").agg(F.sum("n").alias("n"), F.count_distinct("rule_pos").alias("n_rules"))
+
+
+@query
+def stored_rewrites(spark: SparkSession, sf: str) -> DataFrame:
+    """Rewritten files stored as a new table, with their line counts before and after."""
+    stored = migrate.apply(_rewritten(spark, sf), f"{_work_folder(spark)}/rewritten")
+    lines = [F.size(F.split(c, "\n")).alias(f"lines_{c[5:]}") for c in ("code_before", "code_after")]
+    return stored.select("file_path", *lines)

@@ -444,3 +444,16 @@ twin("run_summary", """
     SELECT r.package, 'Text' AS component, count(*) AS n_files, sum(u.n)::BIGINT AS n_elements, 'would migrate' AS mode
     FROM rewritten r JOIN (SELECT file_path, count(*) AS n FROM used GROUP BY file_path) u USING (file_path) GROUP BY r.package""",
     "rewritten", "used")
+
+# ---- stored tables ----
+
+twin("stored_usages", """
+    SELECT f.package, f.component, c.import_type, f.props, count(*) AS n FROM full_sets f JOIN chosen c USING (file_path)
+    WHERE f.package = '@acme/ui' GROUP BY ALL""", "full_sets", "chosen")
+twin("stored_summary", "SELECT prop, value, count(*) AS n FROM reported GROUP BY ALL", "reported")
+twin("stored_tree", "SELECT package, rel_path, count(*) AS n_usages FROM used GROUP BY ALL", "used")
+twin("stored_rules", """
+    SELECT package, count(*) AS n, count(DISTINCT props) AS n_rules FROM prop_sets GROUP BY package""", "prop_sets")
+twin("stored_rewrites", """
+    SELECT file_path, length(code_before) - length(replace(code_before, chr(10), '')) + 1 AS lines_before,
+      length(code_after) - length(replace(code_after, chr(10), '')) + 1 AS lines_after FROM rewritten""", "rewritten")

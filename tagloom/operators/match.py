@@ -57,8 +57,8 @@ def match_by_anchor(
     """Matching for rule tables of any size: one equi-join on one term per clause.
 
     Distinct prop sets are matched, not usages.  Every clause with terms is
-    filed under its first term, so a prop set meets only the clauses whose
-    first term it satisfies and each of those is then tested in full.  Of the
+    filed under its rarest term, so a prop set meets only the clauses whose
+    rarest term it satisfies and each of those is then tested in full.  Of the
     rules that need no term only the best one per component can ever win, so
     that one is kept; rules with only excluded terms are tested one by one.
     """
@@ -120,17 +120,37 @@ def _clauses(rules: DataFrame, mode: str) -> DataFrame:
 
 def best_rules(sets: DataFrame, rules: DataFrame, mode: str = "first_match") -> DataFrame:
     """(package, component, full_key, n, rule_pos) of the prop sets that match a rule."""
-    filed = _clauses(rules, mode).select("*", *_anchor_columns(F.get("clause", 0)))
+    anchored = _set_anchors(sets)
+    filed = _file_clauses(_clauses(rules, mode), anchored)
     props = F.map_from_entries("full_key")
     return (
-        _set_anchors(sets)
-        .join(filed, _TERM_KEYS)
+        anchored.join(filed, _TERM_KEYS)
         .filter(clause_holds(F.col("clause"), props) & ~F.exists("none_of", lambda t: term_holds(t, props)))
         .groupBy("package", "component", "full_key", "n")
         .agg(F.min_by("rule_pos", "rank").alias("rule_pos"))
     )
 
 
+def _file_clauses(clauses: DataFrame, anchored: DataFrame) -> DataFrame:
+    """File every clause under the one of its terms that the fewest prop sets satisfy.
+
+    A term most sets share would bring most sets together with most rules.  A
+    clause with a term no set satisfies cannot match and is left out.
+    """
+    weights = anchored.groupBy(*_TERM_KEYS).agg(F.count("*").alias("_sets"), F.sum("n").alias("_usages"))
+    terms = clauses.select("*", F.posexplode_outer("clause").alias("_term_pos", "_term"))
+    placed = terms.select(
+        "package", "component", "rule_pos", "clause_pos", "_term_pos", *_anchor_columns(F.col("_term"))
+    ).join(weights, _TERM_KEYS, "left")
+    rarest = F.struct(F.coalesce("_sets", F.lit(0)).alias("sets"), F.coalesce("_usages", F.lit(0)).alias("usages"),
+                      F.coalesce("_term_pos", F.lit(0)).alias("pos"))
+    best = placed.groupBy("package", "component", "rule_pos", "clause_pos").agg(
+        F.min_by(F.struct("anchor_kind", "anchor_key", "anchor_value"), rarest).alias("_at"), F.min(rarest).alias("_w")
+    )
+    kept = best.filter(F.col("_w.sets") > 0).select("package", "component", "rule_pos", "clause_pos", "_at.*")
+    return clauses.join(kept, ["package", "component", "rule_pos", "clause_pos"])
+
+
 def match_by_division(used: DataFrame, rules: DataFrame, mode: str = "first_match") -> DataFrame:
     """The same result by relational division: the cross-check of the other plans.
 

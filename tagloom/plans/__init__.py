@@ -1,0 +1 @@
+"""Whole workflows: analyze, report, migrate."""
