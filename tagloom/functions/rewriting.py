@@ -217,8 +217,11 @@ def _rewritten(x: Column, i: Column, partners: Column, rename_components: bool)
     supported = rule["template"].isNull() | closed | (closer.isNotNull() & takes_children)
     name = F.coalesce(rule["new_component"], token["name"]) if rename_components else token["name"]
 
-    plain = F.concat(
-        F.lit("<"), name, render_attributes(apply_rule(x["attrs"], x["props"], rule)), F.when(closed, " />").otherwise(">")
+    plain = let(
+        apply_rule(x["attrs"], x["props"], rule),
+        lambda new: F.when((new["raw"] == x["attrs"]["raw"]) & (name == token["name"]), token["raw"]).otherwise(
+            F.concat(F.lit("<"), name, render_attributes(new), F.when(closed, " />").otherwise(">"))
+        ),
     )
     filled = let(
         split_for_template(x["attrs"], x["props"], rule), lambda s: fill_template(template, s["outer"], s["inner"])
