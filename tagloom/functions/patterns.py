@@ -6,7 +6,7 @@ recursion or backtracking however long the text is.  The SQL twins run on RE2,
 which has no possessive loops and needs none.
 
 The subset: attribute values are quoted strings, bare words, or braces nested
-up to four levels; block comments, HTML comments and whole-line ``//`` comments
+up to six levels; block comments, HTML comments and whole-line ``//`` comments
 are skipped.
 """
 
@@ -33,7 +33,7 @@ def build_patterns(possessive: bool) -> Patterns:
     """Patterns for Java (``possessive=True``) or RE2 (``False``)."""
     many = "*+" if possessive else "*"
     inner = r"[^{}]" + many
-    for _ in range(3):
+    for _ in range(5):
         inner = r"[^{}]" + many + r"(?:\{" + inner + r"\}[^{}]" + many + ")" + many
     braces = r"\{" + inner + r"\}"
     value = r'"[^"]*"|\'[^\']*\'|' + braces + r"|[^\s\"'{}<>=`]+"

@@ -6,6 +6,7 @@ no join either, because a file's imports and its elements come from one row.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -152,6 +153,19 @@ def usages(
     return _with_props(rows, *columns)
 
 
+def unread_tags(files: DataFrame, target: str) -> DataFrame:
+    """Files with tags of the target that the attribute grammar cannot read, and how many.
+
+    Such tags (braces nested deeper than six levels, or unbalanced braces in a
+    string) give no usages and are left alone by a rewrite; this lists them.
+    """
+    opener = r"<" + re.escape(target) + r"(?:\s|/|>)"
+    counts = F.transform(markup.gaps(F.col("code")), lambda g: F.regexp_count(g, F.lit(opener)))
+    total = F.aggregate(counts, F.lit(0), lambda a, n: a + n)
+    found = files.filter(F.contains(F.col("code"), F.lit(f"<{target}")))
+    return each(found, F.array(F.nullif(total, F.lit(0))), "n_unread").select("file_path", "n_unread")
+
+
 def event_usages(events: DataFrame, file: str, component: str, props: str, package: str) -> DataFrame:
     """Event records as usages: the event type is the component, JSON fields are the props."""
     return events.select(

@@ -119,3 +119,9 @@ def test_text_is_read_once(files_of):
     plan = used._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("</[A-Za-z_$]") == 1  # the token pattern appears in one place only
     assert "attrs" not in plan.split("\n")[0]
+
+
+def test_unread_tags_are_listed(files_of):
+    deep = "<Text a=" + "{" * 9 + "1" + "}" * 9 + " />"
+    files = files_of({"good": UI + "<Text a={{b: {c: 1}}}/>", "deep": UI + "<Text/>" + deep, "note": UI + "// " + deep})
+    assert [tuple(r) for r in extract.unread_tags(files, "Text").collect()] == [("deep", 1)]

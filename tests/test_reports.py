@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tagloom.functions.paths import outside_directories
@@ -53,7 +54,17 @@ def test_directories(spark):
     assert got == {"s": (3, 2), "s/a.tsx": (2, 1), "s/b.tsx": (1, 1), "t": (1, 1), "t/c.tsx": (1, 1)}
 
 
-def test_numbering_over_many_partitions(spark):
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbering_over_many_partitions(spark, adaptive):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        check_numbering(spark)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def check_numbering(spark):
     rows = spark.range(20000).select((F.col("id") * 7919 % 20000).alias("v")).repartition(13)
     numbered = number_rows(rows, [F.col("v").desc()], "no")
     assert numbered.filter("v + no <> 20000").count() == 0
