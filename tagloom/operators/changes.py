@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.functions import hunks as hunk_lines
+
 
 def changed_files(rewritten: DataFrame) -> DataFrame:
     """Files whose rewrite counts as a change, before and after."""
@@ -48,7 +51,9 @@ def hunks(changed: DataFrame, context: int = 2) -> DataFrame:
     Each file is compared inside its own row, in Arrow batches; files do not
     meet, so nothing is grouped or shuffled.
     """
-    from tagloom.functions.hunks import diff_rows
+    # the helper travels with the job, so executors need no copy of the package
+    cloudpickle.register_pickle_by_value(hunk_lines)
+    diff_rows = hunk_lines.diff_rows
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
