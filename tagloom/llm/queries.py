@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import line_dedup
+from tagloom.llm import line_dedup, quality_rules, token_counts
 from tagloom.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,21 @@ def op10_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Lines that three or more documents share stay in the largest document only."""
     cleaned = line_dedup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Base counts and verdict of each document, by a decision list learned from the quality labels."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rules = quality_rules.learn(quality_rules.labelled_sample(docs, table(spark, sf, "labels")))
+    judged = quality_rules.judge(docs, rules)
+    return judged.select("doc_id", *[F.col(f"_stats.{name}").alias(name) for name in quality_rules.BASE], "base_failed", "kept", "rule")
+
+
+@query
+def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of each document by the byte-level vocabulary of 50,257 tokens."""
+    import public_tokenizers
+
+    counted = token_counts.count_tokens(table(spark, sf, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
