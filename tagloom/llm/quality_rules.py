@@ -47,7 +47,7 @@ def _window_hashes(words: Column) -> Column:
     """A 64-bit hash of each window of eight words, by its first word."""
 
     def windows(h: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size(h) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(h, i, WINDOW)))
+        each = F.transform(F.sequence(F.lit(1), F.size(h) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(h, i, F.lit(WINDOW))))
         return F.when(F.size(h) >= WINDOW, each).otherwise(F.array().cast("array<bigint>"))
 
     return let(F.transform(words, lambda w: F.xxhash64(w)), windows)
@@ -60,7 +60,7 @@ def _repeated_words(words: Column, hashes: Column) -> Column:
     """
 
     def same(a: Column, b: Column) -> Column:
-        return (a["h"] == b["h"]) & (F.slice(words, a["i"] + 1, WINDOW) == F.slice(words, b["i"] + 1, WINDOW))
+        return (a["h"] == b["h"]) & (F.slice(words, a["i"] + 1, F.lit(WINDOW)) == F.slice(words, b["i"] + 1, F.lit(WINDOW)))
 
     def repeated(s: Column) -> Column:
         return F.transform(s, lambda x, k: F.when(
@@ -175,14 +175,14 @@ def learn(
     rows = stored(rows, "quality-rows")
     # thresholds: the midpoints between quantiles of either class
     shares = [i / bins for i in range(bins + 1)]
-    asked = [F.percentile_approx(F.when(side, F.col(name)), F.lit(shares).cast("array<double>"), 10_000).alias(f"{name}_{k}")
+    asked = [F.percentile_approx(F.when(side, F.col(name)), shares, 10_000).alias(f"{name}_{k}")
              for name in FEATURES for k, side in enumerate((F.col("reject"), ~F.col("reject")))]
     quantiles = rows.agg(*asked).first()
     cuts: dict[str, list[float]] = {}
     for name in FEATURES:
         values = sorted({v for k in (0, 1) for v in quantiles[f"{name}_{k}"] or []})
         cuts[name] = [(a + b) / 2 for a, b in zip(values, values[1:], strict=False)]
-    binned = [F.size(F.filter(F.lit(cuts[name]).cast("array<double>") if cuts[name] else F.array().cast("array<double>"), lambda t, n=name: F.col(n) > t)).alias(name) for name in FEATURES]
+    binned = [_bin(name, cuts[name]).alias(name) for name in FEATURES]
     grows = F.pmod(F.xxhash64("doc_id", F.lit("grow")), F.lit(3)) < 2
     tell = {"grow_pos": grows & F.col("reject"), "grow_neg": grows & ~F.col("reject"), "prune_pos": ~grows & F.col("reject"), "prune_neg": ~grows & ~F.col("reject")}
     cells = rows.select(*binned, *[c.alias(k) for k, c in tell.items()]).groupBy(*FEATURES).agg(*[F.count_if(k).alias(k) for k in tell])
@@ -211,6 +211,13 @@ def learn(
     return DecisionList([[Condition(f, above, cuts[f][i]) for f, above, i in rule] for rule in found])
 
 
+def _bin(name: str, cuts: list[float]) -> Column:
+    """How many thresholds the feature is above."""
+    if not cuts:
+        return F.lit(0)
+    return F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda t: F.col(name) > t))
+
+
 def _best_condition(cells: DataFrame, cuts: dict[str, list[float]], min_cover: int) -> tuple[str, bool, int] | None:
     """The condition of largest gain: (feature, above, index of the threshold)."""
     entries = F.array(*[F.struct(F.lit(name).alias("feature"), F.col(name).alias("bin")) for name in FEATURES])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import line_dedup, quality_rules, token_counts
+from tagloom.llm import chat_format, decontaminate, language_id, line_dedup, mixing, quality_rules, simhash_dedup, token_counts, toxicity, warc
 from tagloom.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,55 @@ def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
     counted = token_counts.count_tokens(table(spark, sf, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query
+def op3_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint and component of each document, fingerprints linked within three bits."""
+    found = simhash_dedup.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of each document; one in four is never learned from."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    apart = toxicity.held_out("doc_id", 4, 2)
+    model = language_id.learn(docs.filter(~apart))
+    return language_id.predict(docs.select("doc_id", "text", apart.alias("held_out")), model).drop("text")
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity of each document; one in five is never learned from."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.learn(*toxicity.training_rows(docs, table(spark, sf, "labels")))
+    scored = toxicity.score(docs.withColumn("held_out", toxicity.held_out("doc_id", 5, 0)), model).drop("text")
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
+@query
+def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages written as whole-stream archives, normalised, and read back by offset."""
+    return warc.archive_pages(table(spark, sf, "pages").select("page_id", "url", "html"))
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and the benchmark items that stand in them within the edit budget."""
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """Rate of each document, so that expected tokens of the domains meet their targets."""
+    mixed = mixing.mix_documents(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), table(spark, sf, "labels"))
+    return mixed.select("doc_id", "source", "n_tokens", "domain", "rate")
+
+
+@query
+def op6_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    """Preference pairs of conversations and the answers donated by their neighbours."""
+    found = chat_format.format_preferences(*chat_format.donated_pairs(table(spark, sf, "conversations")))
+    masks = [chat_format.mask_text(f"{side}_mask").alias(f"{side}_mask") for side in ("chosen", "rejected")]
+    return found.select("pair_id", F.col("prompt_turns").cast("bigint").alias("prompt_turns"), "prompt", "chosen", "rejected", *masks)

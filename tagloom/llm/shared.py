@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from tagloom.operators.numbering import ensure_checkpoint_dir
@@ -49,7 +50,7 @@ def write_file(uri: str, content: bytes) -> None:
     files, path = file_system(uri)
     files.create_dir(path.rsplit("/", 1)[0], recursive=True)
     draft = f"{path}.{uuid.uuid4().hex}"
-    with files.open_output_stream(draft) as out:
+    with files.open_output_stream(draft, compression=None) as out:
         out.write(content)
     files.move(draft, path)
 
@@ -57,7 +58,7 @@ def write_file(uri: str, content: bytes) -> None:
 def read_file(uri: str) -> bytes | None:
     files, path = file_system(uri)
     try:
-        with files.open_input_stream(path) as stream:
+        with files.open_input_stream(path, compression=None) as stream:
             return stream.read()
     except FileNotFoundError:
         return None
@@ -66,7 +67,7 @@ def read_file(uri: str) -> bytes | None:
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches of about ``most`` bytes of text, so that long texts do not add up in memory."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = total = 0
         for i, size in enumerate(sizes):
             if total + size > most and i > start:
