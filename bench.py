@@ -21,7 +21,9 @@ HEADLINE = [
     "combo_pivot",
     "directory_rollup",
     "first_match",
-    "match_division",
+    "match_anchor",
+    "stored_rules",
+    "skeleton_rewrites",
     "variant_counts",
     "rule_applied",
     "imports_rewired",

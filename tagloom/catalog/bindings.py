@@ -75,3 +75,24 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(
         F.col("page_id").cast("string").alias("file_path"), host.alias("package"), "html"
     )
+
+
+def kit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source file per supplier, each with one of eight shapes that need more than a pattern to be read."""
+    head = 'import { Text } from "@acme/ui";\n'
+    shapes = [
+        head + '<Box n="outer" icon={<Text n="inner" />} />',
+        head + '<Text n="deep" a={{b: {c: {d: {e: {f: {g: {h: "}"}}}}}}}} />',
+        head + "const s = '<Text n=\"no\">'; go(`<Text n=\"no\" />`); // <Text n=\"no\" />\n<Text n=\"real\" />",
+        head + 'useState<Text>(1); a <Text && b; <Text<Row> n="typed" />;',
+        'import A from "x"; import { Text /* c */ } from "@acme/ui";\n/* import { Text } from "@acme/xy"; */\n<Text n="after" />',
+        head + '<Text n="a" x={() => <Text n="b">{ok ? `${<Text n="c" />}` : null}</Text>}>it\'s</Text>',
+        head + "<p>don't {say(\"<Text n='no' />\")} it's <Text n=\"said\">{/* <Text n=\"no\" /> */}</Text></p>",
+        head + '<Text n="out" bad={1} =><Text n="in" /></Text>',
+    ]
+    texts = F.array(*[F.lit(x) for x in shapes])
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey")
+    return suppliers.select(
+        F.concat(F.lit("kit/S"), F.col("s_suppkey").cast("string"), F.lit(".tsx")).alias("file_path"),
+        F.get(texts, (F.col("s_suppkey") % len(shapes)).cast("int")).alias("code"),
+    )

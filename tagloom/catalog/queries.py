@@ -6,6 +6,7 @@ shown as sorted ``name=value`` text.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from functools import wraps
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.catalog import bindings as b
-from tagloom.catalog.demo_rules import demo_rules
+from tagloom.catalog.demo_rules import MAPPED_FROM, demo_rules
 from tagloom.functions import markup, paths
 from tagloom.functions import props as p
 from tagloom.operators import aggregates as agg
@@ -22,7 +23,7 @@ from tagloom.operators import attribute, changes, extract, imports, match, rewri
 from tagloom.operators import rules as rule_ops
 from tagloom.operators.numbering import ensure_checkpoint_dir
 from tagloom.plans import migrate
-from tagloom.sources import reports
+from tagloom.sources import files, reports, spec
 from tagloom.sources import rules as rules_io
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,11 +48,15 @@ def _usages(spark: SparkSession, sf: str, locate: bool = False) -> DataFrame:
 
 
 def _matched(spark: SparkSession, sf: str, mode: str = "first_match") -> DataFrame:
-    return match.match_rules(_usages(spark, sf), demo_rules(spark), mode)
+    return match.match_rules(_usages(spark, sf), demo_rules(spark), mode, compiled=True)
 
 
 def _rewritten(spark: SparkSession, sf: str) -> DataFrame:
-    return rewrite.rewrite_files(b.code_files(spark, sf), b.PACKAGES, demo_rules(spark), b.TARGET)
+    return rewrite.rewrite_files(b.code_files(spark, sf), b.PACKAGES, demo_rules(spark), b.TARGET, compiled=True)
+
+
+def _moves(spark: SparkSession, sf: str) -> DataFrame:
+    return imports.file_moves(b.code_files(spark, sf), b.PACKAGES, demo_rules(spark), b.TARGET, compiled=True)
 
 
 def _text(column: str):
@@ -64,7 +69,7 @@ def _text(column: str):
 @query
 def element_usages(spark: SparkSession, sf: str) -> DataFrame:
     """Elements of web pages with their attributes."""
-    rows = extract.element_rows(b.pages(spark, sf), text="html")
+    rows = extract.page_element_rows(b.pages(spark, sf))
     return rows.select("file_path", "package", "component", "pos", _text("props").alias("props"))
 
 
@@ -140,10 +145,11 @@ def elements_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def selected_elements(spark: SparkSession, sf: str) -> DataFrame:
     """Elements of the files that have at least one rule match with a template."""
-    used = _usages(spark, sf)
-    chosen = _matched(spark, sf).filter(F.col("rule.template").isNotNull())
-    kept = extract.elements_of_files(used, chosen)
-    return kept.groupBy("file_path").agg(F.count("*").alias("n_elements"), F.max("pos").alias("last_pos"))
+    rows = match.match_rules(_usages(spark, sf), demo_rules(spark), keep_unmatched=True, compiled=True)
+    per_file = rows.groupBy("file_path").agg(
+        F.count("*").alias("n_elements"), F.max("pos").alias("last_pos"), F.bool_or(F.col("rule.template").isNotNull()).alias("chosen")
+    )
+    return per_file.filter("chosen").drop("chosen")
 
 
 # ---- attribution ----
@@ -170,10 +176,8 @@ def attributed_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def unattributed_files(spark: SparkSession, sf: str) -> DataFrame:
-    files = b.code_files(spark, sf)
-    elements = extract.element_rows(files, b.TARGET).select("file_path", "pos")
-    found = extract.import_rows(files, b.PACKAGES, b.TARGET)
-    return agg.usages_per_file(attribute.without_import(elements, found))
+    """Files with elements of the target but no import for them, read once."""
+    return extract.unattributed(b.code_files(spark, sf), b.PACKAGES, b.TARGET)
 
 
 @query
@@ -188,16 +192,10 @@ def usage_import_decl(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def scope_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Usages in three scopes: everything, one package, one component of it."""
-    used = _usages(spark, sf).select("package", "component", "props")
-
-    def count(scope: str, rows: DataFrame) -> DataFrame:
-        return rows.agg(F.count("*").alias("n")).select(F.lit(scope).alias("scope"), "n")
-
-    return (
-        count("all", attribute.in_scope(used))
-        .unionByName(count("package", attribute.in_scope(used, b.PACKAGES[1])))
-        .unionByName(count("component", attribute.in_scope(used, b.PACKAGES[0], b.TARGET)))
-    )
+    used = _usages(spark, sf).select("package", "component")
+    scopes = {"all": F.lit(True), "package": attribute.scope(b.PACKAGES[1]), "component": attribute.scope(b.PACKAGES[0], b.TARGET)}
+    counts = used.agg(*[F.count_if(where).alias(name) for name, where in scopes.items()])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(name).alias("scope"), F.col(name).alias("n")) for name in scopes])).alias("s")).select("s.*")
 
 
 # ---- reports ----
@@ -223,7 +221,7 @@ def prop_levels(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def page_prop_levels(spark: SparkSession, sf: str) -> DataFrame:
     """Attributes of web pages: overall, per host, per host and tag."""
-    return agg.prop_levels(extract.element_rows(b.pages(spark, sf), text="html"))
+    return agg.prop_levels(extract.page_element_rows(b.pages(spark, sf)))
 
 
 @query
@@ -286,6 +284,14 @@ def combo_count(spark: SparkSession, sf: str) -> DataFrame:
     return agg.count_combinations(_usages(spark, sf))
 
 
+@query
+def combo_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The report table in long form: a row for each prop of each combination, with the prop's total that orders the columns."""
+    used = _usages(spark, sf)
+    cells = agg.combination_cells(used)
+    return cells.select(p.key_text(F.col("props_key")).alias("props"), "prop", "value", "n", "prop_total")
+
+
 WIDE_KEYS = ["bold", "color", "href", "n", "onClick", "size", "tag", "type"]
 
 
@@ -316,7 +322,7 @@ def directory_rollup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def component_index(spark: SparkSession, sf: str) -> DataFrame:
     """Numbered choice list of hosts and tags."""
-    return agg.component_index(extract.element_rows(b.pages(spark, sf), text="html"))
+    return agg.component_index(extract.page_element_rows(b.pages(spark, sf)))
 
 
 @query
@@ -357,8 +363,8 @@ def variant_rules(spark: SparkSession, sf: str) -> DataFrame:
 def variant_clauses(spark: SparkSession, sf: str) -> DataFrame:
     """Variants with their clauses, and the usages that satisfy one of them."""
     clauses = rule_ops.variant_clauses(rule_ops.scenarios(spark), rule_ops.variant_table(spark))
-    rules = rule_ops.variant_rules(clauses, b.PACKAGES, b.TARGET, b.NEW_PACKAGE)
-    best = match.match_by_division(_usages(spark, sf), rules)
+    rules = rule_ops.variant_rules(clauses, b.PACKAGES, b.TARGET, ["type", "size"], MAPPED_FROM, b.NEW_PACKAGE)
+    best = match.best_rules(match.distinct_prop_sets(_usages(spark, sf)), rules)
     counted = best.groupBy("package", "rule_pos").agg(F.sum("n").alias("n"))
     shown = rules.select(
         "package", "rule_pos", "rule_order", F.get("set.value", 0).alias("variant"), F.size("any_of").alias("n_clauses")
@@ -415,7 +421,7 @@ def negated_match(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def unmatched_usages(spark: SparkSession, sf: str) -> DataFrame:
     """Usages without a matching rule."""
-    rows = match.match_rules(_usages(spark, sf), demo_rules(spark), keep_unmatched=True)
+    rows = match.match_rules(_usages(spark, sf), demo_rules(spark), keep_unmatched=True, compiled=True)
     return rows.filter(F.col("rule").isNull()).groupBy("package", "resolved").agg(F.count("*").alias("n"))
 
 
@@ -426,13 +432,6 @@ def match_anchor(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("file_path", "pos", "package", F.col("rule.rule_pos").alias("rule_pos"))
 
 
-@query
-def match_division(spark: SparkSession, sf: str) -> DataFrame:
-    """First match by relational division, per distinct prop set."""
-    rows = match.match_by_division(_usages(spark, sf), demo_rules(spark))
-    return rows.select("package", "component", _text("props").alias("props"), "n", "rule_pos")
-
-
 @query
 def files_without_rules(spark: SparkSession, sf: str) -> DataFrame:
     rows = match.without_rules(_usages(spark, sf), demo_rules(spark))
@@ -489,8 +488,10 @@ def template_split(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def template_rendered(spark: SparkSession, sf: str) -> DataFrame:
-    rows = rewrite.template_rendered(_matched(spark, sf), F.lit("R"))
-    return rows.select("file_path", "pos", "rendered")
+    """Elements rendered through their template around their own children."""
+    used = extract.usages(b.code_files(spark, sf), b.PACKAGES, b.TARGET, b.ROOT, children=True)
+    matched = match.match_rules(used, demo_rules(spark), compiled=True)
+    return rewrite.template_rendered(matched, F.col("children")).select("file_path", "pos", "rendered")
 
 
 @query
@@ -504,29 +505,26 @@ def mutated_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def imports_pruned(spark: SparkSession, sf: str) -> DataFrame:
-    found = extract.import_rows(b.code_files(spark, sf))
-    kept = imports.prune_imports(found, imports.moved_specifiers(_matched(spark, sf)))
-    return kept.select("file_path", "package", "specifier_type", "local_name")
+    return imports.prune_imports(_moves(spark, sf)).select("file_path", "package", "specifier_type", "local_name")
 
 
 @query
 def imports_added(spark: SparkSession, sf: str) -> DataFrame:
-    found = extract.import_rows(b.code_files(spark, sf))
-    return imports.added_imports(found, imports.moved_specifiers(_matched(spark, sf))).select(
-        "file_path", "package", "import_stm", "local_name"
-    )
+    return imports.added_imports(_moves(spark, sf)).select("file_path", "package", "import_stm", "local_name")
 
 
 @query
 def imports_rewired(spark: SparkSession, sf: str) -> DataFrame:
-    found = extract.import_rows(b.code_files(spark, sf))
-    rows = imports.rewired_imports(found, imports.moved_specifiers(_matched(spark, sf)))
+    rows = imports.rewired_imports(_moves(spark, sf))
     return rows.groupBy("package", "specifier_type", "local_name").agg(F.count("*").alias("n"))
 
 
 @query
 def migration_units(spark: SparkSession, sf: str) -> DataFrame:
-    return agg.migration_units(_usages(spark, sf), b.PACKAGES)
+    """One unit per file over all it imports, also where that comes from several packages."""
+    found = extract.import_rows(b.code_files(spark, sf), b.PACKAGES)
+    name = markup.component_name(F.struct("import_type", "local_name", "imported_name"))
+    return agg.migration_units(found.select("file_path", "package", name.alias("component")), b.PACKAGES)
 
 
 # ---- change sets ----
@@ -629,3 +627,66 @@ def stored_rewrites(spark: SparkSession, sf: str) -> DataFrame:
     stored = migrate.apply(_rewritten(spark, sf), f"{_work_folder(spark)}/rewritten")
     lines = [F.size(F.split(c, "\n")).alias(f"lines_{c[5:]}") for c in ("code_before", "code_after")]
     return stored.select("file_path", *lines)
+
+
+# ---- sources ----
+
+
+@query
+def tree_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The source files written as a tree and scanned without a blacklisted directory."""
+    root = f"{_work_folder(spark)}/tree"
+    files.write_tree(b.code_files(spark, sf), root)
+    found = files.scan_tree(spark, root, ["PROMO"])
+    rel = paths.relative_path(F.col("file_path"), files.local_path(root))
+    return found.select(rel.alias("file_path"), F.length("code").alias("n_chars"), F.md5("code").alias("code_hash"))
+
+
+@query
+def spec_packages(spark: SparkSession, sf: str) -> DataFrame:
+    """The packages of a migration spec with their rank, and their usages."""
+    old = {"oldImportPath": "@acme/ui,@acme/ui/Text,@acme/xy", "compName": "Text"}
+    new = {"newImportPath": b.NEW_PACKAGE, "importType": "named", "compName": "Label"}
+    path = f"{_work_folder(spark)}/spec"
+    spark.createDataFrame([(json.dumps({"old": old, "new": new}),)], "value string").write.text(path)
+    ranked = spec.spec_packages(spec.read_spec(spark, path))
+    counted = _usages(spark, sf).groupBy("package").agg(F.count("*").alias("n_usages"))
+    return ranked.join(counted, "package").select("pkg_rank", "package", "n_usages")
+
+
+@query
+def nested_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested usage reports, one document for each page, flattened to usages per package and file."""
+    pages = b.pages(spark, sf)
+    number = F.col("file_path").cast("bigint")
+    usage = F.to_json(F.struct(F.lit("a").alias("name"), F.col("file_path").alias("filePath"), F.create_map(F.lit("href"), F.lit("x")).alias("props")))
+    leaf = F.concat(F.lit('{"Page.tsx":['), usage, F.lit("]}"))
+    tree = F.concat(F.lit('{"_imports":{"x":[]},"pages":{"p'), (number % 7).cast("string"), F.lit('":{"p'), (number % 5).cast("string"), F.lit('":'), leaf, F.lit("}}}"))
+    documents = pages.select(F.concat(F.lit('{"'), "package", F.lit('":'), tree, F.lit("}")).alias("value"))
+    return reports.files_of_usages(reports.nested_usages(documents))
+
+
+@query
+def skeleton_rewrites(spark: SparkSession, sf: str) -> DataFrame:
+    """All rules of ``rule_skeletons``, each with a value to set, applied to all files."""
+    code = b.code_files(spark, sf)
+    combos = agg.combinations(extract.usages(code, b.PACKAGES, b.TARGET, b.ROOT))
+    rules = rule_ops.skeletons(combos, {"new_component": "Label", "import_to": b.NEW_PACKAGE}, b.PACKAGES, b.TARGET)
+    seen = F.array(F.struct(F.lit("seen").alias("key"), F.lit("true").alias("value"), F.lit("boolean").alias("literal")))
+    done = rewrite.rewrite_files(code, b.PACKAGES, rules.withColumn("set", seen), b.TARGET, "most_specific")
+    return done.filter("mutated").select("file_path", "package", "code_after")
+
+
+# ---- source text beyond the generated files ----
+
+
+@query
+def nested_elements(spark: SparkSession, sf: str) -> DataFrame:
+    """Elements in attribute values, template literals, deep braces and odd imports; none from strings and comments."""
+    used = extract.usages(b.kit_files(spark, sf), b.PACKAGES, None)
+    return used.filter(F.col("props")["n"].isNotNull()).groupBy("file_path", "component", F.col("props")["n"].alias("n")).agg(F.count("*").alias("found"))
+
+
+@query
+def unread_tags(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.unread_tags(b.kit_files(spark, sf), b.TARGET)

@@ -53,13 +53,13 @@ block(
     f"""
     SELECT file_path, pos, package, rule_pos, spec FROM (
       SELECT file_path, pos, package, 0 AS rule_pos, 2 AS spec FROM ruled
-        WHERE package = '@acme/ui' AND tag = 'a' AND on_click IS NOT NULL
-      UNION ALL SELECT file_path, pos, package, 1, 1 FROM ruled WHERE package = '@acme/ui' AND tag = 'a'
+        WHERE package = '@acme/ui' AND href IS NOT NULL AND bold IS NOT NULL
+      UNION ALL SELECT file_path, pos, package, 1, 1 FROM ruled WHERE package = '@acme/ui' AND href = 'url'
       UNION ALL SELECT file_path, pos, package, 2, 2 FROM ruled
-        WHERE package = '@acme/ui' AND bold IS NOT NULL AND type IN ('label', 'mono')
+        WHERE package = '@acme/ui' AND (class_name = 'x' AND type = 'mono' OR class_name IS NOT NULL AND type = 'label')
       UNION ALL SELECT file_path, pos, package, 3, 3 FROM ruled
-        WHERE package = '@acme/ui' AND size IS NULL AND class_name IS NULL AND color IS DISTINCT FROM 'theme.primary'
-      UNION ALL SELECT file_path, pos, package, 4, 1 FROM ruled WHERE package = '@acme/ui' AND bold = 'true'
+        WHERE package = '@acme/ui' AND type IS NULL AND on_click IS NULL AND color IS DISTINCT FROM 'CallExpression'
+      UNION ALL SELECT file_path, pos, package, 4, 1 FROM ruled WHERE package = '@acme/ui' AND color = 'theme.primary'
       UNION ALL
       SELECT DISTINCT r.file_path, r.pos, r.package, vpos + CASE WHEN r.package = '@acme/ui' THEN 5 ELSE 0 END, f.n_terms
       FROM ruled r
@@ -80,19 +80,18 @@ block(
     """
     SELECT '@acme/ui/Text' AS package, vpos AS rule_pos, 'variant' AS key, variant AS value FROM variant_pos
     UNION ALL SELECT '@acme/ui', vpos + 5, 'variant', variant FROM variant_pos
-    UNION ALL SELECT '@acme/ui', * FROM (VALUES (0, 'asChild', 'true'), (0, 'variant', 'linkStandalone'),
-      (1, 'variant', 'linkStandalone'), (2, 'weight', 'bold'), (3, 'variant', 'plain'))
+    UNION ALL SELECT '@acme/ui', * FROM (VALUES (0, 'tone', 'quiet'), (1, 'plain', 'true'), (1, 'tone', 'loud'),
+      (2, 'box', 'tight'), (3, 'level', 'base'))
     """,
 )
 block(
     "removals",
     ["variant_pos"],
     """
-    SELECT package, rule_pos, unnest(['tag', 'type', 'size']) AS prop FROM (
+    SELECT package, rule_pos, unnest(['type', 'size']) AS prop FROM (
       SELECT '@acme/ui/Text' AS package, vpos AS rule_pos FROM variant_pos
-      UNION ALL SELECT '@acme/ui', vpos + 5 FROM variant_pos
-      UNION ALL SELECT '@acme/ui', 0 UNION ALL SELECT '@acme/ui', 1)
-    UNION ALL SELECT '@acme/ui', 2, 'bold'
+      UNION ALL SELECT '@acme/ui', vpos + 5 FROM variant_pos)
+    UNION ALL SELECT '@acme/ui', * FROM (VALUES (0, 'bold'), (0, 'color'), (0, 'size'), (1, 'tag'), (2, 'className'))
     """,
 )
 # attributes after remove, rename and set; sort_no keeps their order
@@ -106,15 +105,15 @@ block(
       WHERE a.prop IS NULL OR NOT (
         EXISTS (SELECT 1 FROM removals r WHERE r.package = w.package AND r.rule_pos = w.rule_pos AND r.prop = a.prop)
         OR EXISTS (SELECT 1 FROM effects e WHERE e.package = w.package AND e.rule_pos = w.rule_pos AND e.key = a.prop)
-        OR (w.package = '@acme/ui' AND w.rule_pos = 1 AND a.prop IN ('href', 'to')
+        OR (w.package = '@acme/ui' AND w.rule_pos = 1 AND a.prop IN ('href', 'goto')
             AND EXISTS (SELECT 1 FROM props p WHERE p.file_path = a.file_path AND p.pos = a.pos AND p.prop = 'href'))))
     SELECT * FROM kept
     UNION ALL
-    SELECT p.file_path, p.pos, 1000, 'to', p.value, 'to="' || p.value || '"'
+    SELECT p.file_path, p.pos, 1000, 'goto', p.value, 'goto="' || p.value || '"'
     FROM props p JOIN won w USING (file_path, pos) WHERE w.package = '@acme/ui' AND w.rule_pos = 1 AND p.prop = 'href'
     UNION ALL
     SELECT w.file_path, w.pos, 2000 + row_number() OVER (PARTITION BY w.file_path, w.pos ORDER BY e.key), e.key, e.value,
-      CASE WHEN e.key = 'asChild' THEN 'asChild' ELSE e.key || '="' || e.value || '"' END
+      CASE WHEN e.key = 'plain' THEN 'plain' ELSE e.key || '="' || e.value || '"' END
     FROM won w JOIN effects e USING (package, rule_pos)
     """,
 )
@@ -135,11 +134,11 @@ block(
     "outer_inner",
     ["won", "attrs", "props"],
     """
-    SELECT w.file_path, w.pos, ' asChild variant="linkStandalone"' ||
-        coalesce(string_agg(' ' || a.raw, '' ORDER BY a.attr_no) FILTER (a.prop NOT IN ('href', 'onClick')), '') AS outer_attrs,
-      coalesce(string_agg(' ' || a.raw, '' ORDER BY a.attr_no) FILTER (a.prop IN ('href', 'onClick')), '') AS inner_attrs
+    SELECT w.file_path, w.pos, ' tone="quiet"' ||
+        coalesce(string_agg(' ' || a.raw, '' ORDER BY a.attr_no) FILTER (a.prop NOT IN ('href', 'n')), '') AS outer_attrs,
+      coalesce(string_agg(' ' || a.raw, '' ORDER BY a.attr_no) FILTER (a.prop IN ('href', 'n')), '') AS inner_attrs
     FROM won w LEFT JOIN (
-      SELECT a.* FROM attrs a JOIN props p USING (file_path, pos, prop) WHERE a.prop NOT IN ('tag', 'type', 'size')) a
+      SELECT a.* FROM attrs a JOIN props p USING (file_path, pos, prop) WHERE a.prop NOT IN ('bold', 'color', 'size')) a
       USING (file_path, pos)
     WHERE w.package = '@acme/ui' AND w.rule_pos = 0
     GROUP BY ALL
@@ -179,7 +178,7 @@ block(
     FROM won w LEFT JOIN new_attrs a USING (file_path, pos)
     WHERE NOT (w.package = '@acme/ui' AND w.rule_pos = 0) GROUP BY ALL
     UNION ALL
-    SELECT file_path, pos, '<Text' || outer_attrs || E'>\\n  <a' || inner_attrs || '>', E'</a>\\n</Text>' FROM outer_inner
+    SELECT file_path, pos, '<Card' || outer_attrs || E'>\\n    <Card.Link kind="jump"' || inner_attrs || '>', E'</Card.Link>\\n</Card>' FROM outer_inner
     """,
 )
 block(
@@ -318,6 +317,11 @@ twin("combo_table", """
     SELECT row_number() OVER (ORDER BY n_props DESC, n DESC, props) AS row_no, props, n, n_props
     FROM (SELECT props, n_props, count(*) AS n FROM prop_sets GROUP BY ALL)""", "prop_sets")
 twin("combo_count", "SELECT count(DISTINCT props) AS n_combos FROM prop_sets", "prop_sets")
+twin("combo_cells", """
+    SELECT c.props, r.prop, r.value, c.n, t.n AS prop_total FROM (
+      SELECT props, count(*) AS n FROM prop_sets GROUP BY props) c
+    JOIN (SELECT DISTINCT s.props, r.prop, r.value FROM prop_sets s JOIN reported r USING (file_path, pos)) r USING (props)
+    JOIN (SELECT prop, count(*) AS n FROM reported GROUP BY prop) t USING (prop)""", "prop_sets", "reported")
 twin("combo_pivot", """
     SELECT count(*) AS n, coalesce(bold, '-') AS p_bold, coalesce(color, '-') AS p_color, coalesce(href, '-') AS p_href,
       coalesce(n, '-') AS p_n, coalesce(on_click, '-') AS "p_onClick", coalesce(size, '-') AS p_size, coalesce(tag, '-') AS p_tag,
@@ -347,7 +351,7 @@ twin("variant_rules", """
     SELECT v.variant, count(*) AS n, count(w.type) AS n_type, count(w.size) AS n_size FROM wide w
     JOIN variants v ON v.type = coalesce(w.type, 'body') AND v.size = coalesce(w.size, 'medium') GROUP BY v.variant""", "wide", "variants")
 twin("variant_clauses", """
-    SELECT p.package, v.vpos AS rule_pos, v.vpos * 2 + p.no + 11 AS rule_order, v.variant,
+    SELECT p.package, v.vpos AS rule_pos, v.vpos * 2 + p.no + 300 AS rule_order, v.variant,
       (SELECT count(*) FROM clauses c WHERE c.variant = v.variant) AS n_clauses, coalesce(h.n, 0) AS n
     FROM variant_pos v CROSS JOIN (VALUES ('@acme/ui/Text', 0), ('@acme/ui', 1)) AS p(package, no)
     LEFT JOIN (
@@ -382,9 +386,6 @@ twin("negated_match", """
 twin("unmatched_usages", """
     SELECT package, resolved, count(*) AS n FROM full_sets f
     WHERE NOT EXISTS (SELECT 1 FROM won w WHERE w.file_path = f.file_path AND w.pos = f.pos) GROUP BY ALL""", "full_sets", "won")
-twin("match_division", """
-    SELECT f.package, f.resolved AS component, f.props, count(*) AS n, w.rule_pos FROM full_sets f
-    JOIN won w USING (file_path, pos) GROUP BY ALL""", "full_sets", "won")
 twin("files_without_rules", """
     SELECT file_path, package, resolved, count(*) AS n_elements FROM full_sets WHERE resolved <> 'Text' GROUP BY ALL""", "full_sets")
 
@@ -396,10 +397,10 @@ twin("props_removed", f"""
       WHERE NOT EXISTS (SELECT 1 FROM removals r WHERE r.package = w.package AND r.rule_pos = w.rule_pos AND r.prop = a.prop))''')})
     """, "won", "attrs", "removals")
 twin("props_renamed", """
-    SELECT w.file_path, w.pos, string_agg(CASE WHEN prop = 'href' THEN 'to' ELSE prop END || '=' || value, ','
-      ORDER BY CASE WHEN prop = 'href' THEN 'to' ELSE prop END) AS props
+    SELECT w.file_path, w.pos, string_agg(CASE WHEN prop = 'href' THEN 'goto' ELSE prop END || '=' || value, ','
+      ORDER BY CASE WHEN prop = 'href' THEN 'goto' ELSE prop END) AS props
     FROM won w JOIN props p USING (file_path, pos)
-    WHERE w.package = '@acme/ui' AND w.rule_pos = 1 AND prop NOT IN ('tag', 'type', 'size') GROUP BY ALL""", "won", "props")
+    WHERE w.package = '@acme/ui' AND w.rule_pos = 1 AND prop <> 'tag' GROUP BY ALL""", "won", "props")
 twin("props_set", f"""
     SELECT file_path, pos, props FROM ({shown_props('''(
       SELECT a.file_path, a.pos, a.attr_no AS sort_no, a.prop, a.value FROM attrs a
@@ -414,7 +415,8 @@ twin("variant_counts", """
     LEFT JOIN effects e ON e.package = s.package AND e.rule_pos = s.rule_pos AND e.key = 'variant' GROUP BY ALL""", "new_sets", "effects")
 twin("template_split", "SELECT * FROM outer_inner", "outer_inner")
 twin("template_rendered", """
-    SELECT file_path, pos, '<Text' || outer_attrs || E'>\\n  <a' || inner_attrs || E'>R</a>\\n</Text>' AS rendered FROM outer_inner""", "outer_inner")
+    SELECT o.file_path, o.pos, '<Card' || outer_attrs || E'>\\n    <Card.Link kind="jump"' || inner_attrs || '>' || t.gap || E'</Card.Link>\\n</Card>' AS rendered
+    FROM outer_inner o JOIN all_tokens t ON t.file_path = o.file_path AND t.pos = o.pos + 1""", "outer_inner", "all_tokens")
 twin("mutated_flags", """
     SELECT w.package, w.rule_pos, NOT (w.package = '@acme/ui' AND w.rule_pos = 4) AS mutated,
       NOT (w.package = '@acme/ui' AND w.rule_pos IN (4, 20)) AS changed, count(*) AS n
@@ -430,8 +432,11 @@ twin("imports_rewired", f"""
     SELECT package, specifier_type, local_name, count(*) AS n FROM (
       SELECT package, specifier_type, local_name FROM kept_imports
       UNION ALL SELECT {quoted(NEW_PACKAGE)}, 'ImportSpecifier', 'Text' FROM moving) GROUP BY ALL""", "kept_imports", "moving")
-twin("migration_units", """
-    SELECT file_path, package, component, count(*) AS n_elements FROM used GROUP BY ALL""", "used")
+twin("migration_units", f"""
+    SELECT file_path, arg_max(package, (list_position([{PKGS}], package), component)) AS package,
+      arg_max(component, (list_position([{PKGS}], package), component)) AS component, count(*) AS n_elements
+    FROM (SELECT file_path, package, CASE WHEN import_type = 'default' THEN local_name ELSE coalesce(imported_name, local_name) END AS component
+          FROM all_imports WHERE package IN ({PKGS})) GROUP BY file_path""", "all_imports")
 
 # ---- change sets ----
 
@@ -457,3 +462,43 @@ twin("stored_rules", """
 twin("stored_rewrites", """
     SELECT file_path, length(code_before) - length(replace(code_before, chr(10), '')) + 1 AS lines_before,
       length(code_after) - length(replace(code_after, chr(10), '')) + 1 AS lines_after FROM rewritten""", "rewritten")
+twin("tree_scan", """
+    SELECT file_path, length(code) AS n_chars, md5(code) AS code_hash FROM code_files
+    WHERE NOT contains('/' || file_path, '/PROMO/')""", "code_files")
+twin("spec_packages", """
+    SELECT CASE package WHEN '@acme/ui/Text' THEN 0 ELSE 1 END::BIGINT AS pkg_rank, package, count(*) AS n_usages
+    FROM used GROUP BY package""", "used")
+twin("nested_tree", """
+    SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS package,
+      'pages/p' || page_id % 7 || '/p' || page_id % 5 || '/Page.tsx' AS rel_path, count(*) AS n_usages
+    FROM pages GROUP BY ALL""")
+twin("skeleton_rewrites", f"""
+    SELECT f.file_path, c.package,
+      CASE WHEN c.package = '@acme/ui/Text'
+             THEN E'import {{ Text }} from "{NEW_PACKAGE}";\\n' || replace(t.body, E'\\nimport Text from "@acme/ui/Text";', '')
+           WHEN contains(t.body, E'import {{\\n  Text,') THEN
+             E'import {{ Text }} from "{NEW_PACKAGE}";\\n' || replace(t.body, E'import {{\\n  Text,\\n  Box,\\n}} from', 'import {{ Box }} from')
+           ELSE E'import {{ Text }} from "{NEW_PACKAGE}";\\n' || replace(t.body, 'import {{ Text, Box }} from', 'import {{ Box }} from')
+      END AS code_after
+    FROM code_files f JOIN chosen c USING (file_path)
+    JOIN (SELECT file_path, string_agg(gap || tok, '' ORDER BY pos) AS body FROM (
+            SELECT t.file_path, t.pos, t.gap, coalesce(n.tag, t.tok) AS tok FROM all_tokens t LEFT JOIN (
+              SELECT u.file_path, u.pos, '<Text' || coalesce(string_agg(' ' || a.raw, '' ORDER BY a.attr_no), '') || ' seen>' AS tag
+              FROM used u LEFT JOIN attrs a USING (file_path, pos) GROUP BY ALL) n USING (file_path, pos))
+          GROUP BY file_path) t USING (file_path)
+    WHERE (c.package = '@acme/ui/Text' OR c.imported_name = 'Text')
+      AND f.file_path IN (SELECT file_path FROM used)""", "code_files", "all_tokens", "chosen", "used", "attrs")
+twin("nested_elements", """
+    SELECT 'kit/S' || s_suppkey || '.tsx' AS file_path, component, n, count(*) AS found FROM (
+      SELECT s_suppkey, unnest(CASE s_suppkey % 8
+        WHEN 0 THEN [('Box', 'outer'), ('Text', 'inner')]
+        WHEN 1 THEN [('Text', 'deep')]
+        WHEN 2 THEN [('Text', 'real')]
+        WHEN 3 THEN [('Text', 'typed')]
+        WHEN 4 THEN [('Text', 'after')]
+        WHEN 5 THEN [('Text', 'a'), ('Text', 'b'), ('Text', 'c')]
+        WHEN 6 THEN [('Text', 'said')]
+        ELSE [('Text', 'in')] END) AS e FROM supplier), LATERAL (SELECT e[1] AS component, e[2] AS n)
+    GROUP BY ALL""")
+twin("unread_tags", """
+    SELECT 'kit/S' || s_suppkey || '.tsx' AS file_path, 1::BIGINT AS n_unread FROM supplier WHERE s_suppkey % 8 = 7""")

@@ -1,7 +1,6 @@
-"""Column functions that read imports, elements and attributes out of text.
+"""Column functions over imports and attributes, and the reading of web pages.
 
-All of them are row-local: one text column in, one array out.  Nothing here
-shuffles, and the text itself never leaves the row it came in.
+All of them are row-local.  Source text is read by ``scanner``.
 """
 
 from __future__ import annotations
@@ -11,7 +10,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tagloom.functions.arrays import running
 from tagloom.functions.lets import let
 from tagloom.functions.patterns import (
     ARROW_BRACED,
@@ -33,83 +31,6 @@ def extract_all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def import_specifiers(code: Column) -> Column:
-    """Import specifiers of a file, in text order.
-
-    ARRAY<STRUCT<package, pos, specifier_type, import_type, import_stm,
-    local_name, imported_name>>; ``pos`` counts specifiers over the whole file.
-    """
-    statements = F.transform(extract_all(code, JAVA.import_statement), _statement)
-    specifiers = F.flatten(F.transform(statements, _specifiers_of))
-    return F.transform(
-        specifiers,
-        lambda s, i: F.struct(
-            s.package.alias("package"),
-            i.alias("pos"),
-            s.specifier_type.alias("specifier_type"),
-            s.import_type.alias("import_type"),
-            s.import_stm.alias("import_stm"),
-            s.local_name.alias("local_name"),
-            s.imported_name.alias("imported_name"),
-        ),
-    )
-
-
-def _statement(raw: Column) -> Column:
-    text = F.btrim(raw, F.lit(_BLANKS))
-    body = F.regexp_replace(F.regexp_extract(text, r"^import\s+([\s\S]*?)\s*from\s*[\"']", 1), r"^type\s+", "")
-    return F.struct(
-        F.regexp_extract(text, r"from\s*[\"']([^\"']+)[\"']", 1).alias("package"),
-        flat_statement(text).alias("import_stm"),
-        F.regexp_extract(body, r"^([A-Za-z0-9_$]+)", 1).alias("default_name"),
-        F.regexp_extract(body, r"\*\s*as\s+([A-Za-z0-9_$]+)", 1).alias("namespace_name"),
-        F.filter(
-            F.transform(
-                F.split(F.regexp_extract(body, r"\{([^}]*)\}", 1), ","),
-                lambda part: F.btrim(F.regexp_replace(part, r"^\s*type\s+", ""), F.lit(_BLANKS)),
-            ),
-            lambda part: part != "",
-        ).alias("named"),
-    )
-
-
-def _specifiers_of(s: Column) -> Column:
-    def spec(kind: str, import_type: Column, local: Column, imported: Column) -> Column:
-        return F.struct(
-            s.package.alias("package"),
-            F.lit(kind).alias("specifier_type"),
-            import_type.alias("import_type"),
-            s.import_stm.alias("import_stm"),
-            local.alias("local_name"),
-            imported.alias("imported_name"),
-        )
-
-    none = F.lit(None).cast("string")
-    single = F.filter(
-        F.array(
-            spec("ImportDefaultSpecifier", F.lit("default"), s.default_name, F.lit("default")),
-            spec("ImportNamespaceSpecifier", none, s.namespace_name, none),
-        ),
-        lambda x: x.local_name != "",
-    )
-    named = F.transform(
-        s.named,
-        lambda part: spec(
-            "ImportSpecifier",
-            F.lit("named"),
-            F.regexp_extract(part, r"([A-Za-z0-9_$]+)$", 1),
-            F.regexp_extract(part, r"^([A-Za-z0-9_$]+)", 1),
-        ),
-    )
-    return F.concat(single, named)
-
-
-def flat_statement(statement: Column) -> Column:
-    """An import statement on one line."""
-    joined = F.replace(statement, F.lit(",\n}"), F.lit(" }"))
-    return F.replace(joined, F.lit("\n  "), F.lit(" "))
-
-
 def _tag_body(tag: Column, name: Column) -> Column:
     end = F.when(F.endswith(tag, F.lit("/>")), 2).otherwise(1)
     return F.substring(tag, F.length(name) + 2, F.length(tag) - F.length(name) - 1 - end)
@@ -171,11 +92,6 @@ def attribute_list(sources: Column, names: Column, values: Column) -> Column:
     return F.arrays_zip(names.alias("name"), values.alias("value"), kinds.alias("kind"), sources.alias("raw"))
 
 
-def attributes_of(tag: Column, name: Column) -> Column:
-    """:func:`attribute_list` straight from an opening tag."""
-    return attribute_list(attribute_sources(tag, name), attribute_names(tag, name), attribute_values(tag, name))
-
-
 def quoted_value(source: Column) -> Column:
     """What the quotes of a value enclose; a bare word as it is."""
     quote = F.startswith(source, F.lit('"')) | F.startswith(source, F.lit("'"))
@@ -260,50 +176,6 @@ def opening_tags(tokens: Column, target: str | None = None) -> Column:
     return F.filter(tokens, opens)
 
 
-def gaps(code: Column) -> Column:
-    """The text around the tag tokens; always one entry more than tokens."""
-    return F.split(code, JAVA.token, -1)
-
-
-def token_locations(tokens: Column, text_gaps: Column) -> Column:
-    """Line (from 1) and column (from 0) of each token, from the running extent of the text before it."""
-    spans = F.transform(
-        F.arrays_zip(F.slice(text_gaps, F.lit(1), F.size(tokens)).alias("g"), tokens.alias("t")),
-        lambda z: F.struct(_extent(z["g"]).alias("gap"), _extent(z["t"]["raw"]).alias("tok")),
-    )
-
-    def place(before: Column, z: Column) -> Column:
-        at = _join_extents(before, z["gap"])
-        return F.struct((at["nl"] + 1).alias("line"), at["tail"].alias("column"))
-
-    return running(
-        spans,
-        _extent_zero(),
-        "struct<nl:int,tail:int>",
-        lambda now, z: _join_extents(_join_extents(now, z["gap"]), z["tok"]),
-        _join_extents,
-        place,
-    )
-
-
-def _extent_zero() -> Column:
-    return F.struct(F.lit(0).alias("nl"), F.lit(0).alias("tail"))
-
-
-def _extent(text: Column) -> Column:
-    newlines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    return F.struct(
-        newlines.alias("nl"), F.length(F.substring_index(text, "\n", -1)).alias("tail")
-    )
-
-
-def _join_extents(a: Column, b: Column) -> Column:
-    return F.struct(
-        (a["nl"] + b["nl"]).alias("nl"),
-        F.when(b["nl"] > 0, b["tail"]).otherwise(a["tail"] + b["tail"]).alias("tail"),
-    )
-
-
 def first_import(
     specifiers: Column, packages: Sequence[str], target: str | None
 ) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tagloom.functions.scanner import MARK
+
 # Props that say nothing about how a component is used.
 IGNORED_PROPS = ["className", "data-testid", "id", "style", "key"]
 
@@ -72,6 +74,22 @@ def new_attribute(name: Column, value: Column, literal: Column) -> Column:
         value.alias("value"),
         F.when(shorthand, "shorthand").when(literal == "text", "text").otherwise("expr").alias("kind"),
         raw.alias("raw"),
+        F.lit(None).cast("int").alias("start"),
+        F.lit(None).cast("int").alias("stop"),
+    )
+
+
+def marked(attributes: Column) -> Column:
+    """Attributes of the text shown by their place in it, so that edits inside them are kept (see ``scanner.spliced``)."""
+    mark = F.lit(MARK)
+    return F.transform(
+        attributes,
+        lambda a: F.struct(
+            a["name"].alias("name"),
+            F.when(a["start"].isNull(), a["raw"])
+            .otherwise(F.concat(mark, a["start"].cast("string"), F.lit(":"), a["stop"].cast("string"), mark))
+            .alias("raw"),
+        ),
     )
 
 

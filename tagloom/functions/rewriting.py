@@ -1,21 +1,17 @@
-"""Column functions that apply rules to attribute lists, tags and whole texts.
-
-Everything stays in the row of the file: tags are rewritten between the gaps of
-text around them, so neither the text nor its pieces are shuffled.
-"""
+"""Column functions that apply rules to attribute lists and tags, and put the edits into the text."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator, Mapping
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tagloom.functions import markup
-from tagloom.functions.arrays import running
+from tagloom.functions import patterns, scanner
 from tagloom.functions.lets import let
-from tagloom.functions.patterns import JAVA
-from tagloom.functions.props import drop_attributes, new_attribute, pick_attributes, render_attributes
+from tagloom.functions.props import drop_attributes, marked, new_attribute, pick_attributes, render_attributes
 
 OUTER = "{...OUTER_PROPS}"
 INNER = "{...INNER_PROPS}"
@@ -108,237 +104,62 @@ def rule_mutates(rule: Column) -> Column:
     )
 
 
-def rewrite_tags(
-    code: Column, choose: Callable[[Column], Column], target: str | None, rename_components: bool = False
-) -> Column:
-    """Rewrite the matched elements of a text.
-
-    ``choose`` gives the rule (or null) for a prop map.  Gives STRUCT<code,
-    n_elements, n_matched, n_unsupported, mutated, import_targets>.  Elements
-    that a template cannot be applied to are left alone and counted: no
-    ``{CHILDREN}`` in the template although there is a closing tag, or no
-    closing tag that belongs to the element.
-    """
-
-    def opens(t: Column) -> Column:
-        tag = t["kind"].isin("open", "self")
-        return tag & (t["name"] == target) if target else tag
-
-    def with_attrs(tokens: Column) -> Column:
-        return F.transform(
-            tokens,
-            lambda t: F.struct(t.alias("t"), F.when(opens(t), markup.attributes_of(t["raw"], t["name"])).alias("attrs")),
-        )
-
-    def with_props(tokens: Column) -> Column:
-        return F.transform(
-            tokens,
-            lambda x: F.struct(x["t"].alias("t"), x["attrs"].alias("attrs"),
-                               F.when(x["attrs"].isNotNull(), markup.props_of(x["attrs"])).alias("props")),
-        )
-
-    def with_rule(tokens: Column) -> Column:
-        return F.transform(
-            tokens,
-            lambda x: F.struct(x["t"].alias("t"), x["attrs"].alias("attrs"), x["props"].alias("props"),
-                               F.when(x["props"].isNotNull(), choose(x["props"])).alias("rule")),
-        )
-
-    def build(tokens: Column) -> Column:
-        return let(
-            F.when(F.exists(tokens, lambda x: x["rule"].isNotNull()), _partners(tokens["t"])),
-            lambda partners: let(
-                F.transform(tokens, lambda x, i: _rewritten(x, i, partners, rename_components)),
-                lambda done: F.struct(
-                    _joined(code, done, partners).alias("code"),
-                    F.size(F.filter(tokens, lambda x: x["props"].isNotNull())).alias("n_elements"),
-                    F.size(F.filter(tokens, lambda x: x["rule"].isNotNull())).alias("n_matched"),
-                    F.size(F.filter(done, lambda d: d["unsupported"])).alias("n_unsupported"),
-                    F.exists(done, lambda d: d["mutates"]).alias("mutated"),
-                    F.array_distinct(F.filter(done["import_to"], lambda to: to.isNotNull())).alias("import_targets"),
-                ),
-            ),
-        )
-
-    return let(with_rule(with_props(with_attrs(markup.tag_tokens(code)))), build)
+EDIT = "start int, stop int, text string, close_start int, close_stop int, closing string"
 
 
-def _partners(tokens: Column) -> Column:
-    """For each token the index of its other half: opening to closing and back, else null.
+def tag_edit(tag: Mapping[str, Column], name: Column, attrs: Column, props: Column, rule: Column, rename_components: bool) -> Column:
+    """What a rule does to an element: STRUCT<start, stop, text, close_start, close_stop, closing, unsupported, mutates, import_to>.
 
-    Tags of one name pair up by depth: the running number of open tags of that
-    name.  At each depth an opening tag belongs to the closing tag right after it.
+    ``text`` is null where the opening tag stays as it is.  A template needs
+    ``{CHILDREN}`` and the element's own closing tag, unless the element closes
+    itself; otherwise the element is left alone and counted as unsupported.
     """
-    by_name = F.sort_array(
-        F.transform(
-            tokens,
-            lambda t: F.struct(
-                t["name"].alias("name"),
-                t["pos"].alias("pos"),
-                F.when(t["kind"] == "open", 1).when(t["kind"] == "close", -1).otherwise(0).alias("delta"),
-            ),
-        )
-    )
-
-    def leveled(before: Column, t: Column) -> Column:
-        # an opening tag counts itself, a closing tag is still inside
-        depth = before + F.greatest(t["delta"], F.lit(0))
-        return F.struct(t["name"].alias("name"), (t["delta"] == 0).alias("single"), depth.alias("depth"),
-                        t["pos"].alias("pos"), t["delta"].alias("delta"))
-
-    levels = running(
-        by_name, F.lit(0), "int", lambda now, t: now + t["delta"], lambda a, b: a + b, leveled
-    )
-
-    def pairs(s: Column) -> Column:
-        def half(t: Column, other: Column, delta: int) -> Column:
-            same = (other["name"] == t["name"]) & (other["depth"] == t["depth"])
-            return F.when((t["delta"] == delta) & (other["delta"] == -delta) & same, other["pos"])
-
-        found = F.transform(
-            s,
-            lambda t, i: F.struct(
-                t["pos"].alias("pos"),
-                F.coalesce(half(t, F.get(s, i + 1), 1), half(t, F.get(s, i - 1), -1)).alias("partner"),
-            ),
-        )
-        return F.sort_array(found)["partner"]
-
-    return let(F.sort_array(levels), pairs)
-
-
-def _rewritten(x: Column, i: Column, partners: Column, rename_components: bool) -> Column:
-    """What a token turns into: its own text and, for an opening tag, that of its closing tag."""
-    rule, token = x["rule"], x["t"]
-    closed = token["kind"] == "self"
-    closer = F.get(partners, i)
+    closed = tag["kind"] == "self"
     template = F.btrim(rule["template"], F.lit(" \t\r\n"))
-    takes_children = F.contains(template, F.lit(CHILDREN))
-    supported = rule["template"].isNull() | closed | (closer.isNotNull() & takes_children)
-    name = F.coalesce(rule["new_component"], token["name"]) if rename_components else token["name"]
-
+    supported = rule["template"].isNull() | closed | (tag["close_start"].isNotNull() & F.contains(template, F.lit(CHILDREN)))
+    new_name = F.coalesce(rule["new_component"], name) if rename_components else name
     plain = let(
-        apply_rule(x["attrs"], x["props"], rule),
-        lambda new: F.when((new["raw"] == x["attrs"]["raw"]) & (name == token["name"]), token["raw"]).otherwise(
-            F.concat(F.lit("<"), name, render_attributes(new), F.when(closed, " />").otherwise(">"))
-        ),
+        apply_rule(attrs, props, rule),
+        lambda new: F.when((new["raw"] != attrs["raw"]) | (new_name != name), F.concat(
+            F.lit("<"), new_name, render_attributes(marked(new)), F.when(closed, " />").otherwise(">"))),
     )
     filled = let(
-        split_for_template(x["attrs"], x["props"], rule), lambda s: fill_template(template, s["outer"], s["inner"])
+        split_for_template(attrs, props, rule), lambda s: fill_template(template, marked(s["outer"]), marked(s["inner"]))
     )
     whole = F.replace(filled, F.lit(CHILDREN), F.lit(""))
     before = F.substring_index(filled, CHILDREN, 1)
     after = F.substring(template, F.instr(template, CHILDREN) + len(CHILDREN), F.length(template))
+    renamed = F.lit(rename_components) & rule["new_component"].isNotNull()
     return F.struct(
-        F.when(rule.isNull() | ~supported, token["raw"])
-        .when(rule["template"].isNull(), plain)
-        .when(closed, whole)
-        .otherwise(before)
-        .alias("text"),
-        F.when(rule.isNull() | ~supported, None)
-        .when(rule["template"].isNotNull(), after)
-        .when(F.lit(rename_components) & rule["new_component"].isNotNull(), F.concat(F.lit("</"), name, F.lit(">")))
-        .alias("closing"),
-        (rule.isNotNull() & ~supported).alias("unsupported"),
-        F.coalesce(rule_mutates(rule) & supported, F.lit(False)).alias("mutates"),
+        tag["start"].alias("start"),
+        tag["stop"].alias("stop"),
+        F.when(~supported, None).when(rule["template"].isNull(), plain).when(closed, whole).otherwise(before).alias("text"),
+        tag["close_start"].alias("close_start"),
+        tag["close_stop"].alias("close_stop"),
+        F.when(~supported, None).when(rule["template"].isNotNull(), after)
+        .when(renamed, F.concat(F.lit("</"), new_name, F.lit(">"))).alias("closing"),
+        (~supported).alias("unsupported"),
+        (rule_mutates(rule) & supported).alias("mutates"),
         F.when(rule["import_from"].isNotNull(), rule["import_to"]).alias("import_to"),
     )
 
 
-def _joined(code: Column, done: Column, partners: Column) -> Column:
-    """The text put together again from its gaps and the rewritten tokens."""
-    return let(
-        markup.gaps(code),
-        lambda g: F.concat(
-            F.array_join(
-                F.transform(
-                    done,
-                    lambda d, i: F.concat(
-                        F.get(g, i), F.coalesce(F.get(done, F.get(partners, i))["closing"], d["text"])
-                    ),
-                ),
-                "",
-            ),
-            F.get(g, F.size(done)),
-        ),
-    )
+def rewritten_text(code: Column, edits: Column, spec: Column, component: Column, targets: Column) -> Column:
+    """The text with its tags edited and the component's import moved to the targets."""
+    cloudpickle.register_pickle_by_value(scanner)
+    cloudpickle.register_pickle_by_value(patterns)
 
+    @F.pandas_udf("string")
+    def write(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for codes, changes, specs, names, moves in batches:
+            rows = zip(codes, changes, specs.to_dict("records"), names, moves, strict=True)
+            yield pd.Series([_write(*row) for row in rows], dtype=object)
 
-def rewire_imports(code: Column, spec: Column, targets: Column) -> Column:
-    """Take a specifier out of its import and import the component from the targets.
-
-    A statement left without specifiers goes with its line.  A target is added
-    at the top unless some import from it already has a named specifier.
-    """
-    component = markup.component_name(spec)
-    raws = markup.extract_all(code, JAVA.import_statement)
-
-    def build(statements: Column) -> Column:
-        edited = F.transform(statements, lambda s: _edited(s, spec))
-        return let(
-            edited,
-            lambda e: let(
-                F.filter(
-                    targets,
-                    lambda to: ~F.exists(statements, lambda s: (s["s"]["package"] == to) & (F.size(s["s"]["named"]) > 0)),
-                ),
-                lambda missing: F.concat(
-                    F.array_join(
-                        F.transform(
-                            F.reverse(missing),
-                            lambda to: F.concat(F.lit("import { "), component, F.lit(' } from "'), to, F.lit('";\n')),
-                        ),
-                        "",
-                    ),
-                    _rejoined(code, e),
-                ),
-            ),
-        )
-
-    parsed = F.transform(raws, lambda raw: F.struct(raw.alias("raw"), markup._statement(raw).alias("s")))
-    return F.when(F.size(targets) > 0, let(parsed, build)).otherwise(code)
-
-
-def _edited(x: Column, spec: Column) -> Column:
-    """An import statement without the specifier; empty text when nothing is left."""
-    s = x["s"]
-    own = s["package"] == spec["package"]
-    is_default = spec["import_type"] == "default"
-    drops_default = own & is_default & (s["default_name"] == spec["local_name"])
-    named = F.when(
-        own & (spec["import_type"] == "named"),
-        F.filter(s["named"], lambda n: F.regexp_extract(n, r"^([A-Za-z0-9_$]+)", 1) != spec["local_name"]),
-    ).otherwise(s["named"])
-    default = F.when(F.coalesce(drops_default, F.lit(False)), "").otherwise(s["default_name"])
-    parts = F.filter(
-        F.array(
-            default,
-            F.when(s["namespace_name"] != "", F.concat(F.lit("* as "), s["namespace_name"])).otherwise(""),
-            F.when(F.size(named) > 0, F.concat(F.lit("{ "), F.array_join(named, ", "), F.lit(" }"))).otherwise(""),
-        ),
-        lambda p: p != "",
-    )
-    changed = F.coalesce(drops_default, F.lit(False)) | (F.size(named) < F.size(s["named"]))
-    head = F.regexp_extract(x["raw"], r"^(\n?[ \t]*import\s+(?:type\s+)?)", 1)
-    tail = F.regexp_extract(x["raw"], r"(from\s*[\"'][^\"']+[\"'][ \t]*;?)$", 1)
-    return (
-        F.when(~changed, x["raw"])
-        .when(F.size(parts) == 0, "")
-        .otherwise(F.concat(head, F.array_join(parts, ", "), F.lit(" "), tail))
-    )
+    return write(code, edits, F.struct(spec["package"].alias("package"), spec["import_type"].alias("import_type"), spec["local_name"].alias("local_name")), component, targets)
 
 
-def _rejoined(code: Column, edited: Column) -> Column:
-    text = let(
-        F.split(code, JAVA.import_statement, -1),
-        lambda g: F.concat(
-            F.array_join(F.transform(edited, lambda e, i: F.concat(F.get(g, i), e)), ""), F.get(g, F.size(edited))
-        ),
-    )
-    # a removed first line leaves its line end behind
-    return let(
-        text,
-        lambda t: F.when(
-            F.startswith(t, F.lit("\n")) & ~F.startswith(code, F.lit("\n")), F.substring(t, F.lit(2), F.length(t))
-        ).otherwise(t),
-    )
+def _write(code: str, edits: list[dict], spec: dict, component: str, targets: list[str]) -> str:
+    places = [(e["start"], e["stop"], e["text"]) for e in edits if e["text"] is not None]
+    places += [(e["close_start"], e["close_stop"], e["closing"]) for e in edits if e["closing"] is not None and e["close_start"] is not None]
+    moved, top = scanner.import_edits(scanner.Scan(code), spec, component, list(targets)) if len(targets) else ([], "")
+    return top + scanner.spliced(code, places + moved)

@@ -113,18 +113,16 @@ def count_combinations(used: DataFrame) -> DataFrame:
     return keys.agg(F.count("*").alias("n_combos"))
 
 
-MAX_COLUMNS = 5000
+def combination_cells(used: DataFrame) -> DataFrame:
+    """Combinations in long form: props_key, n, prop, value, prop_total.
 
-
-def column_keys(used: DataFrame, limit: int = MAX_COLUMNS) -> list[str]:
-    """Prop names for the wide table, most used first, then by name.
-
-    These become columns, so their number is checked.
+    Ordered by ``prop_total`` descending and ``prop``, the props are the columns
+    of the report table, however many there are.
     """
-    rows = prop_totals(used).orderBy(F.desc("n"), "prop").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} props; choose the columns of the wide table yourself")
-    return [r["prop"] for r in rows]
+    combos = combinations(used)
+    totals = combos.select(F.explode("props_key.key").alias("prop"), "n").groupBy("prop").agg(F.sum("n").alias("prop_total"))
+    cells = combos.select("props_key", "n", F.explode("props_key").alias("e"))
+    return cells.select("props_key", "n", F.col("e.key").alias("prop"), F.col("e.value").alias("value")).join(totals, "prop")
 
 
 def wide_table(combos: DataFrame, keys: Sequence[str], prefix: str = "") -> DataFrame:

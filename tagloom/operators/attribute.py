@@ -4,26 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def rank_packages(packages: DataFrame) -> DataFrame:
-    """Packages with their rank: longest name first, ties by name.
+    """Packages with their rank: longest name first, ties in the order of the table, repeats once.
 
     The package list is configuration: it is one comma-separated text in the
     migration spec, so it is ranked inside one row.
     """
-    listed = packages.agg(F.collect_set("package").alias("all"))
-    ordered = F.array_sort(
-        "all",
-        lambda a, b: F.when(F.length(a) > F.length(b), -1)
-        .when(F.length(a) < F.length(b), 1)
-        .when(a < b, -1)
-        .when(a > b, 1)
-        .otherwise(0),
-    )
-    return listed.select(F.posexplode(ordered).alias("pkg_rank", "package"))
+    placed = packages.select("package", F.monotonically_increasing_id().alias("pos"))
+    listed = placed.agg(F.sort_array(F.collect_list(F.struct((-F.length("package")).alias("len"), "pos", "package"))).alias("all"))
+    return listed.select(F.posexplode(F.array_distinct("all.package")).alias("pkg_rank", "package"))
 
 
 def first_imports(imports: DataFrame, packages: Sequence[str]) -> DataFrame:
@@ -75,8 +68,14 @@ def in_packages(imports: DataFrame, packages: DataFrame) -> DataFrame:
     return imports.join(packages.select("package").distinct(), "package", "left_semi")
 
 
-def in_scope(used: DataFrame, package: str | None = None, component: str | None = None) -> DataFrame:
-    """All packages, one package, or one component of it."""
+def scope(package: str | None = None, component: str | None = None) -> Column:
+    """Whether a usage is in scope: all packages, one package, or one component of it."""
+    inside = F.lit(True)
     if package is not None:
-        used = used.filter(F.col("package") == package)
-    return used.filter(F.col("component") == component) if component is not None else used
+        inside = inside & (F.col("package") == package)
+    return inside & (F.col("component") == component) if component is not None else inside
+
+
+def in_scope(used: DataFrame, package: str | None = None, component: str | None = None) -> DataFrame:
+    """The usages in scope."""
+    return used.filter(scope(package, component))

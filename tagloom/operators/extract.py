@@ -6,15 +6,16 @@ no join either, because a file's imports and its elements come from one row.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions import markup
-from tagloom.functions.lets import built_once, let
+from tagloom.functions import markup, patterns, scanner
+from tagloom.functions.lets import built_once
 from tagloom.functions.paths import relative_path
 from tagloom.functions.props import reportable
 from tagloom.operators.rows import each
@@ -25,97 +26,102 @@ def mentioning(files: DataFrame, packages: Sequence[str]) -> DataFrame:
     return files.filter(reduce(lambda a, b: a | b, [F.contains(F.col("code"), F.lit(p)) for p in packages]))
 
 
+SCAN = (
+    "imports array<struct<package:string,pos:int,specifier_type:string,import_type:string,import_stm:string,"
+    "local_name:string,imported_name:string>>,"
+    "tags array<struct<name:string,pos:int,kind:string,line:int,column:int,start:int,stop:int,close_start:int,close_stop:int,children:string,"
+    "attrs:array<struct<name:string,value:string,kind:string,raw:string,start:int,stop:int>>>>,"
+    "unread array<string>"
+)
+
+
+def scanned(code: str | Column, target: str | None = None, locate: bool = False, children: bool = False) -> Column:
+    """Imports, tags and unread tags of a text column, read in one pass in Arrow batches.
+
+    With a target only its tags are listed; ``locate`` fills line and column,
+    ``children`` the text between a tag and its closing tag.
+    """
+    cloudpickle.register_pickle_by_value(scanner)  # the helper travels with the job, so executors need no copy of the package
+    cloudpickle.register_pickle_by_value(patterns)
+
+    @F.pandas_udf(SCAN)
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([_scan_row(text or "", target, locate, children) for text in batch], columns=["imports", "tags", "unread"], dtype=object)
+
+    return read(F.col(code) if isinstance(code, str) else code)
+
+
+def _scan_row(code: str, target: str | None, locate: bool, children: bool) -> tuple[list[dict], list[dict], list[str]]:
+    scan = scanner.Scan(code)
+    starts = scanner.line_starts(code) if locate else None
+    tags = []
+    for name, pos, kind, start, stop, close_start, close_stop, attrs in scan.tags:
+        if target is None or name == target:
+            line, column = scanner.place(starts, start) if starts else (None, None)
+            tags.append({
+                "name": name, "pos": pos, "kind": kind, "line": line, "column": column, "start": start, "stop": stop,
+                "close_start": close_start, "close_stop": close_stop,
+                "children": code[stop:close_start] if children and close_start is not None else None, "attrs": scanner.attributes(code, attrs),
+            })
+    return scanner.specifiers(scan), tags, [n for n in scan.unread if target is None or n == target]
+
+
+def scanned_files(files: DataFrame, target: str | None = None, locate: bool = False, children: bool = False) -> DataFrame:
+    """file_path and ``scan`` (see :func:`scanned`) of each file."""
+    return files.select("file_path", scanned("code", target, locate, children).alias("scan"))
+
+
 def import_rows(
     files: DataFrame, packages: Sequence[str] | None = None, target: str | None = None
 ) -> DataFrame:
     """One row per import specifier: of the given packages, with the target as local name."""
     if packages is not None:
         files = mentioning(files, packages)
-    rows = each(files.select("file_path", "code"), _specifiers("code"), "s")
-    rows = rows.select("file_path", "s.*")
+    rows = each(scanned_files(files, ""), F.col("scan.imports"), "s").select("file_path", "s.*")
     if packages is not None:
         rows = rows.filter(F.col("package").isin(list(packages)))
     return rows.filter(F.col("local_name") == target) if target else rows
 
 
-def element_rows(files: DataFrame, target: str | None = None, text: str = "code") -> DataFrame:
-    """One row per element with a simple name: pos, component, attrs, props and the other columns."""
-    others = [F.col(c) for c in files.columns if c != text]
-    rows = each(files, _tags(text, target, False), "t")
-    return _with_props(rows, *others, F.col("t.pos").alias("pos"), F.col("t.name").alias("component"))
+def element_rows(files: DataFrame, target: str | None = None) -> DataFrame:
+    """One row per element of source text with a simple name: pos, component, attrs, props and the other columns."""
+    others = [c for c in files.columns if c != "code"]
+    rows = each(files.select(*others, scanned("code", target).alias("scan")), F.col("scan.tags"), "t")
+    return _with_props(rows, *[F.col(c) for c in others], F.col("t.pos").alias("pos"), F.col("t.name").alias("component"))
 
 
 def _with_props(rows: DataFrame, *columns: Column) -> DataFrame:
-    """Read the attributes of tag ``t``, row by row after the tags were spread out.
+    read = rows.select(*columns, F.col("t.attrs").alias("attrs"))
+    return read.withColumn("props", markup.props_of(F.col("attrs")))
 
-    ``attrs`` and ``props`` are read independently, so that a query which needs
-    only the props never builds the attribute list.
-    """
+
+def page_element_rows(pages: DataFrame, text: str = "html") -> DataFrame:
+    """One row per element of a web page, where quotes and braces in the text mean nothing."""
+    others = [F.col(c) for c in pages.columns if c != text]
+    rows = each(pages, _page_tags(text), "t")
     read = rows.select(
-        *columns, _sources().alias("_sources"), _names().alias("_names"), _values().alias("_values")
+        *others, F.col("t.pos").alias("pos"), F.col("t.name").alias("component"),
+        markup.attribute_sources(F.col("t.raw"), F.col("t.name")).alias("_sources"),
+        markup.attribute_names(F.col("t.raw"), F.col("t.name")).alias("_names"),
+        markup.attribute_values(F.col("t.raw"), F.col("t.name")).alias("_values"),
     )
     return read.select(
-        *[c for c in read.columns if not c.startswith("_")], _attrs().alias("attrs"), _props().alias("props")
+        *[c for c in read.columns if not c.startswith("_")],
+        markup.attribute_list(F.col("_sources"), F.col("_names"), F.col("_values")).alias("attrs"),
+        markup.props_from(F.col("_names"), F.col("_values")).alias("props"),
     )
 
 
 @built_once
-def _sources() -> Column:
-    return markup.attribute_sources(F.col("t.raw"), F.col("t.name"))
-
-
-@built_once
-def _names() -> Column:
-    return markup.attribute_names(F.col("t.raw"), F.col("t.name"))
-
-
-@built_once
-def _values() -> Column:
-    return markup.attribute_values(F.col("t.raw"), F.col("t.name"))
+def _page_tags(text: str) -> Column:
+    return markup.opening_tags(markup.tag_tokens(F.col(text)))
 
 
-@built_once
-def _attrs() -> Column:
-    return markup.attribute_list(F.col("_sources"), F.col("_names"), F.col("_values"))
-
-
-@built_once
-def _props() -> Column:
-    return markup.props_from(F.col("_names"), F.col("_values"))
-
-
-@built_once
-def _tags(text: str, target: str | None, locate: bool) -> Column:
-    """The opening tags of a text column, on request with their places."""
-    tokens = markup.tag_tokens(F.col(text))
-    if not locate:
-        return markup.opening_tags(tokens, target)
-
-    def located(toks: Column, places: Column) -> Column:
-        return F.transform(
-            markup.opening_tags(toks, target),
-            lambda t: F.struct(
-                t["raw"].alias("raw"), t["name"].alias("name"), t["pos"].alias("pos"), F.get(places, t["pos"]).alias("at")
-            ),
-        )
-
-    return let(tokens, lambda t: let(markup.token_locations(t, markup.gaps(F.col(text))), lambda places: located(t, places)))
-
-
-@built_once
-def _specifiers(text: str) -> Column:
-    return markup.import_specifiers(F.col(text))
-
-
-@built_once
-def _first_import(text: str, packages: tuple[str, ...], target: str | None) -> Column:
-    return markup.first_import(_specifiers(text), packages, target)
-
-
-def with_import(files: DataFrame, packages: Sequence[str], target: str | None) -> DataFrame:
-    """(file_path, code, import) of the files that name a package; import is null without a match."""
-    return mentioning(files, packages).select(
-        "file_path", "code", _first_import("code", tuple(packages), target).alias("import")
+def with_import(files: DataFrame, packages: Sequence[str], target: str | None, locate: bool = False, children: bool = False) -> DataFrame:
+    """(file_path, scan, import) of the files that name a package; import is null without a match."""
+    return scanned_files(mentioning(files, packages), target, locate, children).select(
+        "file_path", "scan", markup.first_import(F.col("scan.imports"), packages, target).alias("import")
     )
 
 
@@ -125,17 +131,21 @@ def usages(
     target: str | None = None,
     root: str = "",
     locate: bool = False,
+    spans: bool = False,
+    children: bool = False,
 ) -> DataFrame:
     """Elements attributed to the package their file imports the target from.
 
     An element belongs to the file's first import (best-ranked package, then
     text order); a file without such an import contributes nothing.  With
     ``locate`` each usage also gets its line, column and
-    ``relpath:line:column`` identity.  ``component`` is the name in the tag,
-    ``resolved`` the exported component behind the import; rules go by that.
+    ``relpath:line:column`` identity; with ``spans`` the ranges of its tags
+    (``tag_...``) and the number of the file's unread tags (``n_unread``).
+    ``component`` is the name in the tag, ``resolved`` the exported component
+    behind the import; rules go by that.
     """
-    tags = F.when(F.col("import").isNotNull(), _tags("code", target, locate))
-    rows = each(with_import(files, packages, target), tags, "t")
+    tags = F.when(F.col("import").isNotNull(), F.col("scan.tags"))
+    rows = each(with_import(files, packages, target, locate, children), tags, "t")
     rel = relative_path(F.col("file_path"), root)
     columns = [
         F.col("file_path"),
@@ -148,22 +158,33 @@ def usages(
         F.col("import"),
     ]
     if locate:
-        place = F.concat_ws(":", rel, F.col("t.at.line"), F.col("t.at.column"))
-        columns += [F.col("t.at.line").alias("line"), F.col("t.at.column").alias("column"), place.alias("usage_id")]
+        place = F.concat_ws(":", rel, F.col("t.line"), F.col("t.column"))
+        columns += [F.col("t.line").alias("line"), F.col("t.column").alias("column"), place.alias("usage_id")]
+    if children:
+        columns.append(F.col("t.children").alias("children"))
+    if spans:
+        columns += [F.col(f"t.{c}").alias(f"tag_{c}") for c in ("kind", "start", "stop", "close_start", "close_stop")]
+        columns.append(F.size("scan.unread").alias("n_unread"))
     return _with_props(rows, *columns)
 
 
+def unattributed(files: DataFrame, packages: Sequence[str], target: str) -> DataFrame:
+    """Files with elements of the target that no import of theirs explains, and how many."""
+    named = files.filter(F.contains(F.col("code"), F.lit(f"<{target}")))
+    found = scanned_files(named, target).select("file_path", "scan", markup.first_import(F.col("scan.imports"), packages, target).alias("import"))
+    counted = found.filter(F.col("import").isNull()).select("file_path", F.size("scan.tags").cast("bigint").alias("n_elements"))
+    return counted.filter("n_elements > 0")
+
+
 def unread_tags(files: DataFrame, target: str) -> DataFrame:
-    """Files with tags of the target that the attribute grammar cannot read, and how many.
+    """Files with tags of the target whose attributes cannot be read, and how many.
 
-    Such tags (braces nested deeper than six levels, or unbalanced braces in a
-    string) give no usages and are left alone by a rewrite; this lists them.
+    Such tags give no usages and are left alone by a rewrite, and their file
+    keeps its import.
     """
-    opener = r"<" + re.escape(target) + r"(?:\s|/|>)"
-    counts = F.transform(markup.gaps(F.col("code")), lambda g: F.regexp_count(g, F.lit(opener)))
-    total = F.aggregate(counts, F.lit(0), lambda a, n: a + n)
-    found = files.filter(F.contains(F.col("code"), F.lit(f"<{target}")))
-    return each(found, F.array(F.nullif(total, F.lit(0))), "n_unread").select("file_path", "n_unread")
+    found = scanned_files(files.filter(F.contains(F.col("code"), F.lit(f"<{target}"))), target)
+    counted = found.select("file_path", F.size("scan.unread").alias("n_unread"))
+    return counted.filter("n_unread > 0")
 
 
 def event_usages(events: DataFrame, file: str, component: str, props: str, package: str) -> DataFrame:

@@ -1,60 +1,77 @@
-"""Import rewiring on import rows (the table form of ``rewriting.rewire_imports``)."""
+"""Import rewiring on import rows (the table form of what ``rewriting.rewritten_text`` does to the text)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.functions import markup
+from tagloom.operators.extract import scanned_files
+from tagloom.operators.match import match_rules
+from tagloom.operators.rows import each
+
 
-def moved_specifiers(matched: DataFrame) -> DataFrame:
-    """Per file the specifier to take out and the package to import from instead.
+def file_moves(
+    files: DataFrame, packages: Sequence[str], rules: DataFrame, target: str, mode: str = "first_match", compiled: bool = False
+) -> DataFrame:
+    """Per file its import specifiers, the one its elements are attributed to, and the packages it moves to.
 
-    From usages whose rule names both packages; one row per file and target.
+    (file_path, imports, import, targets); every file is read once.  A file with
+    unread tags of the target moves nothing.
     """
-    return (
-        matched.filter(F.col("rule.import_from").isNotNull() & F.col("rule.import_to").isNotNull())
-        .select(
-            "file_path", "package", F.col("import.import_type").alias("import_type"),
-            F.col("import.local_name").alias("local_name"),
-            F.when(F.col("import.import_type") == "default", F.col("import.local_name"))
-            .otherwise(F.coalesce("import.imported_name", "import.local_name")).alias("component"),
-            F.col("rule.import_to").alias("import_to"),
-        )
-        .distinct()
+    read = scanned_files(files, target)
+    found = read.select("file_path", "scan", markup.first_import(F.col("scan.imports"), packages, target).alias("import"))
+    tags = F.when(F.col("import").isNotNull(), F.col("scan.tags"))
+    used = found.select("file_path", F.col("scan.imports").alias("imports"), F.size("scan.unread").alias("n_unread"), "import", F.explode_outer(tags).alias("t"))
+    used = used.select(
+        "file_path", "imports", "n_unread", "import", F.col("import.package").alias("package"),
+        markup.component_name(F.col("import")).alias("resolved"), markup.props_of(F.col("t.attrs")).alias("props"),
+    )
+    matched = match_rules(used, rules, mode, keep_unmatched=True, compiled=compiled)
+    to = F.when(F.col("rule.import_from").isNotNull() & F.col("props").isNotNull() & (F.col("n_unread") == 0), F.col("rule.import_to"))
+    return matched.groupBy("file_path").agg(
+        F.first("imports").alias("imports"), F.first("import").alias("import"), F.sort_array(F.collect_set(to)).alias("targets")
     )
 
 
-def prune_imports(imports: DataFrame, moved: DataFrame) -> DataFrame:
-    """Import rows without the moved specifiers.
+def _moved(s: Column) -> Column:
+    """Whether a specifier is the one that moves: a default import by its local name, a named one by its imported name."""
+    spec = F.col("import")
+    name = F.when(s["import_type"] == "default", s["local_name"]).otherwise(s["imported_name"])
+    same = (s["package"] == spec["package"]) & (s["import_type"] == spec["import_type"]) & (name == spec["local_name"])
+    return (F.size("targets") > 0) & F.coalesce(same, F.lit(False))
 
-    A named import goes when its imported name is the moved local name, a
-    default import when its local name is.  A statement whose last specifier
-    goes is gone with it.
-    """
-    gone = moved.select("file_path", "package", "import_type", F.col("local_name").alias("_name")).distinct()
-    name = F.when(F.col("import_type") == "default", F.col("local_name")).otherwise(F.col("imported_name"))
-    return (
-        imports.withColumn("_name", name)
-        .join(gone, ["file_path", "package", "import_type", "_name"], "left_anti")
-        .select(*imports.columns)
-    )
 
+def _kept(moves: DataFrame) -> Column:
+    return F.filter("imports", lambda s: ~_moved(s))
 
-def added_imports(imports: DataFrame, moved: DataFrame) -> DataFrame:
-    """The imports to add: one per file and target that has no named import from it yet."""
-    present = imports.filter(F.col("import_type") == "named").select(
-        "file_path", F.col("package").alias("import_to")
-    ).distinct()
-    wanted = moved.select("file_path", "import_to", "component").distinct()
-    return wanted.join(present, ["file_path", "import_to"], "left_anti").select(
-        "file_path", F.col("import_to").alias("package"), F.lit("ImportSpecifier").alias("specifier_type"),
-        F.lit("named").alias("import_type"),
-        F.concat(F.lit("import { "), F.col("component"), F.lit(' } from "'), F.col("import_to"), F.lit('";')).alias("import_stm"),
-        F.col("component").alias("local_name"), F.col("component").alias("imported_name"),
+
+def _added(moves: DataFrame) -> Column:
+    """One named specifier for each target that has none yet."""
+    component = markup.component_name(F.col("import"))
+    missing = F.filter("targets", lambda to: ~F.exists("imports", lambda s: (s["package"] == to) & F.coalesce(s["import_type"] == "named", F.lit(False))))
+    return F.transform(
+        missing,
+        lambda to: F.struct(
+            to.alias("package"), F.lit(-1).alias("pos"), F.lit("ImportSpecifier").alias("specifier_type"), F.lit("named").alias("import_type"),
+            F.concat(F.lit("import { "), component, F.lit(' } from "'), to, F.lit('";')).alias("import_stm"),
+            component.alias("local_name"), component.alias("imported_name"),
+        ),
     )
 
 
-def rewired_imports(imports: DataFrame, moved: DataFrame) -> DataFrame:
+def prune_imports(moves: DataFrame) -> DataFrame:
+    """Import rows without the moved specifiers; a statement whose last specifier goes is gone with it."""
+    return each(moves, _kept(moves), "s").select("file_path", "s.*")
+
+
+def added_imports(moves: DataFrame) -> DataFrame:
+    """The imports to add."""
+    return each(moves, _added(moves), "s").select("file_path", "s.*").drop("pos")
+
+
+def rewired_imports(moves: DataFrame) -> DataFrame:
     """Import rows after the migration."""
-    kept = prune_imports(imports, moved).drop("pos")
-    return kept.unionByName(added_imports(imports, moved))
+    return each(moves, F.concat(_kept(moves), _added(moves)), "s").select("file_path", "s.*").drop("pos")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.matching import clause_holds, compiled_rule, term_holds
 from tagloom.functions.props import prop_key
 from tagloom.operators.rows import each
-from tagloom.sources.rules import INLINE_RULES, inline_rules
+from tagloom.sources.rules import compiled_rules
 
 
 def match_rules(
@@ -16,16 +16,18 @@ def match_rules(
     rules: DataFrame,
     mode: str = "first_match",
     keep_unmatched: bool = False,
-    limit: int = INLINE_RULES,
+    compiled: bool = False,
 ) -> DataFrame:
     """Usages with the rule that applies to them, as struct column ``rule``.
 
-    Up to ``limit`` rules travel in the plan and matching is a projection.
-    A larger table goes through :func:`match_by_anchor`.
+    Any number of rules: matching is :func:`match_by_anchor`.  With ``compiled``
+    the rules travel in the plan as one conditional and matching is a
+    projection; the rows are the same.  Ask for it where rules are written by
+    hand, never for a table that grows with the data.
     """
-    constant = inline_rules(rules, mode, limit)
-    if constant is None:
+    if not compiled:
         return match_by_anchor(used, rules, mode, keep_unmatched)
+    constant = compiled_rules(rules, mode)
     index = compiled_rule(constant.rows, F.col("package"), ruled_component(used), F.col("props"))
     rule = F.array(F.get(constant.array(), index))
     if keep_unmatched:
@@ -114,8 +116,10 @@ def _clauses(rules: DataFrame, mode: str) -> DataFrame:
         F.posexplode(F.when(F.size("any_of") == 0, empty).otherwise(F.col("any_of"))).alias("clause_pos", "clause"),
     )
     always = (F.size("clause") == 0) & (F.size("none_of") == 0)
-    best = Window.partitionBy("package", "component", always)
-    return rows.withColumn("_best", F.min("rank").over(best)).filter(~always | (F.col("rank") == F.col("_best"))).drop("_best")
+    rows = rows.withColumn("_always", always)
+    best = rows.filter("_always").groupBy("package", "component").agg(F.min("rank").alias("rank")).withColumn("_always", F.lit(True))
+    won = rows.join(best, ["package", "component", "rank", "_always"], "left_semi")
+    return rows.filter("NOT _always").unionByName(won).drop("_always")
 
 
 def best_rules(sets: DataFrame, rules: DataFrame, mode: str = "first_match") -> DataFrame:

@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions import markup, rewriting
-from tagloom.functions.lets import built_once, let
-from tagloom.functions.matching import compiled_rule, has_rules
-from tagloom.operators.extract import with_import
+from tagloom.operators.extract import usages
+from tagloom.operators.match import match_rules
 from tagloom.operators.rows import each
-from tagloom.sources.rules import INLINE_RULES, InlineRules, inline_rules
-
 
 
 def removed(matched: DataFrame) -> DataFrame:
@@ -73,47 +70,36 @@ def rewrite_files(
     target: str | None = None,
     mode: str = "first_match",
     rename_components: bool = False,
-    limit: int = INLINE_RULES,
+    compiled: bool = False,
 ) -> DataFrame:
     """Files with their text before and after the migration.
 
     (file_path, package, component, code_before, code_after, mutated,
-    n_elements, n_matched, n_unsupported).  Files without an import of the
-    target, or without rules for it, are not listed.  One narrow pass: the
-    rules are a constant, so a rule table above ``limit`` is refused here;
-    match usages with ``match_rules`` in that case.
+    n_elements, n_matched, n_unsupported).  Files without usages of the target,
+    or without rules for it, are not listed.  Usages are matched with the rules
+    (any number of them, see ``match_rules``), the edits of a file are gathered,
+    and its text is put together once.  A file with unread tags of the target
+    keeps its import.
     """
-    constant = inline_rules(rules, mode, limit)
-    if constant is None:
-        raise ValueError(f"more than {limit} rules; rewrite the files per group of components")
-    spec = F.col("import")
-    done = each(with_import(files, packages, target), _rewritten(constant, target, rename_components), "d")
-    return done.select(
-        "file_path",
-        spec["package"].alias("package"),
-        markup.component_name(spec).alias("component"),
-        F.col("code").alias("code_before"),
-        F.col("d.code_after").alias("code_after"),
-        F.col("d.r.mutated").alias("mutated"),
-        F.col("d.r.n_elements").alias("n_elements"),
-        F.col("d.r.n_matched").alias("n_matched"),
-        F.col("d.r.n_unsupported").alias("n_unsupported"),
+    used = usages(files, packages, target, spans=True)
+    matched = match_rules(used, rules, mode, keep_unmatched=True, compiled=compiled)
+    known = rules.select("package", F.col("component").alias("resolved")).distinct()
+    matched = matched.join(known, ["package", "resolved"], "left_semi")
+    tag = {c: F.col(f"tag_{c}") for c in ("kind", "start", "stop", "close_start", "close_stop")}
+    edit = rewriting.tag_edit(tag, F.col("component"), F.col("attrs"), F.col("props"), F.col("rule"), rename_components)
+    edits = matched.select("file_path", "package", "resolved", "import", "n_unread", F.when(F.col("rule").isNotNull(), edit).alias("e"))
+    kept = F.when(F.col("e.text").isNotNull() | F.col("e.closing").isNotNull(), F.struct(*[f"e.{c}" for c in ("start", "stop", "text", "close_start", "close_stop", "closing")]))
+    per_file = edits.groupBy("file_path").agg(
+        F.first("package").alias("package"), F.first("resolved").alias("component"), F.first("import").alias("import"),
+        F.max("n_unread").alias("n_unread"), F.collect_list(kept).alias("edits"),
+        F.sort_array(F.collect_set("e.import_to")).alias("targets"), F.coalesce(F.bool_or("e.mutates"), F.lit(False)).alias("mutated"),
+        F.count("*").cast("int").alias("n_elements"), F.count("e").cast("int").alias("n_matched"),
+        F.count_if("e.unsupported").cast("int").alias("n_unsupported"),
     )
-
-
-@built_once
-def _rewritten(rules: InlineRules, target: str | None, rename_components: bool) -> Column:
-    """The rewrite of column ``code`` in an array; null for files without import or rules."""
-    code, spec, rows = F.col("code"), F.col("import"), rules.rows
-    component = markup.component_name(spec)
-
-    def choose(props: Column) -> Column:
-        return F.get(rules.array(), compiled_rule(rows, spec["package"], component, props))
-
-    rewritten = let(
-        rewriting.rewrite_tags(code, choose, target, rename_components),
-        lambda r: F.struct(
-            r.alias("r"), rewriting.rewire_imports(r["code"], spec, r["import_targets"]).alias("code_after")
-        ),
+    targets = F.when(F.col("n_unread") == 0, F.col("targets")).otherwise(F.array().cast("array<string>"))
+    joined = files.select("file_path", "code").join(per_file, "file_path")
+    code_after = rewriting.rewritten_text(F.col("code"), F.col("edits"), F.col("import"), F.col("component"), targets)
+    return joined.select(
+        "file_path", "package", "component", F.col("code").alias("code_before"), code_after.alias("code_after"),
+        "mutated", "n_elements", "n_matched", "n_unsupported",
     )
-    return F.when(spec.isNotNull() & has_rules(rows, spec["package"], component), F.array(rewritten))

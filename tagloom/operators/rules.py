@@ -40,7 +40,6 @@ VARIANTS = [
     ("mono", "small", "snippetRegular"),
     ("mono", "tiny", "snippetMedium"),
 ]
-REMAPPED_PROPS = ["tag", "type", "size"]
 
 
 def variant_table(spark: SparkSession) -> DataFrame:
@@ -120,6 +119,8 @@ def _as_rules(df: DataFrame, component: str) -> DataFrame:
         "package component rule_pos rule_order specificity any_of none_of remove rename set files "
         "new_component import_from import_to template inner_props"
     ).split()
+    for name in ("rule_pos", "rule_order"):
+        columns[name] = columns[name].cast("bigint")
     return df.select(*[columns[n].alias(n) for n in names])
 
 
@@ -136,9 +137,9 @@ def for_each_package(df: DataFrame, packages: Sequence[str]) -> DataFrame:
 
 
 def variant_rules(
-    clauses: DataFrame, packages: Sequence[str], component: str, import_to: str | None = None, first_order: int = 11
+    clauses: DataFrame, packages: Sequence[str], component: str, remove: Sequence[str], first_order: int, import_to: str | None = None
 ) -> DataFrame:
-    """One rule per variant and package, numbered over both (variant first, then package).
+    """One rule per variant and package, numbered from ``first_order`` over both (variant first, then package).
 
     All inputs are configuration tables, so the numbering window is small.
     """
@@ -147,8 +148,8 @@ def variant_rules(
     return _as_rules(
         rows.select(
             "package", "rule_pos",
-            (F.col("rule_pos") * len(packages) + F.col("pkg_no") + first_order).cast("int").alias("rule_order"),
-            "any_of", F.array(*[F.lit(p) for p in REMAPPED_PROPS]).alias("remove"), _set_variant().alias("set"),
+            (F.col("rule_pos") * len(packages) + F.col("pkg_no") + first_order).alias("rule_order"),
+            "any_of", F.array(*[F.lit(p) for p in remove]).alias("remove"), _set_variant().alias("set"),
             F.col("package").alias("import_from"), F.lit(import_to).cast("string").alias("import_to"),
         ),
         component,
@@ -182,7 +183,7 @@ def append_rules(first: DataFrame, then: DataFrame) -> DataFrame:
     """Two rule tables one after the other: the second keeps its order behind the first."""
     ends = first.groupBy("package", "component").agg((F.max("rule_pos") + 1).alias("_end"))
     moved = then.join(ends, ["package", "component"], "left").withColumn(
-        "rule_pos", (F.col("rule_pos") + F.coalesce("_end", F.lit(0))).cast("int")
+        "rule_pos", F.col("rule_pos") + F.coalesce("_end", F.lit(0))
     )
     return first.unionByName(moved.drop("_end"))
 
@@ -193,7 +194,7 @@ def by_specificity(rules: DataFrame) -> DataFrame:
     Per package and component; rule tables are configuration.
     """
     order = Window.partitionBy("package", "component").orderBy(F.desc("specificity"), "rule_pos")
-    return rules.withColumn("rule_pos", F.row_number().over(order) - 1).select(*rules.columns)
+    return rules.withColumn("rule_pos", (F.row_number().over(order) - 1).cast("bigint")).select(*rules.columns)
 
 
 def skeletons(
@@ -211,8 +212,8 @@ def skeletons(
     rows = for_each_package(numbered, packages)
     return _as_rules(
         rows.select(
-            "package", (F.col("_no") - 1).cast("int").alias("rule_pos"),
-            ((F.col("_no") - 1) * len(packages) + F.col("pkg_no") + 1).cast("int").alias("rule_order"),
+            "package", (F.col("_no") - 1).alias("rule_pos"),
+            ((F.col("_no") - 1) * len(packages) + F.col("pkg_no") + 1).alias("rule_order"),
             F.array("props_key").alias("any_of"),
             F.lit(spec["new_component"]).alias("new_component"), F.col("package").alias("import_from"),
             F.lit(spec["import_to"]).alias("import_to"),

@@ -32,10 +32,12 @@ def prop_report(used: DataFrame, package: str | None = None, component: str | No
     )
 
 
-def usage_table(used: DataFrame, package: str | None = None, component: str | None = None) -> DataFrame:
-    """Combinations as a wide table; its columns are the props of the scope, most used first."""
-    scoped = in_scope(used, package, component)
-    return aggregates.wide_table(aggregates.combinations(scoped), aggregates.column_keys(scoped), "prop ")
+def usage_table(used: DataFrame, columns: Sequence[str], package: str | None = None, component: str | None = None) -> DataFrame:
+    """Combinations as a wide table with a column for each of the props named.
+
+    ``aggregates.combination_cells`` has all props, in long form.
+    """
+    return aggregates.wide_table(aggregates.combinations(in_scope(used, package, component)), columns, "prop ")
 
 
 def rule_table(

@@ -7,7 +7,7 @@ SPECIFIER = (
     "import_stm:string,local_name:string,imported_name:string>"
 )
 
-ATTRIBUTES = "array<struct<name:string,value:string,kind:string,raw:string>>"
+ATTRIBUTES = "array<struct<name:string,value:string,kind:string,raw:string,start:int,stop:int>>"
 
 USAGES = (
     "file_path string, rel_path string, package string, component string, "
@@ -30,7 +30,7 @@ _TERM = "struct<key:string,value:string>"
 # its terms do; ``none_of``: no term may hold.  A term without a value asks for
 # the presence of the prop only.
 RULE_FIELDS = (
-    "package:string,component:string,rule_pos:int,rule_order:int,specificity:int,"
+    "package:string,component:string,rule_pos:BIGINT,rule_order:BIGINT,specificity:int,"
     f"any_of:array<array<{_TERM}>>,none_of:array<{_TERM}>,"
     "remove:array<string>,rename:array<struct<source:string,target:string>>,"
     "set:array<struct<key:string,value:string,literal:string>>,"

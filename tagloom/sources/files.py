@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +24,11 @@ def scan_tree(
     """
     pattern = "*.{" + ",".join(extensions) + "}"
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-    path = F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/")
+    plain = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))  # the metadata holds an encoded URI
+    path = F.regexp_replace(plain, r"^file:/+", "/")
     return (
         files.select(path.alias("file_path"), F.col("value").alias("code"))
-        .filter(outside_directories(relative_path(F.col("file_path"), root), blacklist))
+        .filter(outside_directories(relative_path(F.col("file_path"), local_path(root)), blacklist))
     )
 
 
@@ -34,7 +37,24 @@ def split_list(text: str) -> list[str]:
     return [part for part in (p.strip() for p in text.split(",")) if part]
 
 
-def file_table(spark: SparkSession, path: str, file_path: str = "file_path", code: str = "code") -> DataFrame:
-    """(file_path, code) from a stored table."""
-    return spark.read.parquet(path).select(F.col(file_path).alias("file_path"), F.col(code).alias("code"))
+def local_path(uri: str) -> str:
+    """A path without the scheme of a local file system."""
+    return re.sub(r"^file:/+", "/", uri)
 
+
+def write_tree(files: DataFrame, root: str) -> int:
+    """Write every file (file_path, code) below a root that all executors share; the number of files."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(re.sub(r"^(?:file:)?/+", "file:///", root))
+        for batch in batches:
+            for path, code in zip(batch["file_path"], batch["code"], strict=True):
+                place = f"{base}/{path}"
+                store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(place, compression=None) as out:
+                    out.write((code or "").encode())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return files.select("file_path", "code").mapInPandas(write, "n bigint").agg(F.sum("n")).first()[0] or 0

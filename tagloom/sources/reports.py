@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,38 +62,39 @@ def read_nested_summary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_nested_usages(spark: SparkSession, path: str) -> DataFrame:
+    """Usage table from files with nested documents (see :func:`nested_usages`)."""
+    return nested_usages(spark.read.text(path, wholetext=True))
+
+
+def nested_usages(documents: DataFrame, value: str = "value") -> DataFrame:
     """Usage table from nested documents: package -> directory tree -> file -> [usage].
 
-    The tree is walked level by level; the ``_imports`` branch of a package is
-    not a directory and is skipped.
+    The tree of a document is walked in its own row, to any depth; the
+    ``_imports`` branch of a package is not a directory and is skipped.
     """
-    documents = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("document"))
-    shape = f"array<struct<name:string,filePath:string,local:string,props:map<string,string>,impObj:{_NESTED_IMPORT}>>"
-    leaves = spark.sql(
-        """
-        WITH RECURSIVE walk(package, path, node) AS (
-          SELECT p.key, CAST('' AS STRING), p.value FROM {documents}, LATERAL variant_explode(document) p
-          UNION ALL
-          SELECT w.package, IF(w.path = '', e.key, concat(w.path, '/', e.key)), e.value
-          FROM walk w, LATERAL variant_explode(w.node) e
-          WHERE schema_of_variant(w.node) LIKE 'OBJECT%' AND e.key <> '_imports'
-        )
-        SELECT package, path AS rel_path, to_json(node) AS list FROM walk WHERE schema_of_variant(node) LIKE 'ARRAY%'
-        """,
-        documents=documents,
-    )
-    rows = leaves.select("package", "rel_path", F.explode(F.from_json("list", shape)).alias("u"))
+
+    def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text in batch["value"].dropna():
+                stack = [(package, "", node) for package, node in json.loads(text).items()]
+                while stack:
+                    package, path, node = stack.pop()
+                    if isinstance(node, list):
+                        rows += [(package, path, json.dumps(usage)) for usage in node]
+                    elif isinstance(node, dict):
+                        stack += [(package, f"{path}/{key}" if path else key, below) for key, below in node.items() if key != "_imports"]
+            yield pd.DataFrame(rows, columns=["package", "rel_path", "usage"], dtype=object)
+
+    shape = f"struct<name:string,filePath:string,local:string,props:map<string,string>,impObj:{_NESTED_IMPORT}>"
+    found = documents.select(F.col(value).alias("value")).mapInPandas(leaves, "package string, rel_path string, usage string")
+    rows = found.select("package", "rel_path", F.from_json("usage", shape).alias("u"))
     return rows.select(
         F.col("u.filePath").alias("file_path"), "rel_path", "package", F.col("u.name").alias("component"),
         F.col("u.impObj.localName").alias("local_name"), "u.props", _import_struct("u.impObj").alias("import"),
     )
 
 
-def read_usage_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Usage table from JSON lines in the library's own layout."""
-    return spark.read.schema(USAGES).json(path)
-
-
 def files_of_usages(used: DataFrame) -> DataFrame:
     """Usages counted per file: the flattened directory tree."""
     return used.groupBy("package", "rel_path").agg(F.count("*").alias("n_usages"))

@@ -13,8 +13,8 @@ from tagloom.schemas import RULE_DOCUMENT, RULE_FIELDS
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rule table from JSON documents, one document per file."""
-    return parse_rules(spark.read.text(path, wholetext=True))
+    """Rule table from JSON documents, one document per file; documents follow each other in the order of their names."""
+    return parse_rules(spark.read.text(path, wholetext=True).withColumn("document", F.input_file_name()))
 
 
 def rules_from_document(spark: SparkSession, document: Mapping | str) -> DataFrame:
@@ -34,16 +34,29 @@ def rules_from_rows(
 
 
 def parse_rules(documents: DataFrame, value: str = "value") -> DataFrame:
-    """Explode rule documents to one row per rule (``schemas.RULE_FIELDS``)."""
+    """Explode rule documents to one row per rule (``schemas.RULE_FIELDS``).
+
+    ``rule_pos`` counts the rules of a package and component over all
+    documents, in the order of column ``document`` (or of their texts) and of
+    the rules in them, so no two rules share a position.
+    """
+    name = F.col("document") if "document" in documents.columns else F.col(value)
     per_package = documents.select(
-        F.explode(F.from_json(value, RULE_DOCUMENT, {"mode": "FAILFAST"})).alias("package", "components")
+        name.alias("document"), F.explode(F.from_json(value, RULE_DOCUMENT, {"mode": "FAILFAST"})).alias("package", "components")
     )
-    per_component = per_package.select("package", F.explode("components").alias("component", "rules"))
-    return per_component.select("package", "component", F.posexplode("rules").alias("rule_pos", "r")).select(
+    per_component = per_package.select("document", "package", F.explode("components").alias("component", "rules"))
+
+    def by_name(a: Column, b: Column) -> Column:
+        return F.when(a["document"] < b["document"], -1).when(a["document"] > b["document"], 1).otherwise(0)
+
+    # documents are configuration: what is sorted here are the lists of a component, not their rules
+    lists = per_component.groupBy("package", "component").agg(F.array_sort(F.collect_list(F.struct("document", "rules")), by_name).alias("lists"))
+    ordered = lists.select("package", "component", F.posexplode(F.flatten("lists.rules")).alias("rule_pos", "r"))
+    return ordered.select(
         "package",
         "component",
-        "rule_pos",
-        F.coalesce("r.order", F.lit(0)).alias("rule_order"),
+        F.col("rule_pos").cast("bigint").alias("rule_pos"),
+        F.coalesce("r.order", F.lit(0)).cast("bigint").alias("rule_order"),
         F.coalesce(F.size(F.map_keys(F.get("r.match", 0))), F.lit(0)).alias("specificity"),
         _any_of(F.coalesce("r.match", _no_clauses())).alias("any_of"),
         _none_of(F.coalesce("r.match", _no_clauses())).alias("none_of"),
@@ -116,12 +129,9 @@ def _set_entry(entry: Column) -> Column:
     )
 
 
-INLINE_RULES = 300
-
-
 @dataclass(frozen=True)
-class InlineRules:
-    """A small rule table carried by the plan itself: JSON texts, in matching order."""
+class CompiledRules:
+    """A rule table carried by the plan itself: JSON texts, in matching order."""
 
     texts: tuple[str, ...]
 
@@ -134,8 +144,8 @@ class InlineRules:
         return F.from_json(F.lit("[" + ",".join(self.texts) + "]"), f"array<struct<{RULE_FIELDS}>>")
 
 
-def inline_rules(rules: DataFrame, mode: str = "first_match", limit: int = INLINE_RULES) -> InlineRules | None:
-    """The rule table for use without a join, or None when it has more than ``limit`` rules.
+def compiled_rules(rules: DataFrame, mode: str = "first_match") -> CompiledRules:
+    """A hand-written rule table for use without a join; it is brought to the driver whole.
 
     ``first_match`` keeps the order of the document; ``most_specific`` puts
     rules with more terms in their first clause first.
@@ -143,8 +153,7 @@ def inline_rules(rules: DataFrame, mode: str = "first_match", limit: int = INLIN
     order = ["rule_pos"] if mode == "first_match" else [F.desc("specificity"), "rule_pos"]
     text = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
     listed = rules.select("package", "component", "rule_pos", "specificity", text.alias("rule"))
-    rows = listed.orderBy("package", "component", *order).limit(limit + 1).collect()
-    return None if len(rows) > limit else InlineRules(tuple(r["rule"] for r in rows))
+    return CompiledRules(tuple(r["rule"] for r in listed.orderBy("package", "component", *order).collect()))
 
 
 def write_rules(rules: DataFrame, folder: str, old_component: str, new_component: str, mode: str = "error") -> str:

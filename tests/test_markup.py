@@ -116,12 +116,59 @@ def test_attribute_kinds(files_of):
 
 def test_text_is_read_once(files_of):
     used = extract.usages(files_of({"f": UI}), ["@acme/ui"], "Text").select("file_path", "props")
-    plan = used._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("</[A-Za-z_$]") == 1  # the token pattern appears in one place only
-    assert "attrs" not in plan.split("\n")[0]
+    plan = used._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1
 
 
 def test_unread_tags_are_listed(files_of):
-    deep = "<Text a=" + "{" * 9 + "1" + "}" * 9 + " />"
-    files = files_of({"good": UI + "<Text a={{b: {c: 1}}}/>", "deep": UI + "<Text/>" + deep, "note": UI + "// " + deep})
-    assert [tuple(r) for r in extract.unread_tags(files, "Text").collect()] == [("deep", 1)]
+    broken = '<Text a="1" =/>'
+    deep = "<Text a=" + "{" * 900 + "1" + "}" * 900 + " />"
+    files = files_of({"deep": UI + deep, "broken": UI + "<Text/>" + broken, "note": UI + "// " + broken, "less": "a <Text && b"})
+    assert [tuple(r) for r in extract.unread_tags(files, "Text").collect()] == [("broken", 1)]
+
+
+def tags(files_of, code, target=None):
+    return [(r.component, r.props) for r in extract.element_rows(files_of({"f": code}), target).orderBy("pos").collect()]
+
+
+@pytest.mark.parametrize(
+    "code, expected",
+    [
+        ('<Box icon={<Text a="1" />} />', [("Box", {"icon": "JSXElement"}), ("Text", {"a": "1"})]),
+        ('<Text b={<Text a="1" />} a="2">', [("Text", {"b": "JSXElement", "a": "2"}), ("Text", {"a": "1"})]),
+        ('<Text<Foo> a="1" />', [("Text", {"a": "1"})]),
+        ("<Text a={{b: {c: {d: {e: {f: {g: {h: 1}}}}}}}} />", [("Text", {"a": "ObjectExpression"})]),
+        ("const s = '<Text a=\"1\">';", []),
+        ("const s = `<Text a='1'>${<b c='2'/>}`;", [("b", {"c": "2"})]),
+        ('foo(); // <Text a="1" />', []),
+        ("x.replace(/['\"]/g, '') && <Text a='1'/>", [("Text", {"a": "1"})]),
+        ("<p>don't <b a='1'/> won't</p>", [("p", {}), ("b", {"a": "1"})]),
+        ("<p>{/* <Text /> */}{'<Text />'}<b/></p>", [("p", {}), ("b", {})]),
+        ("useState<Text>(1); f(a < b, c > d)", []),
+        ("const f = <T extends U>(x) => <Text a='1'/>", [("Text", {"a": "1"})]),
+        ("<Text n={1e3} h={0x1f} u={1_000} />", [("Text", {"n": "1000", "h": "31", "u": "1000"})]),
+        ('<Text t="&copy; &nbsp;&#65;&x" />', [("Text", {"t": "\u00a9 \u00a0A&x"})]),
+        ("<Text a={'}'} b={/* } */ 1} />", [("Text", {"a": "}", "b": "Expression"})]),
+        ("<>a<Text/></>", [("Text", {})]),
+    ],
+)
+def test_source_text_beyond_patterns(files_of, code, expected):
+    assert tags(files_of, code) == expected
+
+
+@pytest.mark.parametrize(
+    "code, packages",
+    [
+        ('import A from "x"; import { Text } from "@acme/ui";', ["x", "@acme/ui"]),
+        ('import { Text /* c */, // d\n Box } from "@acme/ui";', ["@acme/ui", "@acme/ui"]),
+        ('/* import { Text } from "a"; */ // import B from "b"\nimport C from "c"', ["c"]),
+        ("const s = 'import D from \"d\"';\nfunction f() { import E from 'e' }", []),
+    ],
+)
+def test_imports_wherever_they_stand(files_of, code, packages):
+    assert [r.package for r in extract.import_rows(files_of({"f": code})).orderBy("pos").collect()] == packages
+
+
+def test_time_is_linear_in_the_text(files_of):
+    code = "<Text a={" * 3000 + "1" + "}/>" * 3000 + "'" * 5000 + "/" * 5000 + "<a " * 5000 + "{" * 5000
+    assert len(tags(files_of, code, "Text")) == 3000

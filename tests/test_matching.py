@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -6,21 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import match
 from tagloom.operators import rules as r
-from tagloom.sources.rules import parse_rules, read_rule_lines, rule_documents, rules_from_document, write_rules
-
-
-def holds(match_list, props):
-    """The rule predicate in plain Python."""
-    if not match_list:
-        return True
-
-    def term(key, value):
-        return key in props if value is True else key in props and props[key] == str(value).lower() if isinstance(value, bool) else props.get(key) == value
-
-    positive = [c for c in match_list if not any(k.startswith("!") for k in c)]
-    negative = [c for c in match_list if any(k.startswith("!") for k in c)]
-    some = not positive or any(all(term(k, v) for k, v in c.items()) for c in positive)
-    return some and all(not term(k[1:], v) for c in negative for k, v in c.items())
+from tagloom.sources.rules import parse_rules, read_rule_lines, read_rules, rule_documents, rules_from_document, write_rules
 
 
 def used_table(spark, sets):
@@ -31,7 +18,7 @@ def used_table(spark, sets):
 def plans(spark, rules, sets, mode="first_match"):
     """Rule position per file, by all three plans."""
     used = used_table(spark, sets)
-    inline = match.match_rules(used, rules, mode).select("file_path", "rule.rule_pos")
+    inline = match.match_rules(used, rules, mode, compiled=True).select("file_path", "rule.rule_pos")
     anchored = match.match_by_anchor(used, rules, mode).select("file_path", "rule.rule_pos")
     divided = match.match_by_division(used, rules, mode)
     text = F.to_json(F.map_from_entries(F.sort_array(F.map_entries("props"))))
@@ -56,24 +43,39 @@ CASES = [
     ([{"id": "i"}], {"id": "i", "z": "1"}, True),
     ([{"a": "1"}, {"!b": True}], {"a": "1", "b": "2"}, False),
     ([{"a": "1"}, {"!b": True}], {"b": "2"}, False),
+    ([{"a": "1"}, {"!b": True}], {"a": "1"}, True),
+    ([{"!a": True}, {"!b": "2"}], {"b": "3"}, True),
+    ([{"!a": True}, {"!b": "2"}], {"b": "2"}, False),
+    ([{"!a": True}, {"!b": "2"}], {"a": "", "b": "3"}, False),
+    ([{}, {"!b": True}], {"a": "1"}, True),
+    ([{}, {"!b": True}], {"b": "1"}, False),
+    ([{"n": 5}], {"n": "5"}, True),
+    ([{"n": 5}], {"n": "5.0"}, False),
+    ([{"n": None}], {"n": "null"}, True),
+    ([{"bold": True}], {"bold": "false"}, True),
+    ([{"bold": False}], {"bold": "true"}, False),
+    ([{"bold": False}], {}, False),
+    ([{"a": "1"}, {"a": "2"}, {"a": "3"}], {"a": "3"}, True),
+    ([{"a": "1"}, {"a": "2"}, {"a": "3"}], {"a": "4"}, False),
+    ([{"a": "x,y=z"}], {"a": "x,y=z"}, True),
+    ([{"!a": "x"}], {}, True),
 ]
 
 
 def test_truth_table(spark):
-    for clauses, props, expected in CASES:
-        assert holds(clauses, props) == expected
     document = {"p": {f"C{i}": [{"order": 1, "match": c}] for i, (c, _, _) in enumerate(CASES)}}
     rules = rules_from_document(spark, document)
     rows = [(f"f{i}", "p", f"C{i}", p) for i, (_, p, _) in enumerate(CASES)]
     used = spark.createDataFrame(rows, "file_path string, package string, component string, props map<string,string>")
     want = {f"f{i}" for i, c in enumerate(CASES) if c[2]}
-    assert {x.file_path for x in match.match_rules(used, rules).collect()} == want
-    assert {x.file_path for x in match.match_by_anchor(used, rules).collect()} == want
+    for compiled in (True, False):
+        assert {x.file_path for x in match.match_rules(used, rules, compiled=compiled).collect()} == want
 
 
 @pytest.mark.parametrize("mode", ["first_match", "most_specific"])
-def test_three_plans_against_plain_python(spark, mode):
-    rnd = random.Random(7)
+@pytest.mark.parametrize("seed", [7, 8, 9])
+def test_three_plans_agree(spark, mode, seed):
+    rnd = random.Random(seed)
     keys, values = "abcd", ["1", "2", "true"]
 
     def clause():
@@ -85,23 +87,26 @@ def test_three_plans_against_plain_python(spark, mode):
     listed = [x for x in listed if x["match"] and {} not in x["match"]] + [{"order": 9, "match": [{"a": "1"}, {}, {"!d": True}]}]
     sets = [{k: rnd.choice(values) for k in keys if rnd.random() < 0.5} for _ in range(60)]
     rules = rules_from_document(spark, {"p": {"C": listed}})
-    order = range(len(listed))
-    if mode == "most_specific":
-        order = sorted(order, key=lambda i: -len(listed[i]["match"][0]))
-    want = {}
-    for n, s in enumerate(sets):
-        first = next((i for i in order if holds(listed[i]["match"], s)), None)
-        if first is not None:
-            want[f"f{n}"] = first
-    for got in plans(spark, rules, sets, mode):
-        assert got == want
+    compiled, anchored, divided = plans(spark, rules, sets, mode)
+    assert compiled == anchored == divided and compiled
+
+
+def test_documents_of_one_component_follow_each_other(spark, tmp_path):
+    for name, value in (("b.json", "2"), ("a.json", "1")):
+        (tmp_path / name).write_text(json.dumps({"p": {"C": [{"match": [{"a": value}]}, {"match": [{"a": True}], "order": int(value)}]}}))
+    rules = read_rules(spark, str(tmp_path))
+    assert sorted((x.rule_pos, x.rule_order) for x in rules.collect()) == [(0, 0), (1, 1), (2, 0), (3, 2)]
+    used = used_table(spark, [{"a": "1"}, {"a": "2"}])
+    for compiled in (True, False):
+        rows = match.match_rules(used, rules, compiled=compiled).collect()
+        assert sorted((x.file_path, x.rule.rule_pos) for x in rows) == [("f0", 0), ("f1", 1)]
 
 
 def test_unmatched_are_kept_on_request(spark):
     rules = rules_from_document(spark, {"p": {"C": [{"order": 1, "match": [{"a": "1"}]}]}})
     used = used_table(spark, [{"a": "1"}, {"a": "2"}])
-    for limit in (10, 0):
-        rows = match.match_rules(used, rules, keep_unmatched=True, limit=limit).collect()
+    for compiled in (True, False):
+        rows = match.match_rules(used, rules, keep_unmatched=True, compiled=compiled).collect()
         assert sorted((x.file_path, x.rule is None) for x in rows) == [("f0", False), ("f1", True)]
 
 
@@ -114,9 +119,9 @@ def test_mapping_invariants(spark):
     cases = r.scenarios(spark)
     clauses = r.variant_clauses(cases, r.variant_table(spark))
     assert (cases.count(), clauses.count(), clauses.select("variant").distinct().count()) == (41, 30, 15)
-    rules = r.variant_rules(clauses, ["p", "q"], "Text", "new")
+    rules = r.variant_rules(clauses, ["p", "q"], "Text", ["type"], 1, "new")
     assert rules.count() == 30 and rules.filter("package = 'p'").agg(F.sum(F.size("any_of"))).first()[0] == 30
-    assert sorted(x.rule_order for x in rules.collect()) == list(range(11, 41))
+    assert sorted(x.rule_order for x in rules.collect()) == list(range(1, 31))
     # the order of the document decides: large headings fall to the first rule that names "large"
     used = spark.createDataFrame([("f", "p", "Text", {"type": "heading", "size": "large"})],
                                  "file_path string, package string, component string, props map<string,string>")

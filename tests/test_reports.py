@@ -38,7 +38,7 @@ def test_one_scope_for_all_tables(spark):
     assert [tuple(r) for r in report.totals.collect()] == [("a", 2), ("b", 2)]
     assert report.combinations.count() == 1
     assert [(r.file_path, r.n) for r in report.files.collect()] == [("s/a.tsx", 2)]
-    wide = usage_table(used(spark))
+    wide = usage_table(used(spark), ["a", "b"])
     assert wide.columns == ["props_key", "n", "prop a", "prop b"]
     assert sorted(tuple(r)[1:] for r in wide.collect()) == [(1, "-", "-"), (1, "3", "-"), (2, "2", "1")]
 
@@ -80,7 +80,7 @@ def test_component_index_with_one_hot_package(spark):
 
 def test_package_rank(spark):
     listed = spark.createDataFrame([("bb",), ("a",), ("ccc",), ("aa",)], "package string")
-    assert [r.package for r in rank_packages(listed).orderBy("pkg_rank").collect()] == ["ccc", "aa", "bb", "a"]
+    assert [r.package for r in rank_packages(listed).orderBy("pkg_rank").collect()] == ["ccc", "bb", "aa", "a"]
 
 
 def test_migration_units_take_the_last(spark):

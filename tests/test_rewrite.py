@@ -1,6 +1,6 @@
 import pytest
 
-from tagloom.operators import changes, extract, imports, match, rewrite
+from tagloom.operators import changes, extract, imports, rewrite
 from tagloom.plans import migrate
 from tagloom.sources.rules import rules_from_document
 
@@ -106,8 +106,7 @@ def test_dry_run_equals_apply(spark, files_of, tmp_path):
 def test_table_form_of_imports_agrees(spark, files_of):
     rules = rules_from_document(spark, {"old": {"Text": [{"match": [{}], **MOVE}]}})
     files = files_of({"a": HEAD + "<Text/>", "b": 'import Text from "old";\n<Text/>', "c": 'import { Text } from "x";\n<Text/>'})
-    used = extract.usages(files, ["old"], "Text")
-    after = imports.rewired_imports(extract.import_rows(files), imports.moved_specifiers(match.match_rules(used, rules)))
+    after = imports.rewired_imports(imports.file_moves(files, ["old"], rules, "Text"))
     texts = rewrite.rewrite_files(files, ["old"], rules, "Text").selectExpr("file_path", "code_after AS code")
     key = ("file_path", "package", "local_name")
     want = {tuple(x[k] for k in key) for x in extract.import_rows(texts).collect()}
@@ -120,3 +119,43 @@ def test_pairing_in_a_text_with_very_many_tags(spark, files_of):
     rule = {"match": [{"a": "1"}], "replaceWith": {"code": "<T>{CHILDREN}</T>"}}
     row = run(spark, files_of, [rule], body)
     assert row.code_after == HEAD + "<T>x</T>" * 3000
+
+
+def test_nested_elements_are_rewritten_inside_out(spark, files_of):
+    rules = [{"match": [{"drop": True}], "remove": ["drop"]}, {"match": [{"a": "1"}], "set": {"v": "x"}, **MOVE}]
+    body = '<Text b={<Text a="1" c={() => <Text a="1">{1}</Text>} />} a="1">t</Text><Text drop={<Text a="1"/>} k={<Text a="1"/>} />'
+    row = run(spark, files_of, rules, body)
+    assert row.code_after == 'import { Text } from "new";\nimport React from "react";\nimport { Box } from "old";\n' + (
+        '<Text b={<Text a="1" c={() => <Text a="1" v="x">{1}</Text>} v="x" />} a="1" v="x">t</Text><Text k={<Text a="1" v="x" />} />'
+    )
+
+
+def test_a_template_keeps_edits_in_its_attributes(spark, files_of):
+    rules = [{"match": [{"t": True}], "replaceWith": {"code": "<Q {...OUTER_PROPS}><R {...INNER_PROPS}>{CHILDREN}</R></Q>", "INNER_PROPS": ["i"]}}, {"match": [{"a": "1"}], "remove": ["a"]}]
+    row = run(spark, files_of, rules, '<Text t i={<Text a="1" />} o={<Text a="1" z="2" />}>x</Text>')
+    assert row.code_after == HEAD + '<Q t o={<Text z="2" />}><R i={<Text />}>x</R></Q>'
+
+
+def test_strings_and_comments_stay(spark, files_of):
+    body = "const s = '<Text a=\"1\">'; // <Text a=\"1\" />\n"
+    assert run(spark, files_of, [{"match": [{}], "set": {"v": "x"}, **MOVE}], body) is None
+    row = run(spark, files_of, [{"match": [{}], "set": {"v": "x"}}], body + "<Text/>")
+    assert row.code_after == HEAD + body + '<Text v="x" />'
+
+
+def test_unread_tags_keep_the_import(spark, files_of):
+    row = run(spark, files_of, [{"match": [{}], "set": {"v": "x"}, **MOVE}], '<Text a="1" =/>\n<Text/>')
+    assert row.code_after == HEAD + '<Text a="1" =/>\n<Text v="x" />'
+
+
+def test_thousands_of_rules(spark, files_of):
+    rules = [{"match": [{"n": str(i), "m": True}], "set": {"v": f"x{i}"}} for i in range(5000)]
+    row = run(spark, files_of, rules, "".join(f'<Text n="{i}" m />' for i in range(0, 5000, 500)))
+    assert row.code_after == HEAD + "".join(f'<Text n="{i}" m v="x{i}" />' for i in range(0, 5000, 500))
+    assert row.n_matched == 10
+
+
+def test_compiled_rules_rewrite_alike(spark, files_of):
+    rules = [{"match": [{"a": "1"}], "set": {"v": "x"}}, {"match": [{"!b": True}], "remove": ["c"], **MOVE}]
+    body = '<Text a="1"/><Text b="2" c="3"/><Text c="4">x</Text>'
+    assert run(spark, files_of, rules, body) == run(spark, files_of, rules, body, compiled=True)
