@@ -17,4 +17,50 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op7_warc": r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS sha,
+    min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+  FROM pages
+), digits AS (
+  SELECT *, list_transform(range(8), lambda g: ('0x' || substr(sha, 5 * g + 1, 5))::BIGINT) AS fives FROM p
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((fives[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM digits""",
+    "op6_chat_format": r"""
+WITH talks AS (
+  SELECT DISTINCT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), last AS (
+  SELECT pair_id, max({'turn': turn, 'text': text}) AS l FROM talks WHERE role = 'assistant' AND turn IS NOT NULL GROUP BY pair_id
+), cut AS (
+  SELECT a.pair_id, a.l.turn AS cut, b.l.text AS donated FROM last a JOIN last b ON b.pair_id = a.pair_id + 1
+), sides AS (
+  SELECT 'chosen' AS side, talks.* FROM talks JOIN cut USING (pair_id)
+  UNION ALL
+  (SELECT 'rejected', talks.* FROM talks JOIN cut USING (pair_id) WHERE turn < cut OR turn IS NULL
+   UNION SELECT 'rejected', pair_id, cut, 'assistant', donated FROM cut)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY side, pair_id ORDER BY turn NULLS FIRST, role, text) AS n,
+    '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown FROM sides
+), prefix AS (
+  SELECT pair_id, coalesce(min(n) FILTER (WHERE sides < 2) - 1, max(n)) AS prompt_turns
+  FROM (SELECT pair_id, n, count(*) OVER (PARTITION BY pair_id, n, role, text) AS sides FROM ranked) GROUP BY pair_id
+), placed AS (
+  SELECT ranked.*, prompt_turns, n <= prompt_turns AS shared,
+    sum(length(shown)) OVER (PARTITION BY side, pair_id, n <= prompt_turns ORDER BY n) AS until
+  FROM ranked JOIN prefix USING (pair_id)
+)
+SELECT pair_id, any_value(prompt_turns) AS prompt_turns,
+  coalesce(string_agg(shown, '' ORDER BY n) FILTER (WHERE shared AND side = 'chosen'), '') AS prompt,
+  coalesce(string_agg(shown, '' ORDER BY n) FILTER (WHERE NOT shared AND side = 'chosen'), '') AS chosen,
+  coalesce(string_agg(shown, '' ORDER BY n) FILTER (WHERE NOT shared AND side = 'rejected'), '') AS rejected,
+  coalesce(string_agg((until - length(text) - 11)::BIGINT || '-' || until::BIGINT, ',' ORDER BY n)
+    FILTER (WHERE NOT shared AND side = 'chosen' AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg((until - length(text) - 11)::BIGINT || '-' || until::BIGINT, ',' ORDER BY n)
+    FILTER (WHERE NOT shared AND side = 'rejected' AND role = 'assistant'), '') AS rejected_mask
+FROM placed GROUP BY pair_id""",
 }
