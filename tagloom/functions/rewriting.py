@@ -104,9 +104,6 @@ def rule_mutates(rule: Column) -> Column:
     )
 
 
-EDIT = "start int, stop int, text string, close_start int, close_stop int, closing string"
-
-
 def tag_edit(tag: Mapping[str, Column], name: Column, attrs: Column, props: Column, rule: Column, rename_components: bool) -> Column:
     """What a rule does to an element: STRUCT<start, stop, text, close_start, close_stop, closing, unsupported, mutates, import_to>.
 
@@ -134,8 +131,8 @@ def tag_edit(tag: Mapping[str, Column], name: Column, attrs: Column, props: Colu
         tag["start"].alias("start"),
         tag["stop"].alias("stop"),
         F.when(~supported, None).when(rule["template"].isNull(), plain).when(closed, whole).otherwise(before).alias("text"),
-        tag["close_start"].alias("close_start"),
-        tag["close_stop"].alias("close_stop"),
+        F.coalesce(tag["close_start"], F.lit(-1)).alias("close_start"),  # nulls among numbers would arrive as floats
+        F.coalesce(tag["close_stop"], F.lit(-1)).alias("close_stop"),
         F.when(~supported, None).when(rule["template"].isNotNull(), after)
         .when(renamed, F.concat(F.lit("</"), new_name, F.lit(">"))).alias("closing"),
         (~supported).alias("unsupported"),
@@ -160,6 +157,6 @@ def rewritten_text(code: Column, edits: Column, spec: Column, component: Column,
 
 def _write(code: str, edits: list[dict], spec: dict, component: str, targets: list[str]) -> str:
     places = [(e["start"], e["stop"], e["text"]) for e in edits if e["text"] is not None]
-    places += [(e["close_start"], e["close_stop"], e["closing"]) for e in edits if e["closing"] is not None and e["close_start"] is not None]
+    places += [(e["close_start"], e["close_stop"], e["closing"]) for e in edits if e["closing"] is not None and e["close_start"] >= 0]
     moved, top = scanner.import_edits(scanner.Scan(code), spec, component, list(targets)) if len(targets) else ([], "")
     return top + scanner.spliced(code, places + moved)
