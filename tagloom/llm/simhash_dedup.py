@@ -1,9 +1,10 @@
 """SimHash near-dedup by a binary trie self-join.
 
 Distinct fingerprints form a trie.  Its upper part is walked in Spark: a frontier
-of node pairs, with their differing bits, goes down two bits a step; pairs above
-the budget are dropped, and pairs whose nodes hold at most ``ROOM`` fingerprints
-leave the frontier.  A subtree that is too large, such as a family of near copies
+of node pairs, with their differing bits, starts at six bits (a small input is
+spread over many tasks too) and goes down two bits a step; pairs above the budget
+are dropped, and pairs whose nodes hold at most ``ROOM`` fingerprints leave the
+frontier.  A subtree that is too large, such as a family of near copies
 that holds a third of the corpus, is split further, so no task gets an unbounded
 group.  Each pair that is left is walked to the leaves in one task
 (``hamming_trie``) and yields at most one edge for each of its fingerprints, and
@@ -36,6 +37,7 @@ from tagloom.llm.shared import slices, stored
 
 BUDGET = 3
 ROOM = 4096
+FIRST = 6
 STEP = 2
 
 
@@ -70,16 +72,24 @@ def _prefix(depth: int):
     return F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("bigint")
 
 
+def _with_sizes(pairs: DataFrame, fps: DataFrame, depth: int) -> DataFrame:
+    """Pairs of nodes of one depth whose nodes exist, with their numbers of fingerprints."""
+    sizes = stored(fps.groupBy(_prefix(depth).alias("node")).agg(F.count("*").alias("n")), "nodes")
+    sized = pairs.join(sizes.select(F.col("node").alias("u"), F.col("n").alias("n_u")), "u")
+    sized = sized.join(sizes.select(F.col("node").alias("v"), F.col("n").alias("n_v")), "v")
+    return stored(sized.select("u", "v", "differing", "n_u", "n_v"), "frontier")
+
+
 def node_pairs(fps: DataFrame, budget: int = BUDGET, room: int = ROOM) -> DataFrame:
     """Pairs of subtrees that hold every pair of fingerprints within the budget: depth, u, v (prefixes, u <= v), differing."""
     spark = fps.sparkSession
-    total = fps.count()
-    row = "u bigint, v bigint, differing int, n_u bigint, n_v bigint"
-    frontier = spark.createDataFrame([(0, 0, 0, total, total)], row)
+    top = range(1 << FIRST)
+    starts = [(u, v, (u ^ v).bit_count()) for u in top for v in top if u <= v and (u ^ v).bit_count() <= budget]
+    frontier = _with_sizes(spark.createDataFrame(starts, "u bigint, v bigint, differing int"), fps, FIRST)
     done = []
     steps = [(i, j, (i ^ j).bit_count()) for i in range(1 << STEP) for j in range(1 << STEP)]
     pick = F.array(*[F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j"), F.lit(d).alias("d")) for i, j, d in steps])
-    for depth in range(0, 65, STEP):
+    for depth in range(FIRST, 65, STEP):
         large = (F.when(F.col("u") == F.col("v"), F.col("n_u")).otherwise(F.col("n_u") + F.col("n_v")) > F.when(F.col("u") == F.col("v"), room).otherwise(2 * room)) & F.lit(depth < 64)
         done.append(frontier.filter(~large).select(F.lit(depth).alias("depth"), "u", "v", "differing"))
         down = frontier.filter(large)
@@ -87,10 +97,7 @@ def node_pairs(fps: DataFrame, budget: int = BUDGET, room: int = ROOM) -> DataFr
             break
         down = down.select("u", "v", "differing", F.explode(pick).alias("s")).filter((F.col("u") != F.col("v")) | (F.col("s.i") <= F.col("s.j")))
         down = down.select((F.shiftleft("u", STEP) + F.col("s.i")).alias("u"), (F.shiftleft("v", STEP) + F.col("s.j")).alias("v"), (F.col("differing") + F.col("s.d")).alias("differing"))
-        sizes = stored(fps.groupBy(_prefix(depth + STEP).alias("node")).agg(F.count("*").alias("n")), "nodes")
-        down = down.filter(F.col("differing") <= budget).join(sizes.select(F.col("node").alias("u"), F.col("n").alias("n_u")), "u")
-        down = down.join(sizes.select(F.col("node").alias("v"), F.col("n").alias("n_v")), "v")
-        frontier = stored(down.select("u", "v", "differing", "n_u", "n_v"), "frontier")
+        frontier = _with_sizes(down.filter(F.col("differing") <= budget), fps, depth + STEP)
     result = done[0]
     for part in done[1:]:
         result = result.unionByName(part)
