@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RATE = 0.05
+RATE = 0.08
 BLOCK_CHARS = 2_000_000
 
 

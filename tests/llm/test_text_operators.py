@@ -224,7 +224,7 @@ def test_items_within_their_budget(spark):
         for item, text in items:
             norm, whole = decontaminate.normal(text), decontaminate.normal(t)
             if norm and whole:
-                budget = int(0.05 * len(norm))
+                budget = int(decontaminate.RATE * len(norm))
                 d = plain_distance(norm, whole)
                 if (d <= budget) if budget else f" {norm} " in f" {whole} ":
                     want.add((i, item, d))
