@@ -172,8 +172,8 @@ def unattributed(files: DataFrame, packages: Sequence[str], target: str) -> Data
     """Files with elements of the target that no import of theirs explains, and how many."""
     named = files.filter(F.contains(F.col("code"), F.lit(f"<{target}")))
     found = scanned_files(named, target).select("file_path", "scan", markup.first_import(F.col("scan.imports"), packages, target).alias("import"))
-    counted = found.filter(F.col("import").isNull()).select("file_path", F.size("scan.tags").cast("bigint").alias("n_elements"))
-    return counted.filter("n_elements > 0")
+    count = F.size("scan.tags").cast("bigint")
+    return each(found, F.when(F.col("import").isNull() & (count > 0), F.array(count)), "n_elements").select("file_path", "n_elements")
 
 
 def unread_tags(files: DataFrame, target: str) -> DataFrame:
@@ -183,8 +183,7 @@ def unread_tags(files: DataFrame, target: str) -> DataFrame:
     keeps its import.
     """
     found = scanned_files(files.filter(F.contains(F.col("code"), F.lit(f"<{target}"))), target)
-    counted = found.select("file_path", F.size("scan.unread").alias("n_unread"))
-    return counted.filter("n_unread > 0")
+    return each(found, F.when(F.size("scan.unread") > 0, F.array(F.size("scan.unread"))), "n_unread").select("file_path", "n_unread")
 
 
 def event_usages(events: DataFrame, file: str, component: str, props: str, package: str) -> DataFrame:
