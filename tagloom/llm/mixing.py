@@ -76,20 +76,36 @@ def labelled_rows(docs: DataFrame, domains: DataFrame, rows: int = SAMPLE_ROWS)
 
 
 def learn(rows: DataFrame, steps: int = 300, penalty: float = 1e-4) -> DomainModel:
-    """Softmax regression by Adam on the whole sample."""
+    """Softmax regression by Adam on the whole sample, in one task: the sample is bounded, and only weights reach the driver."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
-            found = [features(t).astype(np.float32) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float32())), batch.column(1)], ["x", "domain"])
-
-    sample = rows.mapInArrow(each, "x array<float>, domain string").toPandas()  # at most SAMPLE_ROWS rows of 2**BITS numbers
-    names = sorted(set(sample["domain"]))
-    if not names:
+            found = [features(t).astype(np.float32).tobytes() for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], ["x", "domain"])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, domains = [], []
+        for batch in batches:
+            parts += [np.frombuffer(x, np.float32) for x in batch.column(0).to_pylist()]
+            domains += batch.column(1).to_pylist()
+        if domains:
+            names, weights = _fit(parts, domains, steps, penalty)
+            yield pa.RecordBatch.from_arrays([pa.array([names], pa.list_(pa.string())), pa.array([weights.tobytes()], pa.binary())], ["domains", "weights"])
+
+    sample = rows.mapInArrow(each, "x binary, domain string").repartition(1)
+    found = sample.mapInArrow(fit, "domains array<string>, weights binary").collect()
+    if not found:
         return DomainModel([], np.zeros(((1 << BITS) + 1, 0)))
-    x = np.column_stack([np.stack(sample["x"].to_list()), np.ones(len(sample), np.float32)]).astype(np.float32)
-    x[:, :-1] *= 20
-    truth = np.eye(len(names), dtype=np.float32)[[names.index(d) for d in sample["domain"]]]
+    names = list(found[0]["domains"])
+    return DomainModel(names, np.frombuffer(bytes(found[0]["weights"]), np.float32).reshape(-1, len(names)).astype(np.float64))
+
+
+def _fit(parts: list[np.ndarray], domains: list[str], steps: int, penalty: float) -> tuple[list[str], np.ndarray]:
+    names = sorted(set(domains))
+    x = np.ones((len(parts), (1 << BITS) + 1), np.float32)
+    for row, part in zip(x, parts, strict=True):
+        row[:-1] = 20 * part
+    truth = np.eye(len(names), dtype=np.float32)[[names.index(d) for d in domains]]
     w = np.zeros((x.shape[1], len(names)), np.float32)
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
@@ -99,7 +115,7 @@ def learn(rows: DataFrame, steps: int = 300, penalty: float = 1e-4) -> DomainMod
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         w -= 0.02 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     w[:-1] *= 20
-    return DomainModel(names, w.astype(np.float64))
+    return names, w.astype(np.float32)
 
 
 def with_chances(docs: DataFrame, model: DomainModel, tokens: str | None = None) -> DataFrame:
