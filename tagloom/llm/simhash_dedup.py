@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from tagloom.llm.components import components
 from tagloom.llm.hamming_trie import linked_groups
 from tagloom.llm.shared import slices, stored
+from tagloom.llm.similar_sets import similar_documents
 
 BUDGET = 3
 ROOM = 4096
@@ -135,12 +136,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = BUDGET, roo
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, budget: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """``docs`` without the near copies of a document of smaller doc_id; rows of one doc_id share its fate, rows without a doc_id stay.
 
-    With five-word shingles and four bits all linked pairs of the test corpus
-    share at least 0.8 of their shingles; a fifth bit lets in less alike ones.
+    Near copies share at least 0.8 of their shingles.  Fingerprints of such pairs
+    differ in more bits than a trie can be walked with, so they are found by
+    their shingles (``similar_sets``).
     """
-    named = near_duplicates(docs.filter("doc_id IS NOT NULL"), shingle, budget)
+    named = similar_documents(docs, shingle)
     gone = named.filter("doc_id <> component_id").select(F.col("doc_id").alias("_dup_doc")).distinct()
     return docs.join(gone, docs["doc_id"].cast("bigint") == F.col("_dup_doc"), "left_anti")

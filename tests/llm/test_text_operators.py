@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tagloom.llm import decontaminate, line_dedup, quality_rules, simhash_dedup, token_counts
+from tagloom.llm import decontaminate, line_dedup, quality_rules, similar_sets, simhash_dedup, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -167,6 +167,47 @@ def test_one_copy_stays(odd_docs, no_docs):
     assert simhash_dedup.near_duplicates(no_docs).count() == 0
 
 
+def plain_similar(rows, n=5):
+    """Smallest doc_id of each document's group, by the similarity of all pairs."""
+    sets, label = [], list(range(len(rows)))
+    for _, t in rows:
+        words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))})
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                old, new = label[a], label[b]
+                label = [new if x == old else x for x in label]
+    names = {}
+    for (i, _), x in zip(rows, label, strict=True):
+        names[x] = min(names.get(x, i), i)
+    return sorted((i, names[x]) for (i, _), x in zip(rows, label, strict=True))
+
+
+def test_near_copies_are_found_by_similarity(spark, odd_rows):
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(30)]
+    rows = [r for r in odd_rows if r[0] is not None]
+    for family in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(6, 300))]
+        for _ in range(12):
+            words = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 30))):
+                words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+            if family % 3 == 0:
+                words += common
+            rows.append((200 + len(rows), " ".join(words)))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    want = plain_similar(rows)
+    assert 20 < len({name for _, name in want}) < len(rows) - 60
+    for sample in (100, 4_000_000):
+        got = similar_sets.similar_documents(docs, sample=sample).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in got) == want
+    kept = {r["doc_id"] for r in simhash_dedup.keep_one(docs).select("doc_id").collect()}
+    assert kept == {i for i, name in want if i == name}
+
+
 def test_token_counts_equal_the_library(spark, odd_docs, odd_rows):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
