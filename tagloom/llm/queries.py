@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import chat_format, decontaminate, language_id, line_dedup, mixing, quality_rules, simhash_dedup, token_counts, toxicity, warc
+from tagloom.llm import chat_format, decontaminate, language_id, line_dedup, mixing, quality_rules, simhash_dedup, substring_dedup, token_counts, toxicity, warc
 from tagloom.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,10 @@ def op6_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     found = chat_format.format_preferences(*chat_format.donated_pairs(table(spark, sf, "conversations")))
     masks = [chat_format.mask_text(f"{side}_mask").alias(f"{side}_mask") for side in ("chosen", "rejected")]
     return found.select("pair_id", F.col("prompt_turns").cast("bigint").alias("prompt_turns"), "prompt", "chosen", "rejected", *masks)
+
+
+@query
+def op13_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents without the words of 13-word passages that a document of smaller id holds too."""
+    cleaned = substring_dedup.dedup_passages(table(spark, sf, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

@@ -36,6 +36,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """A folder for tables between the steps of one operator, gone at the end of the ``with`` block.
+
+    What the operator returns must not read from it.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.tables = spark, shared_folder(spark, name), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written here once and read back."""
+        self.tables += 1
+        path = f"{self.folder}/{name}-{self.tables}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def file_system(uri: str):
     """The pyarrow file system of a folder's URI and the path inside it."""
     from pyarrow import fs
