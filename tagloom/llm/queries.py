@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import chat_format, decontaminate, language_id, line_dedup, mixing, quality_rules, simhash_dedup, substring_dedup, token_counts, toxicity, warc
+from tagloom.llm import chat_format, collocations, decontaminate, language_id, line_dedup, mixing, quality_rules, simhash_dedup, substring_dedup, token_counts, toxicity, warc
 from tagloom.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,9 @@ def op13_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Documents without the words of 13-word passages that a document of smaller id holds too."""
     cleaned = substring_dedup.dedup_passages(table(spark, sf, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    """The 2,000 best phrases of two and three words of each language."""
+    return collocations.collocations(table(spark, sf, "documents").select("lang", "text"))

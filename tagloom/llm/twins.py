@@ -63,4 +63,39 @@ SELECT pair_id, any_value(prompt_turns) AS prompt_turns,
   coalesce(string_agg((until - length(text) - 11)::BIGINT || '-' || until::BIGINT, ',' ORDER BY n)
     FILTER (WHERE NOT shared AND side = 'rejected' AND role = 'assistant'), '') AS rejected_mask
 FROM placed GROUP BY pair_id""",
+    "op11_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), split AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS w FROM pieces
+), spots AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split
+), seen AS (
+  SELECT lang, 1 AS words, w[i] AS phrase FROM spots
+  UNION ALL SELECT lang, 2, w[i] || ' ' || w[i + 1] FROM spots WHERE i + 1 <= len(w)
+  UNION ALL SELECT lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM spots WHERE i + 2 <= len(w)
+), f AS (
+  SELECT lang, words, phrase, count(*) AS n FROM seen GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(n)::BIGINT AS total FROM f WHERE words = 1 GROUP BY lang
+), cuts AS (
+  SELECT lang, phrase, words, n AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS head,
+    array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM f WHERE words > 1 AND n >= 10)
+), valued AS (
+  SELECT c.*, h.n AS l, t.n AS r, ((1000000::HUGEINT * a * a) // (h.n::HUGEINT * t.n))::BIGINT AS score
+  FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = head JOIN f t ON t.lang = c.lang AND t.phrase = tail
+), lowest AS (
+  SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS phrase, n
+  FROM f WHERE words = 3 AND n >= 10
+), kept AS (
+  SELECT * FROM lowest c WHERE NOT EXISTS (SELECT 1 FROM longer b WHERE b.lang = c.lang AND b.phrase = c.phrase AND 100 * b.n >= 50 * c.a)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, total AS n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
 }
