@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import chat_format, collocations, decontaminate, language_id, line_dedup, mixing, quality_rules, simhash_dedup, substring_dedup, token_counts, toxicity, warc
+from tagloom.llm import chat_format, collocations, conversation_repair, decontaminate, language_id, line_dedup, mixing, quality_rules, simhash_dedup, substring_dedup, token_counts, toxicity, warc
 from tagloom.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,10 @@ def op13_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
     """The 2,000 best phrases of two and three words of each language."""
     return collocations.collocations(table(spark, sf, "documents").select("lang", "text"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Damaged conversations, their faults, and the cheapest edits that make them legal."""
+    talks = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.repair_report(talks, conversation_repair.damaged(talks))
