@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_right
+from math import isinf
 
 from tagloom.functions.patterns import EMPTY_EXPRESSION, EXPRESSION_KINDS, NAMED_EXPRESSION_KINDS, OTHER_EXPRESSION
 
@@ -33,9 +34,9 @@ _QUOTED = {'"': re.compile('"[^"]*"'), "'": re.compile("'[^']*'")}
 _BARE = re.compile(r"""[^\s"'{}<>=`]+?(?=\s|/?>|$)""")
 _TYPES = re.compile(r"<[^<>(){}]*(?:<[^<>(){}]*>[^<>(){}]*)*>")
 _COMMENT = r"/\*[\s\S]*?\*/|//[^\n]*\n"
-_IMPORT = re.compile(rf"import\s+(?:type\s+)?((?:{_COMMENT}|[\w$*{{}},\s])+?)\s*from\s*(?:\"([^\"\n]+)\"|'([^'\n]+)')[ \t]*;?", re.A)
+_CLAUSE = re.compile(rf"\s+|{_COMMENT}|[\w$]+|[*{{}},]", re.A)
+_SOURCE = re.compile(r"\s*(?:\"([^\"\n]+)\"|'([^'\n]+)')[ \t]*;?")
 _STATEMENT_START = re.compile(r"(?:^|[;\n}]|\*/)[ \t]*$")
-_COMMENTS = re.compile(_COMMENT.replace(r"\n]*\n", r"\n]*"))
 _ANY = r"[A-Za-z0-9_$]+"
 
 
@@ -73,23 +74,29 @@ class Scan:
         self.tokens += 1
         return len(self.code) if stop < 0 else stop + 2
 
+    def _open(self, stack: list[list], name: str, tag: list | None) -> None:
+        """Begin the children of an element; the elements open in one stretch of markup share a count of their names."""
+        names = stack[-1][3] if stack[-1][0] == "children" else {}
+        names[name] = names.get(name, 0) + 1
+        stack.append(["children", name, tag, names])
+
     def _close(self, stack: list[list], name: str, start: int, stop: int) -> None:
         """Pop to the element that this tag closes, if one is open in this stretch of markup."""
-        for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth][0] != "children":
-                break
-            if stack[depth][1] == name:
-                tag = stack[depth][2]
-                if tag is not None:
-                    tag[5], tag[6] = start, stop
-                del stack[depth:]
-                break
+        top = stack[-1]
+        if top[0] == "children" and top[3].get(name):
+            while True:
+                _, opened, tag, names = stack.pop()
+                names[opened] -= 1
+                if opened == name:
+                    if tag is not None:
+                        tag[5], tag[6] = start, stop
+                    break
         if re.fullmatch(r"[A-Za-z_$][\w$-]*", name, re.A):
             self.tokens += 1
 
     def _run(self) -> None:
         code, size, i = self.code, len(self.code), 0
-        # frames: [code, open braces] | [children, name, tag] | [template] | [tag, name, tag, simple, attribute start, attribute name]
+        # frames: [code, open braces] | [children, name, tag, names open in this stretch] | [template] | [tag, name, tag, simple, attribute start, attribute name]
         stack: list[list] = [["code", 0]]
         while i < size:
             frame = stack[-1]
@@ -160,7 +167,7 @@ class Scan:
         if mode == "code" and _BEFORE_TAG.search(code, max(0, at - 1), at) and not _WORD_BEFORE_TAG.search(code, max(0, at - 10), at):
             return at + 1  # a comparison or type arguments
         if code.startswith("<>", at):
-            stack.append(["children", "", None])
+            self._open(stack, "", None)
             return at + 2
         found = _OPENS.match(code, at)
         if not found:
@@ -199,7 +206,7 @@ class Scan:
             tag[2], tag[4] = "self" if closed else "open", stop
             stack.pop()
             if not closed:
-                stack.append(["children", frame[1], tag if frame[3] else None])
+                self._open(stack, frame[1], tag if frame[3] else None)
             return stop
         if code.startswith("{", i):
             frame[4:] = [i, None, i]
@@ -233,16 +240,35 @@ class Scan:
     def _import(self, at: int, frame: list, depth: int) -> int | None:
         if depth > 1 or frame[1] or not _STATEMENT_START.search(self.code, max(0, at - 80), at):
             return None
-        found = _IMPORT.match(self.code, at)
-        if not found:
+        read = self._clause(at + len("import"))
+        if read is None:
             return None
-        body = _COMMENTS.sub(" ", found[1])
+        clause, source = read
+        words = clause.split(None, 1)
+        is_type = len(words) == 2 and words[0] == "type"
+        body = words[1] if is_type else clause
         default = re.match(rf"\s*({_ANY})", body)
         space = re.search(rf"\*\s*as\s+({_ANY})", body)
         braces = re.search(r"\{([^}]*)\}", body)
         named = [re.sub(r"^\s*type\s+", "", part).strip() for part in braces[1].split(",")] if braces else []
-        self.imports.append((at, found.end(), found[2] or found[3], default[1] if default else "", space[1] if space else "", [p for p in named if p], bool(re.match(r"import\s+type\s", found[0]))))
-        return found.end()
+        self.imports.append((at, source.end(), source[1] or source[2], default[1] if default else "", space[1] if space else "", [p for p in named if p], is_type))
+        return source.end()
+
+    def _clause(self, at: int) -> tuple[str, re.Match] | None:
+        """What stands between ``import`` and ``from``, without comments, and the package; token by token, so no blank is read twice."""
+        parts: list[str] = []
+        if not self.code[at : at + 1].isspace():
+            return None
+        while token := _CLAUSE.match(self.code, at):
+            word, at = token[0], token.end()
+            if word == "import":  # a reserved word: an earlier statement broke off
+                return None
+            if word == "from" and any(not p.isspace() for p in parts):
+                source = _SOURCE.match(self.code, at)
+                if source:
+                    return "".join(parts).strip(), source
+            parts.append(" " if word.startswith("/") else word)
+        return None
 
 
 _KINDS = [(starts, [(re.compile(p, re.A), result) for p, result in kinds]) for starts, kinds in EXPRESSION_KINDS]
@@ -251,13 +277,20 @@ _NUMBER = re.compile(r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:[0-9][0
 _ENTITY = re.compile(r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
 
 
-def _number(text: str) -> str:
-    """A numeric literal as its value is printed."""
+def _number(text: str) -> str | None:
+    """A numeric literal as its value is printed; None if it is none after all."""
     text = text.replace("_", "")
-    if text[:2].lower() in ("0x", "0b", "0o"):
-        return str(int(text, 0))
-    value = float(text)
-    return str(int(value)) if value == int(value) and abs(value) < 1e21 else repr(value)
+    try:
+        value = float(int(text, 0) if text[:2].lower() in ("0x", "0b", "0o") else text)
+        if isinf(value):
+            return "Infinity"
+        if value < 1e21 and value == int(value):
+            return str(int(value))
+        return repr(value)
+    except OverflowError:  # above the largest number
+        return "Infinity"
+    except ValueError:
+        return None
 
 
 def expression_text(expression: str) -> str:
@@ -265,7 +298,7 @@ def expression_text(expression: str) -> str:
     if not expression:
         return EMPTY_EXPRESSION
     if _NUMBER.match(expression):
-        return _number(expression)
+        return _number(expression) or OTHER_EXPRESSION
     kinds = next((kinds for starts, kinds in _KINDS if expression[0] in starts), _NAMED_KINDS)
     for pattern, result in kinds:
         found = pattern.search(expression)

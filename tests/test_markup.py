@@ -1,7 +1,9 @@
 import re
+import time
 
 import pytest
 
+from tagloom.functions import scanner
 from tagloom.operators import extract
 
 UI = 'import { Text } from "@acme/ui";\n'
@@ -172,3 +174,43 @@ def test_imports_wherever_they_stand(files_of, code, packages):
 def test_time_is_linear_in_the_text(files_of):
     code = "<Text a={" * 3000 + "1" + "}/>" * 3000 + "'" * 5000 + "/" * 5000 + "<a " * 5000 + "{" * 5000
     assert len(tags(files_of, code, "Text")) == 3000
+
+
+ODD_NUMBERS = [("1e999", "Infinity"), ("0x_", "Expression"), ("0x" + "f" * 6000, "Infinity"), ("9" * 5000, "Infinity"), ("1_000", "1000"), ("0xff", "255"), ("1.50", "1.5"), (".5", "0.5")]
+
+
+@pytest.mark.parametrize("text, want", ODD_NUMBERS)
+def test_odd_numbers_are_recorded(text, want):
+    assert scanner.expression_text(text) == want
+
+
+ODD_TEXTS = ["import" + " " * 1_000_000 + "x", "<A>" + "</x>" * 100_000, "import a\n" * 50_000, "import {" + "\n" * 500_000 + "} from", "<A><B>" * 20_000 + "</x>" * 50_000 + "</A>"]
+
+
+@pytest.mark.parametrize("text", ODD_TEXTS, ids=range(len(ODD_TEXTS)))
+def test_reading_is_linear(text):
+    begin = time.process_time()
+    scanner.Scan(text)
+    assert time.process_time() - begin < 3
+
+
+IMPORTS = [
+    ('import type from "x"', ("x", "type", "", [], False)),
+    ('import type { A, type B } from "x";', ("x", "", "", ["A", "B"], True)),
+    ("import A, * as B from 'y'", ("y", "A", "B", [], False)),
+    ('import from from "z"', ("z", "from", "", [], False)),
+    ('import A /* from "q" */ from "x"', ("x", "A", "", [], False)),
+    ('import /*c*/ {\n A as B,\n} // z\n from "x";', ("x", "", "", ["A as B"], False)),
+    ('import broken\nimport A from "x"', ("x", "A", "", [], False)),
+]
+
+
+@pytest.mark.parametrize("text, want", IMPORTS)
+def test_import_clauses(text, want):
+    (found,) = scanner.Scan(text).imports
+    assert found[2:] == want
+
+
+def test_elements_close_in_their_own_stretch():
+    scan = scanner.Scan("<A>{<B/>}</A><C><D></C></D>")
+    assert [(t[0], t[5]) for t in scan.tags] == [("A", 9), ("B", None), ("C", 19), ("D", None)]
