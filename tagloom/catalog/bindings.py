@@ -33,6 +33,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("ln") == 7, "Box").when(F.col("dotted"), "Text.Bold").otherwise("Text")
     size = F.get(F.array(*[F.lit(s) for s in [None, "huge", "large", "medium", "small", "tiny", None]]), F.col("q").cast("int"))
     kind = F.get(F.array(*[F.lit(s) for s in [None, "body", "heading", "label", "link", "metric", "mono"]]), F.col("ln") % 7)
+    kind = F.when(F.col("q") != 0, kind)
     none = F.lit("")
     element = F.concat(
         F.lit("    <"), name,

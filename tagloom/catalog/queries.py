@@ -7,7 +7,6 @@ shown as sorted ``name=value`` text.
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -21,7 +20,7 @@ from tagloom.functions import props as p
 from tagloom.operators import aggregates as agg
 from tagloom.operators import attribute, changes, extract, imports, match, rewrite
 from tagloom.operators import rules as rule_ops
-from tagloom.operators.numbering import ensure_checkpoint_dir
+from tagloom.operators.tables import work_folder
 from tagloom.plans import migrate
 from tagloom.sources import files, reports, spec
 from tagloom.sources import rules as rules_io
@@ -577,16 +576,10 @@ def run_summary(spark: SparkSession, sf: str) -> DataFrame:
 # ---- stored tables ----
 
 
-def _work_folder(spark: SparkSession) -> str:
-    """A new folder below the session's checkpoint folder, which all executors share."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
-
-
 @query
 def stored_usages(spark: SparkSession, sf: str) -> DataFrame:
     """Usages written by package and read back for one of them."""
-    path = f"{_work_folder(spark)}/usages"
+    path = f"{work_folder(spark)}/usages"
     reports.write_usages(_usages(spark, sf), path)
     stored = reports.read_usages(spark, path).filter(F.col("package") == b.PACKAGES[1])
     return stored.groupBy("package", "component", F.col("import.import_type").alias("import_type"),
@@ -596,7 +589,7 @@ def stored_usages(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stored_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Props summary written as JSON lines and read back."""
-    path = f"{_work_folder(spark)}/summary"
+    path = f"{work_folder(spark)}/summary"
     reports.write_summary(_usages(spark, sf), path)
     return agg.prop_value_frequency(reports.read_summary(spark, path))
 
@@ -604,7 +597,7 @@ def stored_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stored_tree(spark: SparkSession, sf: str) -> DataFrame:
     """Stored usages flattened to usages per package and file."""
-    path = f"{_work_folder(spark)}/usages"
+    path = f"{work_folder(spark)}/usages"
     reports.write_usages(_usages(spark, sf).select("package", "rel_path", "props"), path)
     return reports.files_of_usages(reports.read_usages(spark, path))
 
@@ -616,7 +609,7 @@ def stored_rules(spark: SparkSession, sf: str) -> DataFrame:
     keyed = used.withColumn("props_key", p.prop_key(F.col("props"))).groupBy("props_key").agg(F.count("*").alias("n"))
     combos = keyed.withColumn("n_props", F.size("props_key"))
     rules = rule_ops.skeletons(combos, {"new_component": "Label", "import_to": b.NEW_PACKAGE}, b.PACKAGES, b.TARGET)
-    path = rules_io.write_rules(rules, _work_folder(spark), b.TARGET, "Label")
+    path = rules_io.write_rules(rules, work_folder(spark), b.TARGET, "Label")
     best = match.best_rules(match.distinct_prop_sets(used), rules_io.read_rule_lines(spark, path), "most_specific")
     return best.groupBy("package").agg(F.sum("n").alias("n"), F.count_distinct("rule_pos").alias("n_rules"))
 
@@ -624,7 +617,7 @@ def stored_rules(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stored_rewrites(spark: SparkSession, sf: str) -> DataFrame:
     """Rewritten files stored as a new table, with their line counts before and after."""
-    stored = migrate.apply(_rewritten(spark, sf), f"{_work_folder(spark)}/rewritten")
+    stored = migrate.apply(_rewritten(spark, sf), f"{work_folder(spark)}/rewritten")
     lines = [F.size(F.split(c, "\n")).alias(f"lines_{c[5:]}") for c in ("code_before", "code_after")]
     return stored.select("file_path", *lines)
 
@@ -635,7 +628,7 @@ def stored_rewrites(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def tree_scan(spark: SparkSession, sf: str) -> DataFrame:
     """The source files written as a tree and scanned without a blacklisted directory."""
-    root = f"{_work_folder(spark)}/tree"
+    root = f"{work_folder(spark)}/tree"
     files.write_tree(b.code_files(spark, sf), root)
     found = files.scan_tree(spark, root, ["PROMO"])
     rel = paths.relative_path(F.col("file_path"), files.local_path(root))
@@ -647,7 +640,7 @@ def spec_packages(spark: SparkSession, sf: str) -> DataFrame:
     """The packages of a migration spec with their rank, and their usages."""
     old = {"oldImportPath": "@acme/ui,@acme/ui/Text,@acme/xy", "compName": "Text"}
     new = {"newImportPath": b.NEW_PACKAGE, "importType": "named", "compName": "Label"}
-    path = f"{_work_folder(spark)}/spec"
+    path = f"{work_folder(spark)}/spec"
     spark.createDataFrame([(json.dumps({"old": old, "new": new}),)], "value string").write.text(path)
     ranked = spec.spec_packages(spec.read_spec(spark, path))
     counted = _usages(spark, sf).groupBy("package").agg(F.count("*").alias("n_usages"))

@@ -82,7 +82,7 @@ block(
         SELECT l_partkey, '    <' || nm || CASE WHEN extra = 4 THEN ' size="old"' ELSE '' END ||
           CASE q WHEN 1 THEN ' size="huge"' WHEN 2 THEN ' size="large"' WHEN 3 THEN ' size="medium"'
                  WHEN 4 THEN ' size="small"' WHEN 5 THEN ' size="tiny"' ELSE '' END ||
-          CASE ln WHEN 1 THEN ' type="body"' WHEN 2 THEN ' type="heading"' WHEN 3 THEN ' type="label"'
+          CASE CASE WHEN q <> 0 THEN ln END WHEN 1 THEN ' type="body"' WHEN 2 THEN ' type="heading"' WHEN 3 THEN ' type="label"'
                   WHEN 4 THEN ' type="link"' WHEN 5 THEN ' type="metric"' WHEN 6 THEN ' type="mono"' ELSE '' END ||
           CASE rf WHEN 'R' THEN ' tag="a" href={url}' WHEN 'A' THEN ' className="x"' ELSE '' END ||
           CASE WHEN ls = 'F' THEN ' onClick={() => go(1)}' ELSE '' END ||

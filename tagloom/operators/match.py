@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.matching import clause_holds, compiled_rule, term_holds
 from tagloom.functions.props import prop_key
 from tagloom.operators.rows import each
+from tagloom.operators.tables import written_once
 from tagloom.sources.rules import compiled_rules
 
 
@@ -58,20 +59,49 @@ def match_by_anchor(
 ) -> DataFrame:
     """Matching for rule tables of any size: one equi-join on one term per clause.
 
-    Distinct prop sets are matched, not usages.  Every clause with terms is
-    filed under its rarest term, so a prop set meets only the clauses whose
-    rarest term it satisfies and each of those is then tested in full.  Of the
-    rules that need no term only the best one per component can ever win, so
-    that one is kept; rules with only excluded terms are tested one by one.
+    Usages are read once: they are written with their keys, and everything else
+    starts from there.  Distinct prop sets are matched, not usages
+    (:func:`best_rules`), and the usages join the rule of their set back.  A
+    set that holds more than its share of the usages is dealt over salts
+    (:func:`dealt`), so no task gets a hot set whole.
     """
-    best = best_rules(distinct_prop_sets(used), rules, mode)
+    keyed = used.withColumn("full_key", prop_key(F.col("props"))).withColumn("_ruled", ruled_component(used))
+    keyed = written_once(keyed.withColumn("_row", F.monotonically_increasing_id()))
+    sets = keyed.groupBy("package", F.col("_ruled").alias("component"), "full_key").agg(F.count("*").alias("n"))
+    sets = numbered_sets(sets)
+    best = best_rules(sets, rules, mode)
     bodies = rules.select("package", "component", "rule_pos", F.struct(*rules.columns).alias("rule"))
     chosen = best.join(bodies, ["package", "component", "rule_pos"]).select(
         "package", F.col("component").alias("_ruled"), "full_key", "rule"
     )
-    keyed = used.withColumn("full_key", prop_key(F.col("props"))).withColumn("_ruled", ruled_component(used))
+    left, right = dealt(keyed, chosen, sets.withColumnRenamed("component", "_ruled"), ["package", "_ruled", "full_key"])
     how = "left" if keep_unmatched else "inner"
-    return keyed.join(chosen, ["package", "_ruled", "full_key"], how).select(*used.columns, "rule")
+    return left.join(right, ["package", "_ruled", "full_key", "_salt"], how).select(*used.columns, "rule")
+
+
+def dealt(rows: DataFrame, one_each: DataFrame, sizes: DataFrame, keys: list[str], per_partition: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on ``keys`` with a ``_salt``: rows of a heavy key are dealt, the one row it meets is repeated.
+
+    ``sizes`` has the number of rows ``n`` of every key.  A share is an eighth of a shuffle
+    partition's part of all rows; a key above it gets a salt for every share.
+    There are at most eight such keys for a shuffle partition, so their list
+    is broadcast; light keys have salt 0 and are not touched.
+    """
+    spark = rows.sparkSession
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    share = max(1, total // (per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    name = F.xxhash64(*keys)
+    heavy = sizes.filter(F.col("n") > share).groupBy(name.alias("_key")).agg(F.ceil(F.max("n") / share).cast("int").alias("_salts"))
+    heavy = F.broadcast(heavy)
+    left = rows.withColumn("_key", name).join(heavy, "_key", "left").withColumn("_salt", F.coalesce(F.pmod("_row", "_salts"), F.lit(0)))
+    salts = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1)).cast("bigint") - 1)
+    right = one_each.withColumn("_key", name).join(heavy, "_key", "left").withColumn("_salt", F.explode(salts))
+    return left.drop("_key", "_salts"), right.drop("_key", "_salts")
+
+
+def numbered_sets(sets: DataFrame) -> DataFrame:
+    """Prop sets written once, each with a number ``set_id`` to join on."""
+    return written_once(sets.withColumn("set_id", F.monotonically_increasing_id()))
 
 
 _TERM_KEYS = ["package", "component", "anchor_kind", "anchor_key", "anchor_value"]
@@ -122,17 +152,66 @@ def _clauses(rules: DataFrame, mode: str) -> DataFrame:
     return rows.filter("NOT _always").unionByName(won).drop("_always")
 
 
+_ONLY_EXCLUDES = "size(clause) = 0 AND size(none_of) > 0"
+
+
 def best_rules(sets: DataFrame, rules: DataFrame, mode: str = "first_match") -> DataFrame:
-    """(package, component, full_key, n, rule_pos) of the prop sets that match a rule."""
+    """(package, component, full_key, n, rule_pos) of the prop sets that match a rule.
+
+    Every clause with terms is filed under its rarest term, so a prop set meets
+    only the clauses whose rarest term it satisfies and each of those is then
+    tested in full.  Of the rules that need no term only the best one per
+    component can ever win, so that one is kept.  Rules with only excluded
+    terms are found by the terms they exclude (:func:`least_not_violated`).
+    """
+    if "set_id" not in sets.columns:
+        sets = numbered_sets(sets)
     anchored = _set_anchors(sets)
-    filed = _file_clauses(_clauses(rules, mode), anchored)
+    clauses = _clauses(rules, mode)
+    filed = _file_clauses(clauses.filter(f"NOT ({_ONLY_EXCLUDES})"), anchored)
     props = F.map_from_entries("full_key")
-    return (
+    wanted = (
         anchored.join(filed, _TERM_KEYS)
         .filter(clause_holds(F.col("clause"), props) & ~F.exists("none_of", lambda t: term_holds(t, props)))
-        .groupBy("package", "component", "full_key", "n")
-        .agg(F.min_by("rule_pos", "rank").alias("rule_pos"))
+        .select("set_id", "rank", "rule_pos")
+    )
+    excluded = least_not_violated(anchored, clauses.filter(_ONLY_EXCLUDES))
+    best = wanted.unionByName(excluded).groupBy("set_id").agg(F.min_by("rule_pos", "rank").alias("rule_pos"))
+    return sets.join(best, "set_id").select("package", "component", "full_key", "n", "rule_pos")
+
+
+def excluded_terms(clauses: DataFrame) -> DataFrame:
+    """The index of excluded terms: rules that only exclude, filed under each of their terms.
+
+    ``order`` numbers the rules of a component from 0, best first; the window
+    is over rules, which are configuration.
+    """
+    place = Window.partitionBy("package", "component").orderBy("rank")
+    ordered = clauses.select("package", "component", "rule_pos", "rank", "none_of").distinct().withColumn("order", F.row_number().over(place) - 1)
+    return ordered.select("package", "component", "rule_pos", "rank", "order", F.explode("none_of").alias("_t")).select(
+        "package", "component", "rule_pos", "rank", "order", *_anchor_columns(F.col("_t"))
+    )
+
+
+def least_not_violated(anchored: DataFrame, clauses: DataFrame) -> DataFrame:
+    """(set_id, rank, rule_pos): of the rules that only exclude, the best one each prop set does not violate.
+
+    The sets meet the index on the terms they hold, which gives the rules each
+    of them *violates*, and no others.  The best rule left is the least number
+    missing from those: it is 0 or follows a violated one, so the numbers
+    after violated ones, without the violated ones, hold it as their least.
+    """
+    index = excluded_terms(clauses)
+    violated = anchored.join(index, _TERM_KEYS).select("set_id", "package", "component", "order").distinct()
+    ruled = index.select("package", "component").distinct()
+    first = anchored.filter("anchor_kind = 'open'").join(ruled, ["package", "component"], "left_semi")
+    following = first.select("set_id", "package", "component", F.lit(0).alias("order")).unionByName(
+        violated.select("set_id", "package", "component", (F.col("order") + 1).alias("order"))
     )
+    missing = following.join(violated, ["set_id", "package", "component", "order"], "left_anti")
+    least = missing.groupBy("set_id", "package", "component").agg(F.min("order").alias("order"))
+    rules = index.select("package", "component", "order", "rank", "rule_pos").distinct()
+    return least.join(rules, ["package", "component", "order"]).select("set_id", "rank", "rule_pos")
 
 
 def _file_clauses(clauses: DataFrame, anchored: DataFrame) -> DataFrame:

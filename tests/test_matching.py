@@ -156,3 +156,41 @@ def test_rebinding_and_order(spark):
     assert {x.rule_order: x.rule_pos for x in r.by_specificity(rules).collect()} == {2: 0, 1: 1}
     both = r.append_rules(rules, rules)
     assert sorted(x.rule_pos for x in both.collect()) == [0, 1, 2, 3]
+
+
+def test_many_rules_that_only_exclude(spark):
+    """The least missing number gives what testing each rule gives, and no set meets a rule it does not violate."""
+    rnd = random.Random(3)
+    keys, values = "abcdef", ["1", "2", "3"]
+    excluded = [{f"!{k}": True if rnd.random() < 0.2 else rnd.choice(values) for k in rnd.sample(keys, rnd.randint(1, 3))} for _ in range(50)]
+    rules = rules_from_document(spark, {"p": {"C": [{"order": i, "match": [c]} for i, c in enumerate(excluded)]}})
+    sets = [{k: rnd.choice(values) for k in keys if rnd.random() < 0.8} for _ in range(150)] + [{}, {k: "9" for k in keys}]
+
+    def violates(clause, props):
+        return any(k[1:] in props and (v is True or props[k[1:]] == v) for k, v in clause.items())
+
+    want = {f"f{i}": next((n for n, c in enumerate(excluded) if not violates(c, s)), None) for i, s in enumerate(sets)}
+    assert len(set(want.values())) > 5
+    used = used_table(spark, sets)
+    rows = match.match_by_anchor(used, rules, keep_unmatched=True).select("file_path", "rule.rule_pos").collect()
+    assert dict(map(tuple, rows)) == want
+    anchored = match._set_anchors(match.numbered_sets(match.distinct_prop_sets(used)))
+    index = match.excluded_terms(match._clauses(rules, "first_match"))
+    met = anchored.join(index, match._TERM_KEYS).select("full_key", "rule_pos").distinct().collect()
+    assert met and all(violates(excluded[r.rule_pos], {e.key: e.value for e in r.full_key}) for r in met)
+
+
+def test_a_hot_set_is_dealt_over_tasks(spark):
+    sets = [{"a": "hot"}] * 4000 + [{"a": str(i % 800), "b": "x"} for i in range(8000)]
+    rules = rules_from_document(spark, {"p": {"C": [{"order": 1, "match": [{"a": "hot"}]}, {"order": 2, "match": [{"b": True}]}]}})
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = match.match_by_anchor(used_table(spark, sets), rules)
+        assert rows.groupBy("rule.rule_pos").count().orderBy("rule_pos").collect() == [(0, 4000), (1, 8000)]
+        sizes = sorted(n for _, n in rows.groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[4]
