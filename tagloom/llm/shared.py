@@ -36,6 +36,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: Spark then deletes the shuffle files of jobs that are over."""
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """A folder for tables between the steps of one operator, gone at the end of the ``with`` block.
 
@@ -52,7 +57,8 @@ class Scratch:
         """``df`` written here once and read back."""
         self.tables += 1
         path = f"{self.folder}/{name}-{self.tables}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
+        drop_shuffles(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __exit__(self, *_) -> None:

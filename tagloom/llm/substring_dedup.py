@@ -11,8 +11,9 @@ a document with a smaller doc_id go; windows are judged on the input.
    back to the part as a file of its own.  Minimisers of more than ``ROOM``
    stretches come back marked: their stretches are cut into single windows, each
    under its own hash, so that no minimiser makes a large group.
-3. Stretches under shared minimisers, about a fifth of a text in practice, are cut out.
-   Equal stretches are one row of the reference, with the smallest doc_id.
+3. Stretches under shared minimisers are cut out.  A task gives each place of a stretch
+   one narrow row, and each different stretch one row with its words and the
+   smallest doc_id for every 16 MB of them: the reference.
 4. The reference is dealt by minimiser into shards of bounded size.  A task builds a
    shard's suffix automaton, whose states know the smallest doc_id, and streams the
    shard's stretches through it: matching statistics of at least ``span`` words
@@ -42,17 +43,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.shared import Scratch, read_file, shared_folder, slices, write_file
+from tagloom.llm.shared import Scratch, drop_shuffles, read_file, shared_folder, slices, write_file
 from tagloom.llm.suffix_automaton import NOBODY, SuffixAutomaton
 
 SPAN = 13
-ANCHOR = 4
+ANCHOR = 6
 ROOM = 20_000
 #: Most windows of a stretch: a word repeated all through a text has one minimiser.
 LONGEST = 64
 #: Stretches of a shard, and minimisers of a group, that a task aims at.
 SHARD = 10_000
 GROUP = 1_000_000
+#: Bytes of different stretches that a task holds before it sends them.
+HELD = 16_000_000
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -228,12 +231,22 @@ def _known(keys: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 PIECES = "key bigint, digest bigint, words binary, doc bigint, part bigint, row int, at int"
+_NAMES = [field.split()[0] for field in PIECES.split(", ")]
+
+
+def _reference(held: dict) -> pa.RecordBatch:
+    """The different stretches a task holds, with their smallest doc_id; they are at no place."""
+    keys, digests = zip(*held)
+    words, least = zip(*held.values())
+    arrays = [pa.array(keys, pa.int64()), pa.array(digests, pa.int64()), pa.array(words, pa.binary()), pa.array(least, pa.int64())]
+    return pa.RecordBatch.from_arrays([*arrays, *[pa.nulls(len(held), t) for t in (pa.int64(), pa.int32(), pa.int32())]], _NAMES)
 
 
 def _pieces(docs: DataFrame, folder: str, span: int) -> DataFrame:
-    """The stretches under shared minimisers, cut out; ``at`` is the first word's number in its document."""
+    """The stretches under shared minimisers: their places (``at`` is the first word's number in the document), and their words."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
         for part, batch in _fragments(batches, 2, 1):
             listed, hot = _load(folder, part, ["<u8", "u1"])
             words = Words(_binary(batch.column(1)))
@@ -244,16 +257,29 @@ def _pieces(docs: DataFrame, folder: str, span: int) -> DataFrame:
                 continue
             cut = hot[at].astype(bool)
             singles = np.concatenate([np.arange(f, f + n) for f, n in zip(first[cut], many[cut])] or [first[:0]])
-            key = np.concatenate((key[~cut], words.runs(span)[singles]))
+            key = np.concatenate((key[~cut], words.runs(span)[singles])).view(np.int64)
             last = np.concatenate((first[~cut] + many[~cut] + span - 2, singles + span - 1))
             first = np.concatenate((first[~cut], singles))
-            texts = [words.piece(f, to) for f, to in zip(first.tolist(), last.tolist())]
             of = words.text[first]
+            doc = batch.column(0).take(pa.array(of))
+            texts = [words.piece(f, to) for f, to in zip(first.tolist(), last.tolist())]
+            digest = np.fromiter((xxhash.xxh64_intdigest(t) for t in texts), np.uint64, len(texts)).view(np.int64)
             yield pa.RecordBatch.from_arrays([
-                pa.array(key.view(np.int64)), pa.array(np.fromiter((xxhash.xxh64_intdigest(t) for t in texts), np.uint64, len(texts)).view(np.int64)),
-                pa.array(texts, pa.binary()), batch.column(0).take(pa.array(of)), pa.array(np.full(len(of), part)),
+                pa.array(key), pa.array(digest), pa.nulls(len(texts), pa.binary()), doc, pa.array(np.full(len(of), part)),
                 batch.column(3).take(pa.array(of)), pa.array((first - words.first[of]).astype(np.int32)),
-            ], [field.split()[0] for field in PIECES.split(", ")])
+            ], _NAMES)
+            for name, text, holder in zip(zip(key.tolist(), digest.tolist()), texts, doc.fill_null(NOBODY).to_pylist()):
+                known = held.get(name)
+                if known is None:
+                    held[name] = (text, holder)
+                    size += len(text)
+                elif holder < known[1]:
+                    held[name] = (text, holder)
+            if size > HELD:
+                yield _reference(held)
+                held, size = {}, 0
+        if held:
+            yield _reference(held)
 
     return docs.select("doc", "text", "part", "row").mapInArrow(each, PIECES)
 
@@ -262,24 +288,29 @@ def first_holders(pieces: DataFrame, shards: int, span: int = SPAN) -> DataFrame
     """key, digest, holders: of every different stretch the first holder of each of its windows.
 
     A shard holds all stretches of its keys; its automaton is built and used in one task.
+    A stretch comes once from each task that met it, or a few times from a task that met many.
     """
-    reference = pieces.groupBy("key", "digest").agg(F.first("words").alias("words"), F.min(F.coalesce("doc", F.lit(NOBODY))).alias("least"))
 
     def match(shard: pd.DataFrame) -> pd.DataFrame:
+        least: dict[tuple, int] = {}
+        for name, holder in zip(zip(shard["key"].tolist(), shard["digest"].tolist()), shard["doc"].tolist()):
+            least[name] = min(holder, least.get(name, NOBODY))
+        once = shard.drop_duplicates(["key", "digest"])
         automaton, numbers = SuffixAutomaton(), {}
-        texts = [[numbers.setdefault(w, len(numbers)) for w in words.split(b" ")] for words in shard["words"]]
-        for words, holder in zip(texts, shard["least"].tolist()):
+        texts = [[numbers.setdefault(w, len(numbers)) for w in words.split(b" ")] for words in once["words"]]
+        for words, holder in zip(texts, least.values()):
             automaton.add(words, holder)
         automaton.settle()
-        return pd.DataFrame({"key": shard["key"], "digest": shard["digest"], "holders": [automaton.first_holders(words, span) for words in texts]})
+        return pd.DataFrame({"key": once["key"], "digest": once["digest"], "holders": [automaton.first_holders(words, span) for words in texts]})
 
+    reference = pieces.filter("words IS NOT NULL").select("key", "digest", "words", "doc")
     dealt = reference.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(match, "key bigint, digest bigint, holders array<bigint>")
 
 
 def _removed(pieces: DataFrame, holders: DataFrame) -> DataFrame:
     """part, rows, starts (packed): the windows of each stretch that a smaller document holds."""
-    found = pieces.select("key", "digest", "doc", "part", "row", "at").join(holders, ["key", "digest"])
+    found = pieces.filter("words IS NULL").select("key", "digest", "doc", "part", "row", "at").join(holders, ["key", "digest"])
     own = F.coalesce("doc", F.lit(NOBODY))
     starts = F.filter(F.transform("holders", lambda h, i: F.when(h < own, F.col("at") + i)), lambda s: s.isNotNull())
     kept = found.select("part", "row", starts.alias("starts")).filter(F.size("starts") > 0)
@@ -323,15 +354,16 @@ def dedup_passages(docs: DataFrame, span: int = SPAN, room: int = ROOM, shard: i
     spark = docs.sparkSession
     folder = shared_folder(spark, "passages")
     path = f"{folder}/documents"
-    in_parts(docs).write.parquet(path)
+    in_parts(docs).write.option("compression", "zstd").parquet(path)
     parts = spark.read.parquet(path)
     with Scratch(spark, "passages") as scratch:
         chars = parts.agg(F.sum(F.length("text"))).first()[0] or 0
         groups = max(8, chars // 36 // GROUP)  # about one minimiser in 36 characters
         packed = _packed_keys(parts, groups, span)
         _save(_shared_keys(packed, room), ["keys", "hot"], ["<u8", "u1"], f"{scratch.folder}/keys")
+        drop_shuffles(spark)
         pieces = scratch.put(_pieces(parts, f"{scratch.folder}/keys", span), "pieces")
-        shards = max(8, pieces.count() // shard)
+        shards = max(8, pieces.filter("words IS NOT NULL").count() // shard)
         holders = scratch.put(first_holders(pieces, shards, span), "holders")
         _save(_removed(pieces, holders), ["rows", "starts"], ["<i4", "<i4"], f"{folder}/windows")
     result = _kept(parts, f"{folder}/windows", span)
