@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKAGES = ["@acme/ui/Text", "@acme/ui"]
@@ -70,6 +70,29 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tree_path(rel_path: Column) -> Column:
+    """A path of two, three or five parts, by the number in the file's name."""
+    number = F.regexp_extract(rel_path, r"C(\d+)\.tsx$", 1).cast("bigint")
+    parts = F.split(rel_path, "/")
+    deep = F.concat(F.lit("deep/x"), (number % 5).cast("string"))
+    return F.when(number % 3 == 0, rel_path).when(number % 3 == 1, F.array_join(F.slice(parts, 2, 2), "/")).otherwise(
+        F.concat_ws("/", F.slice(parts, 1, 2), deep, F.slice(parts, 3, 1))
+    )
+
+
+def nested_reports(used: DataFrame) -> DataFrame:
+    """One nested usage report for each package and file: package -> directories -> file -> [usage], column ``value``."""
+    usage = F.struct(F.col("component").alias("name"), F.col("file_path").alias("filePath"), "props")
+    per_file = used.groupBy("package", tree_path(F.col("rel_path")).alias("path")).agg(F.to_json(F.collect_list(usage)).alias("list"))
+
+    def inside(name: Column, value: Column) -> Column:
+        return F.concat(F.lit('{"'), name, F.lit('":'), value, F.lit("}"))
+
+    tree = F.aggregate(F.reverse(F.split("path", "/")), F.col("list"), lambda below, part: inside(part, below))
+    with_imports = F.concat(F.lit('{"_imports":{"x":[]},'), F.substring(tree, 2, 1 << 30))
+    return per_file.select(inside(F.col("package"), with_imports).alias("value"))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages: the host is the package."""
     host = F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1)

@@ -20,10 +20,11 @@ from tagloom.functions import props as p
 from tagloom.operators import aggregates as agg
 from tagloom.operators import attribute, changes, extract, imports, match, rewrite
 from tagloom.operators import rules as rule_ops
-from tagloom.operators.tables import work_folder
+from tagloom.operators.tables import work_folder, written_once
 from tagloom.plans import migrate
 from tagloom.sources import files, reports, spec
 from tagloom.sources import rules as rules_io
+from tagloom.sources.store import UsageStore, write_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -165,14 +166,16 @@ def attributed_usages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def attributed_join(spark: SparkSession, sf: str) -> DataFrame:
-    """The same attribution from two stored tables."""
-    files = b.code_files(spark, sf)
-    elements = extract.element_rows(files, b.TARGET).select("file_path", "pos", "component")
-    found = extract.import_rows(files, b.PACKAGES, b.TARGET)
-    rows = attribute.attribute(elements, found, b.PACKAGES)
+    """The same attribution from the stored imports and elements, without a shuffle."""
+    store = write_store(b.code_files(spark, sf), b.TARGET)
+    rows = attribute.attribute(store.elements, _target_imports(store), b.PACKAGES)
     return rows.select("file_path", "pos", "package", "component", F.col("import.import_type").alias("import_type"))
 
 
+def _target_imports(store: UsageStore) -> DataFrame:
+    return store.imports.filter(F.col("package").isin(b.PACKAGES) & (F.col("local_name") == b.TARGET))
+
+
 @query
 def unattributed_files(spark: SparkSession, sf: str) -> DataFrame:
     """Files with elements of the target but no import for them, read once."""
@@ -181,13 +184,22 @@ def unattributed_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def usage_import_decl(spark: SparkSession, sf: str) -> DataFrame:
-    """Usages with the import declaration of their file and package."""
-    found = extract.import_rows(b.code_files(spark, sf), b.PACKAGES)
-    used = _usages(spark, sf).select("file_path", "package", "pos")
-    rows = attribute.with_declaration(used, found)
+    """Usages with the import declaration of their file and package, from the store."""
+    store = write_store(b.code_files(spark, sf), b.TARGET)
+    used = attribute.attribute(store.elements, _target_imports(store), b.PACKAGES).select("file_path", "package", "pos")
+    rows = attribute.with_declaration(used, store.imports.filter(F.col("package").isin(b.PACKAGES)))
     return rows.groupBy("package", "import_stm").agg(F.count("*").alias("n"))
 
 
+@query
+def reread_elements(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored elements of the files of one brand that import the target from the first package, read again by range."""
+    store = write_store(b.code_files(spark, sf), b.TARGET)
+    chosen = _target_imports(store).filter((F.col("package") == b.PACKAGES[0]) & F.col("file_path").startswith("src/Brand#1"))
+    rows = store.elements_of(chosen)
+    return rows.groupBy("file_path").agg(F.count("*").alias("n_elements"), F.max("pos").alias("last_pos"))
+
+
 @query
 def scope_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Usages in three scopes: everything, one package, one component of it."""
@@ -291,14 +303,43 @@ def combo_cells(spark: SparkSession, sf: str) -> DataFrame:
     return cells.select(p.key_text(F.col("props_key")).alias("props"), "prop", "value", "n", "prop_total")
 
 
-WIDE_KEYS = ["bold", "color", "href", "n", "onClick", "size", "tag", "type"]
+WIDTH = 3
+
+
+def _wide(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    combos = written_once(agg.combinations(_usages(spark, sf)))
+    return combos, agg.wide_columns_in_order(combos, WIDTH)
 
 
 @query
 def combo_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    """Combinations as a wide table, one column per prop."""
-    wide = agg.wide_table(agg.combinations(_usages(spark, sf)), WIDE_KEYS, "p_")
-    return wide.drop("props_key")
+    """Combinations as a wide table in blocks of columns, most used props first."""
+    combos, columns = _wide(spark, sf)
+    return agg.wide_blocks(combos, columns, WIDTH).withColumn("props", p.key_text(F.col("props_key"))).drop("props_key")
+
+
+@query
+def pivot_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Which prop each column of the wide table shows."""
+    return _wide(spark, sf)[1]
+
+
+@query
+def combo_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct combinations per component, package and over all, from sketches stored by two runs, beside the exact counts."""
+    used = written_once(_usages(spark, sf).select("file_path", "package", "component", "props"))
+    path = work_folder(spark)
+    for run in (0, 1):
+        agg.combination_sketches(used.filter(F.pmod(F.xxhash64("file_path"), F.lit(2)) == run)).write.parquet(f"{path}/run={run}")
+    found = agg.merged_sketches(spark.read.parquet(path))
+    keys = used.select("package", "component", p.props_text(p.reportable(F.col("props"))).alias("props")).distinct()
+    exact = keys.groupingSets([[], [F.col("package")], [F.col("package"), F.col("component")]], F.col("package"), F.col("component")).agg(
+        F.count_distinct("props").alias("n_exact"),
+        F.when(F.grouping("package") == 1, "all").when(F.grouping("component") == 1, "package").otherwise("component").alias("level"),
+    )
+    same = [exact[c].eqNullSafe(found[c]) for c in ("level", "package", "component")]
+    near = F.abs(found["n_estimated"] - exact["n_exact"]) <= F.ceil(0.06 * exact["n_exact"])
+    return exact.join(found, same).select(exact["level"], exact["package"], exact["component"], "n_exact", near.alias("near"))
 
 
 @query
@@ -385,6 +426,14 @@ def package_rules(spark: SparkSession, sf: str) -> DataFrame:
     ).agg(F.count("*").alias("n"))
 
 
+@query
+def rebound_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The rules of one package bound to all packages, and the usages they win there."""
+    own = demo_rules(spark).filter(F.col("package") == b.PACKAGES[0])
+    rows = match.match_rules(_usages(spark, sf), rule_ops.bind_to_packages(own, b.PACKAGES), compiled=True)
+    return rows.groupBy("package", F.col("rule.rule_pos").alias("rule_pos"), F.col("rule.import_from").alias("import_from")).agg(F.count("*").alias("n"))
+
+
 @query
 def rule_skeletons(spark: SparkSession, sf: str) -> DataFrame:
     """A rule to fill in for every combination and package."""
@@ -649,14 +698,8 @@ def spec_packages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def nested_tree(spark: SparkSession, sf: str) -> DataFrame:
-    """Nested usage reports, one document for each page, flattened to usages per package and file."""
-    pages = b.pages(spark, sf)
-    number = F.col("file_path").cast("bigint")
-    usage = F.to_json(F.struct(F.lit("a").alias("name"), F.col("file_path").alias("filePath"), F.create_map(F.lit("href"), F.lit("x")).alias("props")))
-    leaf = F.concat(F.lit('{"Page.tsx":['), usage, F.lit("]}"))
-    tree = F.concat(F.lit('{"_imports":{"x":[]},"pages":{"p'), (number % 7).cast("string"), F.lit('":{"p'), (number % 5).cast("string"), F.lit('":'), leaf, F.lit("}}}"))
-    documents = pages.select(F.concat(F.lit('{"'), "package", F.lit('":'), tree, F.lit("}")).alias("value"))
-    return reports.files_of_usages(reports.nested_usages(documents))
+    """Nested usage reports of trees of unequal depth, flattened to usages per package and file."""
+    return reports.files_of_usages(reports.nested_usages(b.nested_reports(_usages(spark, sf))))
 
 
 @query

@@ -285,6 +285,10 @@ twin("usage_import_decl", f"""
     SELECT u.package, i.import_stm, count(*) AS n FROM used u JOIN (
       SELECT file_path, package, arg_max(import_stm, pos) AS import_stm FROM all_imports
       WHERE package IN ({PKGS}) GROUP BY ALL) i USING (file_path, package) GROUP BY ALL""", "used", "all_imports")
+twin("reread_elements", """
+    SELECT file_path, count(*) AS n_elements, max(pos) AS last_pos FROM elements
+    WHERE component = 'Text' AND file_path LIKE 'src/Brand#1%' AND file_path IN (SELECT file_path FROM imports WHERE package = '@acme/ui/Text')
+    GROUP BY file_path""", "elements", "imports")
 twin("scope_counts", """
     SELECT 'all' AS scope, count(*) AS n FROM used
     UNION ALL SELECT 'package', count(*) FROM used WHERE package = '@acme/ui'
@@ -322,11 +326,27 @@ twin("combo_cells", """
       SELECT props, count(*) AS n FROM prop_sets GROUP BY props) c
     JOIN (SELECT DISTINCT s.props, r.prop, r.value FROM prop_sets s JOIN reported r USING (file_path, pos)) r USING (props)
     JOIN (SELECT prop, count(*) AS n FROM reported GROUP BY prop) t USING (prop)""", "prop_sets", "reported")
+block(
+    "pivot_order",
+    ["reported"],
+    """
+    SELECT prop, total, (no - 1) // 3 AS block, (no - 1) % 3 AS slot FROM (
+      SELECT prop, count(*) AS total, row_number() OVER (ORDER BY count(*) DESC, prop) AS no FROM reported GROUP BY prop)
+    """,
+)
+twin("pivot_columns", "SELECT * FROM pivot_order", "pivot_order")
 twin("combo_pivot", """
-    SELECT count(*) AS n, coalesce(bold, '-') AS p_bold, coalesce(color, '-') AS p_color, coalesce(href, '-') AS p_href,
-      coalesce(n, '-') AS p_n, coalesce(on_click, '-') AS "p_onClick", coalesce(size, '-') AS p_size, coalesce(tag, '-') AS p_tag,
-      coalesce(type, '-') AS p_type
-    FROM wide GROUP BY bold, color, href, wide.n, on_click, size, tag, type""", "wide")
+    SELECT c.props, c.n, b.block, coalesce(max(value) FILTER (slot = 0), '-') AS c1, coalesce(max(value) FILTER (slot = 1), '-') AS c2,
+      coalesce(max(value) FILTER (slot = 2), '-') AS c3
+    FROM (SELECT props, count(*) AS n FROM prop_sets GROUP BY props) c
+    JOIN (SELECT DISTINCT props, 0::BIGINT AS block, NULL AS slot, NULL AS value FROM prop_sets
+          UNION ALL SELECT DISTINCT s.props, o.block, o.slot, r.value FROM prop_sets s JOIN reported r USING (file_path, pos)
+            JOIN pivot_order o USING (prop)) b USING (props)
+    GROUP BY ALL""", "prop_sets", "pivot_order")
+twin("combo_sketches", """
+    SELECT CASE WHEN grouping(package) = 1 THEN 'all' WHEN grouping(component) = 1 THEN 'package' ELSE 'component' END AS level,
+      package, component, count(DISTINCT props) AS n_exact, true AS near
+    FROM prop_sets GROUP BY GROUPING SETS ((), (package), (package, component))""", "prop_sets")
 twin("usages_per_file", "SELECT file_path, count(*) AS n_elements FROM used GROUP BY file_path", "used")
 twin("props_per_usage", "SELECT file_path, pos, n_props FROM prop_sets ORDER BY n_props DESC, file_path, pos", "prop_sets")
 twin("directory_rollup", """
@@ -367,6 +387,12 @@ twin("package_rules", """
       FROM ruled r JOIN (SELECT *, row_number() OVER (ORDER BY n_terms DESC, scenario_no) - 1 AS rule_pos FROM clauses) c
         ON (c.size IS NULL OR c.size = r.size) AND (c.type IS NULL OR c.type = r.type) GROUP BY ALL)
     GROUP BY ALL""", "ruled", "clauses")
+twin("rebound_rules", """
+    SELECT package, vpos AS rule_pos, package AS import_from, count(*) AS n FROM (
+      SELECT r.file_path, r.pos, r.package, min(vpos) AS vpos FROM ruled r
+      JOIN clauses c ON (c.size IS NULL OR c.size = r.size) AND (c.type IS NULL OR c.type = r.type)
+      JOIN variant_pos USING (variant) GROUP BY ALL)
+    GROUP BY ALL""", "ruled", "clauses", "variant_pos")
 twin("rule_skeletons", f"""
     SELECT p.package, 'Text' AS component, (c.no - 1) * 2 + p.no + 1 AS rule_order, c.props AS "match", 'Label' AS new_component,
       p.package AS import_from, {quoted(NEW_PACKAGE)} AS import_to
@@ -469,9 +495,10 @@ twin("spec_packages", """
     SELECT CASE package WHEN '@acme/ui/Text' THEN 0 ELSE 1 END::BIGINT AS pkg_rank, package, count(*) AS n_usages
     FROM used GROUP BY package""", "used")
 twin("nested_tree", """
-    SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS package,
-      'pages/p' || page_id % 7 || '/p' || page_id % 5 || '/Page.tsx' AS rel_path, count(*) AS n_usages
-    FROM pages GROUP BY ALL""")
+    SELECT package, CASE number % 3 WHEN 0 THEN rel_path WHEN 1 THEN p[2] || '/' || p[3]
+      ELSE p[1] || '/' || p[2] || '/deep/x' || number % 5 || '/' || p[3] END AS rel_path, count(*) AS n_usages
+    FROM (SELECT package, rel_path, string_split(rel_path, '/') AS p, regexp_extract(rel_path, 'C([0-9]+)[.]tsx$', 1)::BIGINT AS number FROM used)
+    GROUP BY ALL""", "used")
 twin("skeleton_rewrites", f"""
     SELECT f.file_path, c.package,
       CASE WHEN c.package = '@acme/ui/Text'

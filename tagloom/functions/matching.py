@@ -47,9 +47,3 @@ def compiled_rule(rows: Sequence[Mapping], package: Column, component: Column, p
                 ladder = ladder.when(matches(rule), index)
         chosen = chosen.when((package == owner[0]) & (component == owner[1]), ladder)
     return chosen
-
-
-def has_rules(rows: Sequence[Mapping], package: Column, component: Column) -> Column:
-    """Whether a package and component have any rule."""
-    owners = dict.fromkeys((r["package"], r["component"]) for r in rows)
-    return reduce(or_, [(package == p) & (component == c) for p, c in owners], F.lit(False))

@@ -14,14 +14,6 @@ def relative_path(path: Column, root: str) -> Column:
     return F.when(F.startswith(path, F.lit(prefix)), F.substring(path, len(prefix) + 1, 1 << 30)).otherwise(path)
 
 
-def path_prefixes(path: Column) -> Column:
-    """Every directory above a file and the file itself, shortest first."""
-    parts = F.split(path, "/")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")
-    )
-
-
 def outside_directories(path: Column, blacklist: Sequence[str]) -> Column:
     """True where no directory of the path is blacklisted; no entries, no filter."""
     names = [d.strip() for d in blacklist if d.strip()]

@@ -9,14 +9,15 @@ before they are shuffled.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.paths import path_prefixes
-from tagloom.functions.props import prop_key, reportable, wide_columns
+from tagloom.functions.props import key_text, prop_key, reportable, wide_columns
 from tagloom.operators.extract import prop_rows
 from tagloom.operators.numbering import number_rows
+from tagloom.operators.tables import written_once
 
 
 def usage_summary(used: DataFrame) -> DataFrame:
@@ -125,6 +126,52 @@ def combination_cells(used: DataFrame) -> DataFrame:
     return cells.select("props_key", "n", F.col("e.key").alias("prop"), F.col("e.value").alias("value")).join(totals, "prop")
 
 
+def wide_columns_in_order(combos: DataFrame, width: int) -> DataFrame:
+    """prop, total, block, slot: the columns of the report table, most used first, ``width`` to a block.
+
+    The order is that of the totals, then of the names; columns come from the
+    data and are numbered by a range sort, however many there are.
+    """
+    totals = combos.select(F.explode("props_key.key").alias("prop"), "n").groupBy("prop").agg(F.sum("n").alias("total"))
+    numbered = number_rows(totals, [F.desc("total"), F.col("prop").asc()], "column_no")
+    place = F.col("column_no") - 1
+    return numbered.select("prop", "total", F.floor(place / width).alias("block"), (place % width).alias("slot"))
+
+
+def wide_blocks(combos: DataFrame, columns: DataFrame, width: int, absent: str = "-") -> DataFrame:
+    """The report table in blocks of ``width`` columns: props_key, n, block, c1 to c<width>.
+
+    Every combination has a row in block 0, and in each further block that has
+    one of its props; other cells would be empty.  All blocks have one schema;
+    ``columns`` tells which prop a column shows.
+    """
+    cells = combos.select("props_key", "n", F.explode("props_key").alias("e"))
+    placed = cells.join(columns, F.col("e.key") == F.col("prop")).select("props_key", "n", "block", "slot", F.col("e.value").alias("value"))
+    first = combos.select("props_key", "n", F.lit(0).cast("bigint").alias("block"), F.lit(None).cast("bigint").alias("slot"), F.lit(None).cast("string").alias("value"))
+    shown = [F.coalesce(F.max(F.when(F.col("slot") == i, F.col("value"))), F.lit(absent)).alias(f"c{i + 1}") for i in range(width)]
+    return placed.unionByName(first).groupBy("props_key", "n", "block").agg(*shown)
+
+
+def combination_sketches(used: DataFrame, precision: int = 12) -> DataFrame:
+    """package, component, sketch: a mergeable sketch of the distinct prop combinations of each component.
+
+    A HyperLogLog sketch of 2 ** ``precision`` registers; the relative standard error is about
+    1.04 / sqrt(2 ** precision), 1.6 % at 12.  Store it with the report of a run.
+    """
+    key = key_text(prop_key(reportable(F.col("props"))))
+    return used.groupBy("package", "component").agg(F.hll_sketch_agg(key, F.lit(precision)).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame) -> DataFrame:
+    """level, package, component, n_estimated: sketches of any number of runs merged per component, per package and over all."""
+    union = F.hll_union_agg("sketch")
+    merged = sketches.groupingSets([[], [F.col("package")], [F.col("package"), F.col("component")]], F.col("package"), F.col("component")).agg(
+        F.hll_sketch_estimate(union).alias("n_estimated"),
+        F.when(F.grouping("package") == 1, "all").when(F.grouping("component") == 1, "package").otherwise("component").alias("level"),
+    )
+    return merged.select("level", "package", "component", "n_estimated")
+
+
 def wide_table(combos: DataFrame, keys: Sequence[str], prefix: str = "") -> DataFrame:
     """Combinations with one column per prop, ``-`` where it is absent.
 
@@ -153,11 +200,22 @@ def with_prop_count(used: DataFrame) -> DataFrame:
 def directory_rollup(used: DataFrame) -> DataFrame:
     """Usages and files below every directory (and in every file).
 
-    Counted per file before the prefixes are expanded.
+    One level at a time, deepest first: a level's rows are its files and what
+    the level below adds up to, so a step has as many rows as the level has
+    names.  Each level is written, as it is both result and input of the next.
     """
-    per_file = used.groupBy("rel_path").agg(F.count("*").alias("n"))
-    prefixes = per_file.select(F.explode(path_prefixes(F.col("rel_path"))).alias("prefix"), "n")
-    return prefixes.groupBy("prefix").agg(F.sum("n").alias("n_usages"), F.count("*").alias("n_files"))
+    per_file = used.groupBy("rel_path").agg(F.count("*").alias("n_usages"))
+    per_file = written_once(per_file.select(F.col("rel_path").alias("prefix"), "n_usages", F.lit(1).cast("bigint").alias("n_files"), F.size(F.split("rel_path", "/")).alias("depth")))
+    deepest = per_file.agg(F.max("depth")).first()[0] or 0
+    levels = []
+    for depth in range(deepest, 0, -1):
+        rows = per_file.filter(F.col("depth") == depth).drop("depth")
+        if levels:
+            parent = F.regexp_extract("prefix", r"^([\s\S]*)/[^/]*$", 1)
+            rows = rows.unionByName(levels[-1].select(parent.alias("prefix"), "n_usages", "n_files"))
+        levels.append(written_once(rows.groupBy("prefix").agg(F.sum("n_usages").alias("n_usages"), F.sum("n_files").alias("n_files"))))
+    empty = per_file.drop("depth").limit(0)
+    return reduce(lambda a, b: a.unionByName(b), levels, empty)
 
 
 def component_index(used: DataFrame) -> DataFrame:

@@ -45,19 +45,17 @@ def attribute(elements: DataFrame, imports: DataFrame, packages: Sequence[str])
     )
 
 
-def without_import(elements: DataFrame, imports: DataFrame) -> DataFrame:
-    """Element rows of files that import nothing of interest."""
-    return elements.join(imports.select("file_path").distinct(), "file_path", "left_anti")
-
-
 def with_declaration(used: DataFrame, imports: DataFrame) -> DataFrame:
     """Usages joined with the import statement of the same file and package.
 
     Several specifiers of one statement, or several statements, give one row:
-    the last statement in the text is kept.
+    the last statement in the text is kept.  The packages of a file meet in its
+    row, so tables bucketed by file need no shuffle.
     """
-    statements = imports.groupBy("file_path", "package").agg(F.max_by("import_stm", "pos").alias("import_stm"))
-    return used.join(statements, ["file_path", "package"])
+    last = imports.groupBy("file_path", "package").agg(F.max_by("import_stm", "pos").alias("import_stm"))
+    per_file = last.groupBy("file_path").agg(F.map_from_entries(F.collect_list(F.struct("package", "import_stm"))).alias("_statements"))
+    found = used.join(per_file, "file_path").withColumn("import_stm", F.try_element_at("_statements", F.col("package")))
+    return found.filter(F.col("import_stm").isNotNull()).drop("_statements")
 
 
 def in_packages(imports: DataFrame, packages: DataFrame) -> DataFrame:

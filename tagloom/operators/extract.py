@@ -204,11 +204,6 @@ def prop_rows(used: DataFrame, ignored: bool = False) -> DataFrame:
     return used.select(*others, F.explode_outer(props).alias("prop", "value")).filter(F.col("prop").isNotNull())
 
 
-def elements_of_files(located: DataFrame, selected: DataFrame) -> DataFrame:
-    """Stored elements of the files chosen for migration, without reading the files again."""
-    return located.join(selected.select("file_path").distinct(), "file_path", "left_semi")
-
-
 def distinct_elements(located: DataFrame) -> DataFrame:
     """One row per element identity."""
     return located.dropDuplicates(["usage_id"])

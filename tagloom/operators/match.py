@@ -201,7 +201,7 @@ def least_not_violated(anchored: DataFrame, clauses: DataFrame) -> DataFrame:
     missing from those: it is 0 or follows a violated one, so the numbers
     after violated ones, without the violated ones, hold it as their least.
     """
-    index = excluded_terms(clauses)
+    index = written_once(excluded_terms(clauses))
     violated = anchored.join(index, _TERM_KEYS).select("set_id", "package", "component", "order").distinct()
     ruled = index.select("package", "component").distinct()
     first = anchored.filter("anchor_kind = 'open'").join(ruled, ["package", "component"], "left_semi")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.operators.tables import written_once
 from tagloom.schemas import SPECIFIER, USAGES
 
 
@@ -69,32 +67,39 @@ def read_nested_usages(spark: SparkSession, path: str) -> DataFrame:
 def nested_usages(documents: DataFrame, value: str = "value") -> DataFrame:
     """Usage table from nested documents: package -> directory tree -> file -> [usage].
 
-    The tree of a document is walked in its own row, to any depth; the
-    ``_imports`` branch of a package is not a directory and is skipped.
+    Documents are read as VARIANT and opened one level of directories at a time:
+    entries that are lists are files and give their usages, entries that are
+    objects are the next level.  Every level is written once, so a document of
+    any depth or size never has to fit a task.  The ``_imports`` branch of a
+    package is not a directory and is skipped; text that is not JSON, and entries
+    that are neither list nor object, are left out.
     """
-
-    def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for text in batch["value"].dropna():
-                stack = [(package, "", node) for package, node in json.loads(text).items()]
-                while stack:
-                    package, path, node = stack.pop()
-                    if isinstance(node, list):
-                        rows += [(package, path, json.dumps(usage)) for usage in node]
-                    elif isinstance(node, dict):
-                        stack += [(package, f"{path}/{key}" if path else key, below) for key, below in node.items() if key != "_imports"]
-            yield pd.DataFrame(rows, columns=["package", "rel_path", "usage"], dtype=object)
-
+    found, level = [], _entries(documents.select(F.lit(None).cast("string").alias("package"), F.lit("").alias("rel_path"), F.try_parse_json(value).alias("node")))
+    level = level.select(F.col("key").alias("package"), F.lit("").alias("rel_path"), "node")
+    while True:
+        level = written_once(level)
+        usages = F.try_variant_get("node", "$", "array<variant>")
+        found.append(level.select("package", "rel_path", F.explode(usages).alias("usage")))
+        below = _entries(level).filter("key <> '_imports'")
+        path = F.when(F.col("rel_path") == "", F.col("key")).otherwise(F.concat("rel_path", F.lit("/"), "key"))
+        below = below.select("package", path.alias("rel_path"), "node")
+        if below.isEmpty():
+            break
+        level = below
     shape = f"struct<name:string,filePath:string,local:string,props:map<string,string>,impObj:{_NESTED_IMPORT}>"
-    found = documents.select(F.col(value).alias("value")).mapInPandas(leaves, "package string, rel_path string, usage string")
-    rows = found.select("package", "rel_path", F.from_json("usage", shape).alias("u"))
+    rows = reduce(lambda a, b: a.unionByName(b), found).select("package", "rel_path", F.try_variant_get("usage", "$", shape).alias("u"))
     return rows.select(
         F.col("u.filePath").alias("file_path"), "rel_path", "package", F.col("u.name").alias("component"),
         F.col("u.impObj.localName").alias("local_name"), "u.props", _import_struct("u.impObj").alias("import"),
     )
 
 
+def _entries(nodes: DataFrame) -> DataFrame:
+    """The entries of the nodes that are objects: package, rel_path, key, node."""
+    opened = nodes.select("package", "rel_path", F.explode(F.try_variant_get("node", "$", "map<string,variant>")).alias("key", "node"))
+    return opened.filter(F.col("node").isNotNull())
+
+
 def files_of_usages(used: DataFrame) -> DataFrame:
     """Usages counted per file: the flattened directory tree."""
     return used.groupBy("package", "rel_path").agg(F.count("*").alias("n_usages"))
