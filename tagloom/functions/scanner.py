@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_right
+from functools import lru_cache
 from math import isinf
 
 from tagloom.functions.patterns import EMPTY_EXPRESSION, EXPRESSION_KINDS, NAMED_EXPRESSION_KINDS, OTHER_EXPRESSION
@@ -30,6 +31,9 @@ _TEMPLATE = re.compile(r"\\[\s\S]|`|\$\{")
 _BLANK = re.compile(r"(?:\s|/\*[\s\S]*?\*/|//[^\n]*)*")
 _ATTRIBUTE = re.compile(r"([A-Za-z_$@:][\w$@:.-]*)", re.A)
 _EQUALS = re.compile(r"\s*=\s*")
+#: An attribute that needs no context: a bare name, a quoted value, or braces without anything that could open another one.
+_PLAIN = re.compile(r"""\s*([A-Za-z_$@:][\w$@:.-]*+)(?:\s*=\s*("[^"]*"|'[^']*'|\{[^{}"'`/<]*\})|(?!\s*=))""", re.A)
+_SIMPLE = re.compile(r"[A-Za-z_$][\w$-]*", re.A)
 _QUOTED = {'"': re.compile('"[^"]*"'), "'": re.compile("'[^']*'")}
 _BARE = re.compile(r"""[^\s"'{}<>=`]+?(?=\s|/?>|$)""")
 _TYPES = re.compile(r"<[^<>(){}]*(?:<[^<>(){}]*>[^<>(){}]*)*>")
@@ -91,7 +95,7 @@ class Scan:
                     if tag is not None:
                         tag[5], tag[6] = start, stop
                     break
-        if re.fullmatch(r"[A-Za-z_$][\w$-]*", name, re.A):
+        if _SIMPLE.fullmatch(name):
             self.tokens += 1
 
     def _run(self) -> None:
@@ -177,7 +181,7 @@ class Scan:
         end = types.end() if types else end
         if not (code[end : end + 1].isspace() or code.startswith((">", "/>"), end)):
             return end
-        simple = bool(re.fullmatch(r"[A-Za-z_$][\w$-]*", found[1], re.A))
+        simple = bool(_SIMPLE.fullmatch(found[1]))
         tag = [found[1], self.tokens, "", at, 0, None, None, []]
         if simple:
             self.tags.append(tag)
@@ -194,7 +198,10 @@ class Scan:
         frame[4] = frame[5] = None
 
     def _in_tag(self, stack: list[list], frame: list, i: int) -> int:
-        code = self.code
+        code, attrs = self.code, frame[2][7]
+        while plain := _PLAIN.match(code, i):
+            attrs.append((plain[1], plain[2], plain.start(1), plain.end()))
+            i = plain.end()
         i = _BLANK.match(code, i).end()
         if code.startswith("/>", i) or code.startswith(">", i):
             closed = code[i] == "/"
@@ -308,7 +315,11 @@ def expression_text(expression: str) -> str:
 
 
 def value_text(source: str | None) -> str:
-    """An attribute's value as it is recorded."""
+    """An attribute's value as it is recorded; short ones are remembered."""
+    return _value_text(source) if source is None or len(source) > 100 else _short_value(source)
+
+
+def _value_text(source: str | None) -> str:
     if source is None:
         return "true"
     if source[0] == "{":
@@ -318,6 +329,9 @@ def value_text(source: str | None) -> str:
     return source
 
 
+_short_value = lru_cache(4096)(_value_text)
+
+
 def attributes(code: str, attrs: list[tuple]) -> list[dict]:
     """Attributes as rows: name, value, kind, raw, start, stop."""
     rows = []
