@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.lets import let
+from tagloom.operators.numbering import number_rows
 
 #: The marks around a turn.
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -69,13 +70,17 @@ def donated_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected sides from plain conversations.
 
     Chosen is a conversation as it is.  Rejected is its turns before the last
-    assistant turn, then the last assistant text of the conversation with the next
-    conv_id; without such a donor there is no pair.
+    assistant turn, then the last assistant text of the next conversation that has one,
+    by conv_id, however far its id is; the first is next to the last.  The
+    conversations are numbered by a range sort.  One without an assistant turn gives
+    no pair; one alone meets itself, which leaves both completions empty.
     """
     talks = conversations.filter("conv_id IS NOT NULL").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
     last = talks.filter("role = 'assistant' AND turn IS NOT NULL").groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("l"))
-    donors = last.select((F.col("pair_id") - 1).alias("pair_id"), F.col("l.text").alias("donated"))
-    cut = last.select("pair_id", F.col("l.turn").alias("cut")).join(donors, "pair_id")
+    answered = number_rows(last.select("pair_id", F.col("l.turn").alias("cut"), F.col("l.text").alias("text")), [F.col("pair_id").asc()], "no")
+    many = answered.count()
+    donors = answered.select((F.pmod(F.col("no") - 2, F.lit(max(1, many))) + 1).alias("no"), F.col("text").alias("donated"))
+    cut = answered.join(donors, "no").select("pair_id", "cut", "donated")
     before = talks.join(cut, "pair_id").filter("turn < cut OR turn IS NULL").select("pair_id", "turn", "role", "text")
     answers = cut.select("pair_id", F.col("cut").alias("turn"), F.lit("assistant").alias("role"), F.col("donated").alias("text"))
     return talks, before.unionByName(answers)

@@ -37,7 +37,8 @@ WITH talks AS (
 ), last AS (
   SELECT pair_id, max({'turn': turn, 'text': text}) AS l FROM talks WHERE role = 'assistant' AND turn IS NOT NULL GROUP BY pair_id
 ), cut AS (
-  SELECT a.pair_id, a.l.turn AS cut, b.l.text AS donated FROM last a JOIN last b ON b.pair_id = a.pair_id + 1
+  SELECT pair_id, l.turn AS cut, coalesce(lead(l.text) OVER by_id, first_value(l.text) OVER by_id) AS donated
+  FROM last WINDOW by_id AS (ORDER BY pair_id)
 ), sides AS (
   SELECT 'chosen' AS side, talks.* FROM talks JOIN cut USING (pair_id)
   UNION ALL

@@ -114,7 +114,13 @@ def test_preferences(spark):
 
 
 def test_donated_pairs(spark):
-    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "thanks"), (2, 0, "user", "r"), (2, 1, "assistant", "b"), (3, 0, "user", "only"), (None, 0, "user", "x")]
-    found = chat_format.format_preferences(*chat_format.donated_pairs(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))).collect()
-    assert [(r["pair_id"], r["prompt_turns"]) for r in found] == [(1, 1)]
+    """A donor is the next talk with an answer, also behind a gap or a talk without one; the first is next to the last."""
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "thanks"), (70, 0, "user", "r"), (70, 1, "assistant", "b"), (3, 0, "user", "only"), (None, 0, "user", "x")]
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    found = chat_format.format_preferences(*chat_format.donated_pairs(spark.createDataFrame(rows, schema))).orderBy("pair_id").collect()
+    assert [(r["pair_id"], r["prompt_turns"]) for r in found] == [(1, 1), (70, 1)]
     assert found[0]["rejected"].startswith("<|im_start|>assistant\nb<|im_end|>")
+    assert found[1]["rejected"].startswith("<|im_start|>assistant\na<|im_end|>")
+    alone = chat_format.format_preferences(*chat_format.donated_pairs(spark.createDataFrame(rows[:3], schema))).collect()
+    assert [(r["prompt_turns"], r["rejected"]) for r in alone] == [(2, "")]
+    assert chat_format.donated_pairs(spark.createDataFrame([], schema))[1].count() == 0
