@@ -619,7 +619,8 @@ def change_hunks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def run_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return changes.run_summary(_rewritten(spark, sf))
+    edited = rewrite.file_edits(b.code_files(spark, sf), b.PACKAGES, demo_rules(spark), b.TARGET, compiled=True)
+    return changes.run_summary(edited)
 
 
 # ---- stored tables ----

@@ -141,22 +141,34 @@ def tag_edit(tag: Mapping[str, Column], name: Column, attrs: Column, props: Colu
     )
 
 
-def rewritten_text(code: Column, edits: Column, spec: Column, component: Column, targets: Column) -> Column:
-    """The text with its tags edited and the component's import moved to the targets."""
+def rewritten_text(code: Column, edits: Column, spec: Column, component: Column, targets: Column, statements: Column | None = None) -> Column:
+    """The text with its tags edited and the component's import moved to the targets.
+
+    ``statements`` are the import statements of the text where they are known
+    (``extract.scanned``); otherwise a text whose import moves is read for them.
+    """
     cloudpickle.register_pickle_by_value(scanner)
     cloudpickle.register_pickle_by_value(patterns)
 
     @F.pandas_udf("string")
     def write(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for codes, changes, specs, names, moves in batches:
-            rows = zip(codes, changes, specs.to_dict("records"), names, moves, strict=True)
+        for codes, changes, specs, names, moves, known in batches:
+            rows = zip(codes, changes, specs.to_dict("records"), names, moves, known, strict=True)
             yield pd.Series([_write(*row) for row in rows], dtype=object)
 
-    return write(code, edits, F.struct(spec["package"].alias("package"), spec["import_type"].alias("import_type"), spec["local_name"].alias("local_name")), component, targets)
+    found = F.lit(None).cast(STATEMENTS) if statements is None else statements
+    return write(code, edits, F.struct(spec["package"].alias("package"), spec["import_type"].alias("import_type"), spec["local_name"].alias("local_name")), component, targets, found)
+
+
+#: Import statements of a text: places, package, and what is bound.
+STATEMENTS = "array<struct<start:int,stop:int,package:string,default:string,space:string,named:array<string>,is_type:boolean>>"
 
 
-def _write(code: str, edits: list[dict], spec: dict, component: str, targets: list[str]) -> str:
+def _write(code: str, edits: list[dict], spec: dict, component: str, targets: list[str], statements: list[dict] | None) -> str:
     places = [(e["start"], e["stop"], e["text"]) for e in edits if e["text"] is not None]
     places += [(e["close_start"], e["close_stop"], e["closing"]) for e in edits if e["closing"] is not None and e["close_start"] >= 0]
-    moved, top = scanner.import_edits(scanner.Scan(code), spec, component, list(targets)) if len(targets) else ([], "")
+    moved, top = [], ""
+    if len(targets):
+        imports = scanner.Scan(code).imports if statements is None else [(*list(s.values())[:5], list(s["named"]), s["is_type"]) for s in statements]
+        moved, top = scanner.import_edits(code, imports, spec, component, list(targets))
     return top + scanner.spliced(code, places + moved)

@@ -391,7 +391,7 @@ def without_statement(code: str, start: int, stop: int) -> tuple[int, int, str]:
     return begin, min(end + 1, len(code)), ""
 
 
-def pruned_statement(scan: Scan, entry: tuple, spec: dict) -> tuple[int, int, str] | None:
+def pruned_statement(code: str, entry: tuple, spec: dict) -> tuple[int, int, str] | None:
     """The edit that takes the specifier out of an import statement; None if it is not in there."""
     start, stop, package, default, space, named, is_type = entry
     if package != spec["package"]:
@@ -405,17 +405,17 @@ def pruned_statement(scan: Scan, entry: tuple, spec: dict) -> tuple[int, int, st
         return None
     parts = [left] * bool(left) + ([f"* as {space}"] if space else []) + (["{ " + ", ".join(kept) + " }"] if kept else [])
     if not parts:
-        return without_statement(scan.code, start, stop)
-    tail = re.search(r"from\s*[\"'][^\"']+[\"'][ \t]*;?$", scan.code[start:stop])[0]
+        return without_statement(code, start, stop)
+    tail = re.search(r"from\s*[\"'][^\"']+[\"'][ \t]*;?$", code[start:stop])[0]
     return start, stop, f"import {'type ' if is_type else ''}{', '.join(parts)} {tail}"
 
 
-def import_edits(scan: Scan, spec: dict, component: str, targets: list[str]) -> tuple[list[tuple[int, int, str]], str]:
-    """Edits that move a specifier, and the lines to put at the top."""
+def import_edits(code: str, imports: list[tuple], spec: dict, component: str, targets: list[str]) -> tuple[list[tuple[int, int, str]], str]:
+    """Edits that move a specifier, and the lines to put at the top; ``imports`` are those of the text's :class:`Scan`."""
     if not targets:
         return [], ""
-    edits = [e for e in (pruned_statement(scan, entry, spec) for entry in scan.imports) if e]
-    missing = [to for to in targets if not any(entry[2] == to and entry[5] for entry in scan.imports)]
+    edits = [e for e in (pruned_statement(code, entry, spec) for entry in imports) if e]
+    missing = [to for to in targets if not any(entry[2] == to and entry[5] for entry in imports)]
     return edits, "".join(f'import {{ {component} }} from "{to}";\n' for to in reversed(missing))
 
 

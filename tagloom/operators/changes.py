@@ -68,10 +68,10 @@ def strip_blank_hunk_lines(hunk_rows: DataFrame) -> DataFrame:
     return hunk_rows.filter((F.col("op") == " ") | F.col("line").rlike(r"\S"))
 
 
-def run_summary(rewritten: DataFrame, apply: bool = False) -> DataFrame:
-    """Files and elements changed, or that would change."""
+def run_summary(edited: DataFrame, apply: bool = False) -> DataFrame:
+    """Files and elements changed, or that would change; from ``rewrite.file_edits``, so no text is written to count."""
     return (
-        rewritten.filter("mutated")
+        edited.filter("mutated")
         .groupBy("package", "component")
         .agg(F.count("*").alias("n_files"), F.sum("n_elements").alias("n_elements"))
         .withColumn("mode", F.lit("migrated" if apply else "would migrate"))

@@ -18,6 +18,7 @@ from tagloom.functions import markup, patterns, scanner
 from tagloom.functions.lets import built_once
 from tagloom.functions.paths import relative_path
 from tagloom.functions.props import reportable
+from tagloom.functions.rewriting import STATEMENTS
 from tagloom.operators.rows import each
 
 
@@ -31,15 +32,16 @@ SCAN = (
     "local_name:string,imported_name:string>>,"
     "tags array<struct<name:string,pos:int,kind:string,line:int,column:int,start:int,stop:int,close_start:int,close_stop:int,children:string,"
     "attrs:array<struct<name:string,value:string,kind:string,raw:string,start:int,stop:int>>>>,"
-    "unread array<string>"
+    f"unread array<string>,statements {STATEMENTS}"
 )
 
 
-def scanned(code: str | Column, target: str | None = None, locate: bool = False, children: bool = False) -> Column:
+def scanned(code: str | Column, target: str | None = None, locate: bool = False, children: bool = False, statements: bool = False) -> Column:
     """Imports, tags and unread tags of a text column, read in one pass in Arrow batches.
 
     With a target only its tags are listed; ``locate`` fills line and column,
-    ``children`` the text between a tag and its closing tag.
+    ``children`` the text between a tag and its closing tag, ``statements`` the
+    places of the import statements.
     """
     cloudpickle.register_pickle_by_value(scanner)  # the helper travels with the job, so executors need no copy of the package
     cloudpickle.register_pickle_by_value(patterns)
@@ -47,12 +49,12 @@ def scanned(code: str | Column, target: str | None = None, locate: bool = False,
     @F.pandas_udf(SCAN)
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([_scan_row(text or "", target, locate, children) for text in batch], columns=["imports", "tags", "unread"], dtype=object)
+            yield pd.DataFrame([_scan_row(text or "", target, locate, children, statements) for text in batch], columns=["imports", "tags", "unread", "statements"], dtype=object)
 
     return read(F.col(code) if isinstance(code, str) else code)
 
 
-def _scan_row(code: str, target: str | None, locate: bool, children: bool) -> tuple[list[dict], list[dict], list[str]]:
+def _scan_row(code: str, target: str | None, locate: bool, children: bool, statements: bool) -> tuple[list[dict], list[dict], list[str], list[dict] | None]:
     scan = scanner.Scan(code)
     starts = scanner.line_starts(code) if locate else None
     tags = []
@@ -64,7 +66,9 @@ def _scan_row(code: str, target: str | None, locate: bool, children: bool) -> tu
                 "close_start": close_start, "close_stop": close_stop,
                 "children": code[stop:close_start] if children and close_start is not None else None, "attrs": scanner.attributes(code, attrs),
             })
-    return scanner.specifiers(scan), tags, [n for n in scan.unread if target is None or n == target]
+    names = ("start", "stop", "package", "default", "space", "named", "is_type")
+    places = [dict(zip(names, entry)) for entry in scan.imports] if statements else None
+    return scanner.specifiers(scan), tags, [n for n in scan.unread if target is None or n == target], places
 
 
 def scanned_files(files: DataFrame, target: str | None = None, locate: bool = False, children: bool = False) -> DataFrame:
