@@ -28,7 +28,7 @@ def test_twin(spark, name):
 
 def test_one_query_for_each_operator():
     numbers = sorted(int(m[1]) for m in (re.match(r"op(\d+)_", n) for n in QUERIES) if m)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert {"pipeline", *QUERIES} <= set(entry.queries())
 
 
