@@ -62,8 +62,13 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __exit__(self, *_) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of this module's own making."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def file_system(uri: str):

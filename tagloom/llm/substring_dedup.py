@@ -12,8 +12,8 @@ a document with a smaller doc_id go; windows are judged on the input.
    stretches come back marked: their stretches are cut into single windows, each
    under its own hash, so that no minimiser makes a large group.
 3. Stretches under shared minimisers are cut out.  A task gives each place of a stretch
-   one narrow row, and each different stretch one row with its words and the
-   smallest doc_id for every 16 MB of them: the reference.
+   one narrow row, and the different stretches of every 16 MB, with their smallest doc_id,
+   as one packed row for each shard: the reference.
 4. The reference is dealt by minimiser into shards of bounded size.  A task builds a
    shard's suffix automaton, whose states know the smallest doc_id, and streams the
    shard's stretches through it: matching statistics of at least ``span`` words
@@ -33,6 +33,7 @@ through.  One document at a time is held in memory whole.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.shared import Scratch, drop_shuffles, read_file, shared_folder, slices, write_file
+from tagloom.llm.shared import Scratch, read_file, remove, shared_folder, slices, write_file
 from tagloom.llm.suffix_automaton import NOBODY, SuffixAutomaton
 
 SPAN = 13
@@ -230,19 +231,26 @@ def _known(keys: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.nd
     return (sorted_keys[at] == keys if len(sorted_keys) else np.zeros(len(keys), bool)), at
 
 
-PIECES = "key bigint, digest bigint, words binary, doc bigint, part bigint, row int, at int"
+PIECES = "shard int, keys binary, digests binary, least binary, words binary, key bigint, digest bigint, doc bigint, part bigint, row int, at int"
 _NAMES = [field.split()[0] for field in PIECES.split(", ")]
 
 
-def _reference(held: dict) -> pa.RecordBatch:
-    """The different stretches a task holds, with their smallest doc_id; they are at no place."""
-    keys, digests = zip(*held)
-    words, least = zip(*held.values())
-    arrays = [pa.array(keys, pa.int64()), pa.array(digests, pa.int64()), pa.array(words, pa.binary()), pa.array(least, pa.int64())]
-    return pa.RecordBatch.from_arrays([*arrays, *[pa.nulls(len(held), t) for t in (pa.int64(), pa.int32(), pa.int32())]], _NAMES)
+def _reference(held: dict, shards: int) -> pa.RecordBatch:
+    """The different stretches a task holds, packed by shard, each with its smallest doc_id; they are at no place."""
+    keys, digests = (np.array(c, np.int64) for c in zip(*held))
+    shard = (keys.view(np.uint64) % np.uint64(shards)).astype(np.int32)
+    order = np.argsort(shard, kind="stable")
+    texts, least = zip(*held.values())
+    least = np.array(least, np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(shard[order])) + 1).tolist(), len(order)]
+    ranges = [order[a:b] for a, b in zip(cuts, cuts[1:])]
+    packed = [pa.array([shard[r[0]] for r in ranges], pa.int32())]
+    packed += [pa.array([column[r].tobytes() for r in ranges], pa.binary()) for column in (keys, digests, least)]
+    packed.append(pa.array([zlib.compress(b"\n".join(texts[i] for i in r.tolist()), 1) for r in ranges], pa.binary()))
+    return pa.RecordBatch.from_arrays([*packed, *[pa.nulls(len(ranges), t) for t in [pa.int64()] * 4 + [pa.int32()] * 2]], _NAMES)
 
 
-def _pieces(docs: DataFrame, folder: str, span: int) -> DataFrame:
+def _pieces(docs: DataFrame, folder: str, span: int, shards: int) -> DataFrame:
     """The stretches under shared minimisers: their places (``at`` is the first word's number in the document), and their words."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +273,8 @@ def _pieces(docs: DataFrame, folder: str, span: int) -> DataFrame:
             texts = [words.piece(f, to) for f, to in zip(first.tolist(), last.tolist())]
             digest = np.fromiter((xxhash.xxh64_intdigest(t) for t in texts), np.uint64, len(texts)).view(np.int64)
             yield pa.RecordBatch.from_arrays([
-                pa.array(key), pa.array(digest), pa.nulls(len(texts), pa.binary()), doc, pa.array(np.full(len(of), part)),
+                pa.nulls(len(texts), pa.int32()), *[pa.nulls(len(texts), pa.binary())] * 4,
+                pa.array(key), pa.array(digest), doc, pa.array(np.full(len(of), part)),
                 batch.column(3).take(pa.array(of)), pa.array((first - words.first[of]).astype(np.int32)),
             ], _NAMES)
             for name, text, holder in zip(zip(key.tolist(), digest.tolist()), texts, doc.fill_null(NOBODY).to_pylist()):
@@ -276,15 +285,15 @@ def _pieces(docs: DataFrame, folder: str, span: int) -> DataFrame:
                 elif holder < known[1]:
                     held[name] = (text, holder)
             if size > HELD:
-                yield _reference(held)
+                yield _reference(held, shards)
                 held, size = {}, 0
         if held:
-            yield _reference(held)
+            yield _reference(held, shards)
 
     return docs.select("doc", "text", "part", "row").mapInArrow(each, PIECES)
 
 
-def first_holders(pieces: DataFrame, shards: int, span: int = SPAN) -> DataFrame:
+def first_holders(reference: DataFrame, span: int = SPAN) -> DataFrame:
     """key, digest, holders: of every different stretch the first holder of each of its windows.
 
     A shard holds all stretches of its keys; its automaton is built and used in one task.
@@ -292,25 +301,26 @@ def first_holders(pieces: DataFrame, shards: int, span: int = SPAN) -> DataFrame
     """
 
     def match(shard: pd.DataFrame) -> pd.DataFrame:
-        least: dict[tuple, int] = {}
-        for name, holder in zip(zip(shard["key"].tolist(), shard["digest"].tolist()), shard["doc"].tolist()):
-            least[name] = min(holder, least.get(name, NOBODY))
-        once = shard.drop_duplicates(["key", "digest"])
-        automaton, numbers = SuffixAutomaton(), {}
-        texts = [[numbers.setdefault(w, len(numbers)) for w in words.split(b" ")] for words in once["words"]]
-        for words, holder in zip(texts, least.values()):
-            automaton.add(words, holder)
+        names = zip(*(np.frombuffer(b"".join(shard[c]), np.int64).tolist() for c in ("keys", "digests", "least")))
+        texts = [text for words in shard["words"] for text in zlib.decompress(words).split(b"\n")]
+        once: dict[tuple, list] = {}
+        for (key, digest, holder), text in zip(names, texts, strict=True):
+            known = once.setdefault((key, digest), [text, holder])
+            known[1] = min(known[1], holder)
+        automaton, numbers, stretches = SuffixAutomaton(), {}, []
+        for text, holder in once.values():
+            stretches.append([numbers.setdefault(w, len(numbers)) for w in text.split(b" ")])
+            automaton.add(stretches[-1], holder)
         automaton.settle()
-        return pd.DataFrame({"key": once["key"], "digest": once["digest"], "holders": [automaton.first_holders(words, span) for words in texts]})
+        keys, digests = zip(*once)
+        return pd.DataFrame({"key": keys, "digest": digests, "holders": [automaton.first_holders(words, span) for words in stretches]})
 
-    reference = pieces.filter("words IS NOT NULL").select("key", "digest", "words", "doc")
-    dealt = reference.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(match, "key bigint, digest bigint, holders array<bigint>")
+    return reference.groupBy("shard").applyInPandas(match, "key bigint, digest bigint, holders array<bigint>")
 
 
 def _removed(pieces: DataFrame, holders: DataFrame) -> DataFrame:
     """part, rows, starts (packed): the windows of each stretch that a smaller document holds."""
-    found = pieces.filter("words IS NULL").select("key", "digest", "doc", "part", "row", "at").join(holders, ["key", "digest"])
+    found = pieces.select("key", "digest", "doc", "part", "row", "at").join(holders, ["key", "digest"])
     own = F.coalesce("doc", F.lit(NOBODY))
     starts = F.filter(F.transform("holders", lambda h, i: F.when(h < own, F.col("at") + i)), lambda s: s.isNotNull())
     kept = found.select("part", "row", starts.alias("starts")).filter(F.size("starts") > 0)
@@ -359,13 +369,16 @@ def dedup_passages(docs: DataFrame, span: int = SPAN, room: int = ROOM, shard: i
     with Scratch(spark, "passages") as scratch:
         chars = parts.agg(F.sum(F.length("text"))).first()[0] or 0
         groups = max(8, chars // 36 // GROUP)  # about one minimiser in 36 characters
-        packed = _packed_keys(parts, groups, span)
-        _save(_shared_keys(packed, room), ["keys", "hot"], ["<u8", "u1"], f"{scratch.folder}/keys")
-        drop_shuffles(spark)
-        pieces = scratch.put(_pieces(parts, f"{scratch.folder}/keys", span), "pieces")
-        shards = max(8, pieces.filter("words IS NOT NULL").count() // shard)
-        holders = scratch.put(first_holders(pieces, shards, span), "holders")
-        _save(_removed(pieces, holders), ["rows", "starts"], ["<i4", "<i4"], f"{folder}/windows")
+        shared = scratch.put(_shared_keys(_packed_keys(parts, groups, span), room), "keys")
+        shards = max(8, (shared.agg(F.sum(F.length("keys"))).first()[0] or 0) // 8 // shard)
+        _save(shared, ["keys", "hot"], ["<u8", "u1"], f"{scratch.folder}/shared")
+        pieces = f"{scratch.folder}/pieces"
+        _pieces(parts, f"{scratch.folder}/shared", span, shards).withColumn("packed", F.col("shard").isNotNull()).write.partitionBy("packed").option("compression", "zstd").parquet(pieces)
+        remove(spark, f"{scratch.folder}/shared")
+        read = spark.read.schema(f"{PIECES}, packed boolean")
+        holders = scratch.put(first_holders(read.parquet(pieces).filter("packed"), span), "holders")
+        remove(spark, f"{pieces}/packed=true")
+        _save(_removed(read.parquet(pieces).filter("NOT packed"), holders), ["rows", "starts"], ["<i4", "<i4"], f"{folder}/windows")
     result = _kept(parts, f"{folder}/windows", span)
     columns = [c for c in docs.columns if c not in ("kept_text", "n_words", "n_removed")]
     return result.select(*["text" if c == "text" else F.col(f"own.`{c}`").alias(c) for c in columns], "kept_text", "n_words", "n_removed")
