@@ -119,6 +119,41 @@ def test_insertions_and_deletions_can_be_undone(spark, odd_docs, odd_rows):
     assert as_cleaned(index.clean(known)) == cleaned(rows)
 
 
+def test_rounds_of_insertions_and_deletions_equal_a_fresh_index(spark, monkeypatch):
+    """Documents come and go at random, filters grow from two keys each; the state is that of the documents left."""
+    monkeypatch.setattr(line_dedup, "KEYS_A_SHARD", 2)
+    rng = random.Random(21)
+    pool = [f"a line of the common pool, number {i}" for i in range(90)]
+    texts = {i: "\n".join(rng.sample(pool, rng.randint(1, 12))) for i in range(60)}
+    index, inside = line_dedup.LineIndex(spark), set()
+    schema = "doc_id bigint, text string"
+    for turn in range(5):
+        chosen = rng.sample(sorted(texts), 25)
+        come, go = [i for i in chosen if i not in inside], [i for i in chosen if i in inside]
+        if come:
+            index.insert(spark.createDataFrame([(i, texts[i]) for i in come], schema).coalesce(1))
+        if go:
+            index.delete(spark.createDataFrame([(i,) for i in go], "doc_id bigint").coalesce(1))
+        inside = (inside | set(come)) - set(go)
+        if turn == 3:
+            index.compact()
+            assert not index.gone_steps and len(index.ref_steps) == 1
+        if turn in (1, 3, 4):
+            rows = [(i, texts[i]) for i in sorted(inside)]
+            assert as_cleaned(index.clean(spark.createDataFrame(rows, schema))) == cleaned(rows)
+            held = {bytes(r["key"]) for r in index.repeated().collect()}
+            assert {bytes(r["key"]) for r in index.probe(index.refs()).select("key").distinct().collect()} >= held
+    assert index.shards > line_dedup.LEAST_SHARDS
+
+
+def test_rows_without_an_id_are_told_apart(spark):
+    line = "a line that three documents share"
+    rows = [(1, line), (2, line), (3, line), (None, f"{line}\nmine"), (None, "yours alone, nobody else's line"), (None, f"{line}\nmine")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert as_cleaned(got) == cleaned(rows)
+    assert line_dedup.LineIndex(spark).refs().count() == 0
+
+
 def plain_fingerprint(text, n=3):
     words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     runs = [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] or ([" ".join(words)] if words else [])
