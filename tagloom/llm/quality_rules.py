@@ -12,7 +12,8 @@ order, become ``CASE WHEN ... THEN 'rule n' ...``.
 Defined cases: null and empty texts have no word and fail the base rules; a
 labelled row without a text or label teaches nothing; repeated labels count as
 often as they stand; with no labels the list is empty and only the base rules
-reject; equal gains are settled by feature name, direction and threshold.
+reject; repeated rows and rows without a doc_id are judged like any other, each
+on its own text; own columns may have any name; equal gains are settled by feature name, direction and threshold.
 """
 
 from __future__ import annotations
@@ -258,8 +259,23 @@ def _pruned(cells: DataFrame, rule: list, holds) -> list:
     return rule[:best]
 
 
-def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """``docs`` with ``_stats``, ``base_failed``, ``rule`` (the one that rejects, if any) and ``kept``; no shuffle."""
-    stats = with_statistics(docs)
+VERDICT = ["_stats", "base_failed", "rule", "kept"]
+
+
+def _judged(docs: DataFrame, rules: DecisionList) -> DataFrame:
+    """The columns of ``docs`` as ``_own_0``, ``_own_1``, ..., so that no name of theirs meets one of the verdict's."""
+    own = docs.select(*[F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(docs.columns)])
+    stats = with_statistics(own, f"_own_{docs.columns.index('text')}")
     failed, rule = base_failed(F.col("_stats")), rules.verdict(F.col("_stats"))
     return _once(stats, base_failed=failed, rule=F.when(~failed, rule)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
+    """``docs`` with ``_stats``, ``base_failed``, ``rule`` (the one that rejects, if any) and ``kept``, which replace own columns of these names; no shuffle."""
+    own = [F.col(f"_own_{i}").alias(c) for i, c in enumerate(docs.columns) if c not in VERDICT]
+    return _judged(docs, rules).select(*own, *VERDICT)
+
+
+def keep(docs: DataFrame, rules: DecisionList) -> DataFrame:
+    """The rows that are not rejected, with their own columns only, whatever their names; no shuffle."""
+    return _judged(docs, rules).filter("kept").select(*[F.col(f"_own_{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -57,6 +57,17 @@ def test_rules_are_learned_and_native(spark):
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
 
 
+def test_own_columns_named_like_the_verdict(spark, odd_docs):
+    own = ["kept", "rule", "base_failed", "_stats", "_words", "_own_0", "n_words"]
+    docs = odd_docs.withColumns({c: F.lit(f"own {c}") for c in own})
+    rules = quality_rules.DecisionList()
+    judged = quality_rules.judge(docs, rules)
+    assert judged.columns == [*[c for c in docs.columns if c not in quality_rules.VERDICT], *quality_rules.VERDICT]
+    kept = quality_rules.keep(docs, rules)
+    assert kept.columns == docs.columns and kept.count() == judged.filter("kept").count() > 0
+    assert kept.filter(" OR ".join(f"`{c}` <> 'own {c}'" for c in own)).count() == 0
+
+
 def test_rules_without_labels(spark, no_docs):
     assert quality_rules.learn(labelled(spark, 240).limit(0)).rules == []
     assert quality_rules.learn(labelled(spark, 240).filter("NOT reject")).rules == []
