@@ -63,7 +63,7 @@ def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Toxicity of each document; one in five is never learned from."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    model = toxicity.learn(*toxicity.training_rows(docs, table(spark, sf, "labels")))
+    model = toxicity.learn(toxicity.training_rows(docs, table(spark, sf, "labels")))
     scored = toxicity.score(docs.withColumn("held_out", toxicity.held_out("doc_id", 5, 0)), model).drop("text")
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 

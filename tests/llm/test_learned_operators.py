@@ -61,7 +61,7 @@ def test_document_frequencies_count_all_documents(texts):
 
 def test_toxicity_of_held_out_texts(spark, texts, odd_docs):
     labels = texts.filter("doc_id % 3 <> 1").select("doc_id", "toxic", F.lit(1).alias("quality"))
-    model = toxicity.learn(*toxicity.training_rows(texts, labels))
+    model = toxicity.learn(toxicity.training_rows(texts, labels))
     got = toxicity.score(texts, model).filter(toxicity.held_out("doc_id", 5, 0)).collect()
     assert got and np.mean([(r["score"] >= 0.5) == r["toxic"] for r in got]) > 0.95
     odd = toxicity.score(odd_docs, model).collect()
@@ -72,16 +72,66 @@ def test_toxicity_of_held_out_texts(spark, texts, odd_docs):
 def test_held_out_labels_are_not_read(spark, texts):
     labels = texts.select("doc_id", "toxic", F.lit(1).alias("quality"))
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out("doc_id", 5, 0), 1 - F.col("toxic")).otherwise(F.col("toxic")))
-    one, other = (toxicity.learn(*toxicity.training_rows(texts, x)) for x in (labels, flipped))
+    one, other = (toxicity.learn(toxicity.training_rows(texts, x)) for x in (labels, flipped))
     assert np.allclose(one.weights, other.weights) and one.bias == other.bias
 
 
+def test_five_grams_of_all_rows_are_counted(texts, odd_docs):
+    """Counts of every text, whatever the size of the fitting sample, equal a plain count."""
+    labels = texts.select("doc_id", "toxic", F.lit(1).alias("quality"))
+    given = toxicity.training_rows(texts, labels, positives=2, unlabelled=3)
+    apart = {r["doc_id"] for r in texts.filter(toxicity.held_out("doc_id", 5, 0)).collect()}
+    positives, everything = np.zeros((1 << toxicity.BITS) + 1), np.zeros((1 << toxicity.BITS) + 1)
+    for r in texts.collect():
+        if r["doc_id"] not in apart:
+            found = [*np.unique(toxicity.buckets(toxicity.code_points(r["text"]), toxicity.SIZE, toxicity.BITS)), -1]
+            everything[found] += 1
+            positives[found] += r["toxic"]
+    assert (given.positives == positives).all() and (given.unlabelled == everything).all()
+    assert given.texts.count() <= 5
+    assert toxicity.presence(odd_docs.select("text", F.lit(False).alias("positive")))[1][-1] == odd_docs.count()
+
+
+def test_a_rare_toxic_word_outside_the_sample_is_chosen(spark):
+    """Seven texts in 600 hold the word; the fit may read one of them."""
+    rng = random.Random(9)
+    rows = [(i, words(rng, "abcdeee", 20) + (" zyxwvut" if i in (7, 8, 11, 13, 17, 19, 23) else "")) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = docs.select("doc_id", F.col("text").contains("zyxwvut").cast("int").alias("toxic"))
+    given = toxicity.training_rows(docs, labels, positives=1, unlabelled=20)
+    chosen = set(toxicity.chosen_features(given.positives, given.unlabelled))
+    assert chosen >= set(toxicity.buckets(np.frombuffer("zyxwvut".encode("utf-32-le"), np.uint32), toxicity.SIZE, toxicity.BITS).tolist())
+
+
+def test_slope_of_the_risk_is_its_numeric_gradient():
+    """The slope that a step follows against differences of the risk itself."""
+    rng = np.random.default_rng(4)
+    positive = np.array([True] * 4 + [False] * 6)
+    grid = rng.integers(0, 2, (10, 3))
+    owners, columns = np.nonzero(grid)
+    share_p, share_u, prior = positive / 4, ~positive / 6, 0.3
+
+    def risk(w):
+        margin = grid @ w[:3] + w[3]
+        negative = share_u @ np.logaddexp(0, margin) - prior * (share_p @ np.logaddexp(0, margin))
+        return prior * (share_p @ np.logaddexp(0, -margin)) + negative if negative >= 0 else -negative
+
+    for scale in (0.3, 4.0):
+        for _ in range(5):
+            w = rng.normal(0, scale, 4)
+            margin = grid @ w[:3] + w[3]
+            slope, _ = toxicity.risk_slope(margin, share_p, share_u, prior)
+            got = np.append(np.bincount(columns, slope[owners], 3), slope.sum())
+            want = [(risk(w + d) - risk(w - d)) / 2e-5 for d in np.eye(4) * 1e-5]
+            assert np.allclose(got, want, atol=1e-6)
+
+
 def test_toxicity_without_positives(spark, texts, no_docs):
     labels = texts.select("doc_id", F.lit(0).alias("toxic"), F.lit(1).alias("quality"))
-    model = toxicity.learn(*toxicity.training_rows(texts, labels))
+    model = toxicity.learn(toxicity.training_rows(texts, labels))
     assert toxicity.score(texts, model).filter("score > 0.01").count() == 0
     empty = labels.limit(0)
-    assert toxicity.score(no_docs, toxicity.learn(*toxicity.training_rows(no_docs, empty))).count() == 0
+    assert toxicity.score(no_docs, toxicity.learn(toxicity.training_rows(no_docs, empty))).count() == 0
 
 
 def test_held_out_is_crc32_of_the_text(spark):
