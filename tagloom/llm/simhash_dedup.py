@@ -136,13 +136,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = BUDGET, roo
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, budget: int | None = None) -> DataFrame:
     """``docs`` without the near copies of a document of smaller doc_id; rows of one doc_id share its fate, rows without a doc_id stay.
 
-    Near copies share at least 0.8 of their shingles.  Fingerprints of such pairs
-    differ in more bits than a trie can be walked with, so they are found by
-    their shingles (``similar_sets``).
+    With a budget near copies are the documents whose fingerprints link within it
+    (:func:`near_duplicates`).  Without one they are those that share at least 0.8 of
+    their shingles: most of such pairs differ in more bits than a trie can be walked
+    with, so they are found by their shingles (``similar_sets``).
     """
-    named = similar_documents(docs, shingle)
+    if budget is None:
+        named = similar_documents(docs, shingle)
+    else:
+        named = near_duplicates(docs.filter("doc_id IS NOT NULL"), shingle, budget)
     gone = named.filter("doc_id <> component_id").select(F.col("doc_id").alias("_dup_doc")).distinct()
     return docs.join(gone, docs["doc_id"].cast("bigint") == F.col("_dup_doc"), "left_anti")

@@ -213,6 +213,42 @@ def test_one_copy_stays(odd_docs, no_docs):
     assert simhash_dedup.near_duplicates(no_docs).count() == 0
 
 
+def plain_kept(rows, n, budget):
+    """Documents that are the smallest of those their fingerprints reach within the budget."""
+    prints = [(i, simhash_dedup.fingerprint(t, n)) for i, t in rows if i is not None]
+    reach = {}
+    for i, fp in prints:
+        group, todo = {fp}, [fp]
+        while todo:
+            at = todo.pop()
+            near = {f for _, f in prints if f not in group and (f ^ at).bit_count() <= budget}
+            group |= near
+            todo += near
+        reach[i] = min(j for j, f in prints if f in group)
+    return {i for i, least in reach.items() if i == least}
+
+
+def test_pipeline_keeps_one_by_fingerprints(spark, odd_rows, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    rows = [r for r in odd_rows if r[0] is not None]
+    for _ in range(8):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        for _ in range(6):
+            words = list(base)
+            for _ in range(rng.randint(0, 2)):
+                words[rng.randrange(400)] = f"n{rng.randrange(10**6)}"
+            rows.append((500 + len(rows), " ".join(words)))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    want = plain_kept(rows, 5, corpus_pipeline.NEAR_BITS)
+    assert len(want) < len({i for i, _ in rows})
+    monkeypatch.setattr(simhash_dedup, "similar_documents", lambda *_: pytest.fail("not by fingerprints"))
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == want
+
+
 def plain_similar(rows, n=5):
     """Smallest doc_id of each document's group, by the similarity of all pairs."""
     sets, label = [], list(range(len(rows)))
