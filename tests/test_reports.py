@@ -11,7 +11,7 @@ from tagloom.operators.numbering import number_rows
 from tagloom.plans.analyze import analyze_tree, store_reports
 from tagloom.plans.report import prop_report, rule_table, usage_table
 from tagloom.sources import reports
-from tagloom.sources.files import scan_tree, split_list
+from tagloom.sources.files import read_tree, scan_tree, split_list
 from tagloom.sources.spec import read_spec, spec_packages
 
 ROWS = [
@@ -105,6 +105,28 @@ def test_tree_to_stored_reports(spark, tmp_path):
     assert summary.first()["import"].local_name == "Text"
 
 
+def test_a_tree_is_listed_and_read_by_tasks(spark, tmp_path):
+    root = tmp_path / "a tree+%41"
+    names = ["x.tsx", "a b/c+d/e%20f/ü.ts", "PROMO/y.js", "deep/PROMO.tsx", "one/two/three/four/z.jsx", "x.tsx.bak", "tsx", "one/x.TSX", ".git/x.ts",
+             "_hidden/x.ts", "_k=v/x.ts", "_x.js", "_x=y.js", ".x.js", "_metadata.js", "_metadata/x.js", "dir.js/in.js", "gone._COPYING_/x.js", "empty.js"]
+    for i, name in enumerate(names):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"" if name == "empty.js" else f"{i} \ufeffé\r\n".encode() * (i + 1))
+    (root / "latin.js").write_bytes(b"\xef\xbb\xbf\xe9\xff\n")
+    (root / "linked").symlink_to(root / "one")
+    (root / "nothing.js").symlink_to(root / "not here")
+
+    def rows(df):
+        return sorted(tuple(r) for r in df.select("file_path", F.hex("code"), F.md5("code")).collect())
+
+    listed = read_tree(spark, str(root))  # by Spark's own reader
+    assert rows(scan_tree(spark, str(root))) == rows(scan_tree(spark, f"file://{root}/")) == rows(listed)
+    assert rows(scan_tree(spark, str(root), ["PROMO"], ["js", "ts"])) == rows(
+        read_tree(spark, str(root), ["js", "ts"]).filter(~F.contains("file_path", F.lit("/PROMO/"))))
+    assert rows(scan_tree(spark, f"{root}/x.tsx")) == rows(read_tree(spark, f"{root}/x.tsx"))  # no folder
+    assert not {f.rsplit("/", 1)[1] for f in scan_tree(spark, str(root)).inputFiles()} & {n.rsplit("/", 1)[-1] for n in names}  # not in the driver's list
+
+
 def test_nested_documents(spark, tmp_path):
     imp = {"filePath": "/r/s/a.tsx", "type": "ImportSpecifier", "importType": "named", "importStm": "i", "localName": "T", "importedName": "Text"}
     use = {"name": "T", "filePath": "/r/s/a.tsx", "props": {"a": "1"}, "impObj": imp}
