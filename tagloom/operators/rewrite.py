@@ -87,7 +87,10 @@ def rewrite_files(
     joined to its text.  Either way the text is put together once.
     """
     edited = file_edits(files, packages, rules, target, mode, rename_components, compiled)
-    if not compiled:
+    if compiled:  # a generator again, so that what waits for the text to be put together is the edits and not the scan they come from
+        others = [c for c in edited.columns if c != "code"]
+        edited = each(edited, F.array(F.struct(*others)), "_row").select("code", "_row.*")
+    else:
         edited = files.select("file_path", "code").join(edited, "file_path").withColumn("statements", F.lit(None).cast(rewriting.STATEMENTS))
     code_after = rewriting.rewritten_text(F.col("code"), F.col("edits"), F.col("import"), F.col("component"), F.col("targets"), F.col("statements"))
     return edited.select(

@@ -4,7 +4,7 @@ import pyarrow as pa
 
 from tagloom.catalog.demo_rules import demo_rules
 from tagloom.functions.batches import stretches
-from tagloom.operators import extract, rewrite
+from tagloom.operators import changes, extract, rewrite
 
 
 def test_stretches_hold_every_row_once():
@@ -35,3 +35,16 @@ def test_texts_of_many_stretches_are_rewritten_whole(spark):
     for r in done:
         assert r.code_before == texts[r.file_path] and r.n_elements == texts[r.file_path].count("<Text")
         assert r.code_after.count("<Text") == r.n_elements and f'n="{r.file_path[4:-4]}"' in r.code_after
+
+
+def test_rows_that_wait_for_their_text_hold_no_scan(spark, capsys):
+    """What a rewrite holds beside the writing function is the text and its edits, not all tags of the file once more."""
+    files = spark.createDataFrame([("src/a.tsx", 'import { Text } from "@acme/ui";\n<Text size="old" />\n')], "file_path string, code string")
+    done = rewrite.rewrite_files(files, ["@acme/ui"], demo_rules(spark), "Text", compiled=True)
+    for rows in (done, changes.changed_files(done)):
+        rows.explain("formatted")
+        nodes = [node.split("\n") for node in capsys.readouterr().out.split("\n\n") if ") ArrowEvalPython\n" in node]
+        held = {"write" if "[write(" in "".join(node) else "read": next(line for line in node if line.startswith("Input")) for node in nodes}
+        assert set(held) == {"read", "write"} and "code#" in held["write"]
+        assert "scan#" not in held["write"] and " e#" not in held["write"]
+    assert [r.n_elements for r in done.collect()] == [1]
