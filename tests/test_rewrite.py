@@ -183,3 +183,20 @@ def test_compiled_rules_edit_inside_the_files_row(spark, files_of):
     assert "Exchange" not in shown and "Join" not in shown and shown.count("ArrowEvalPython [") == 2
     counted = rewrite.file_edits(files, ["old"], rules, "Text", compiled=True).filter("mutated").groupBy("package").count()
     assert counted._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+
+
+def test_moves_with_compiled_rules_group_one_row_a_file(spark):
+    document = {"old": {"Text": [{"match": [{"a": True}], **MOVE}, {"match": [{"b": True}], "importFrom": "old", "importTo": "also"}, {"match": [{"c": True}], "importTo": "no"}]}}
+    table = rules_from_document(spark, document)
+    files = spark.createDataFrame([
+        ("f", HEAD + "<Text a />\n" * 40 + "<Text b />\n<Text c />\n<Text />\n<Box a />\n"), ("none", HEAD), ("no import", "<Text a />\n"),
+        ("unread", HEAD + "<Text a /><Text a={1} =></Text>\n"), ("twice", HEAD + "<Text a />\n"), ("twice", HEAD + "<Text a />\n"),
+        (None, HEAD + "<Text b />\n"), ("empty", None),
+    ], "file_path string, code string")
+    moves = [imports.file_moves(files, ["old"], table, "Text", compiled=c) for c in (False, True)]
+    by_join, in_rows = [sorted(map(repr, m.collect())) for m in moves]
+    assert in_rows == by_join
+    assert {r.file_path: r.targets for r in moves[1].collect()} == {
+        "f": ["also", "new"], "none": [], "no import": [], "unread": [], "twice": ["new"], None: ["also"], "empty": [],
+    }
+    assert "Generate" not in moves[1]._jdf.queryExecution().optimizedPlan().toString()  # no row per tag reaches the grouping
