@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tagloom.functions import markup, rewriting
 from tagloom.functions.lets import let
 from tagloom.functions.matching import compiled_rule
-from tagloom.operators.extract import mentioning, scanned, usages
+from tagloom.operators.extract import mentioning, scanned, scanned_once, usages
 from tagloom.operators.match import match_rules
 from tagloom.operators.rows import each
 from tagloom.sources.rules import compiled_rules
@@ -82,16 +82,20 @@ def rewrite_files(
     n_elements, n_matched, n_unsupported).  Files without usages of the target,
     or without rules for it, are not listed.  A file with unread tags of the target
     keeps its import.  Compiled rules are applied inside the file's own row
-    (:func:`edits_in_rows`); otherwise usages are matched with the rules (any
+    (:func:`edits_in_rows`); otherwise the files are scanned and written once
+    (``extract.scanned_once``, unless they are its result), usages are matched with the rules (any
     number of them, see ``match_rules``), the edits of a file are gathered and
     joined to its text.  Either way the text is put together once.
     """
+    if not compiled:
+        files = scanned_once(files, packages, target)
     edited = file_edits(files, packages, rules, target, mode, rename_components, compiled)
     if compiled:  # a generator again, so that what waits for the text to be put together is the edits and not the scan they come from
         others = [c for c in edited.columns if c != "code"]
         edited = each(edited, F.array(F.struct(*others)), "_row").select("code", "_row.*")
     else:
-        edited = files.select("file_path", "code").join(edited, "file_path").withColumn("statements", F.lit(None).cast(rewriting.STATEMENTS))
+        found = F.when(F.size("scan.statements") > 0, F.col("scan.statements"))
+        edited = files.select("file_path", "code", found.alias("statements")).hint("merge").join(edited, "file_path")  # small as files, not as texts
     code_after = rewriting.rewritten_text(F.col("code"), F.col("edits"), F.col("import"), F.col("component"), F.col("targets"), F.col("statements"))
     return edited.select(
         "file_path", "package", "component", F.col("code").alias("code_before"), code_after.alias("code_after"),
@@ -116,10 +120,10 @@ def file_edits(
     """
     if compiled:
         return edits_in_rows(files, packages, rules, target, mode, rename_components)
-    used = usages(files, packages, target, spans=True)
-    matched = match_rules(used, rules, mode, keep_unmatched=True)
+    used = usages(scanned_once(files, packages, target), packages, target, spans=True)
     known = rules.select("package", F.col("component").alias("resolved")).distinct()
-    matched = matched.join(known, ["package", "resolved"], "left_semi")
+    ruled = used.join(F.broadcast(known), ["package", "resolved"], "left_semi").select(*used.columns)
+    matched = match_rules(ruled, rules, mode, keep_unmatched=True, stored=True)
     tag = {c: F.col(f"tag_{c}") for c in _TAG}
     edit = rewriting.tag_edit(tag, F.col("component"), F.col("attrs"), F.col("props"), F.col("rule"), rename_components)
     edits = matched.select("file_path", "package", "resolved", "import", "n_unread", F.when(F.col("rule").isNotNull(), edit).alias("e"))
