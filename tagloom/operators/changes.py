@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from tagloom.functions import hunks as hunk_lines
+from tagloom.functions import batches, hunks as hunk_lines
 
 
 def changed_files(rewritten: DataFrame) -> DataFrame:
@@ -49,18 +51,23 @@ def hunks(changed: DataFrame, context: int = 2) -> DataFrame:
     """Unified-diff hunks per file, one row per line, with ``context`` lines around a change.
 
     Each file is compared inside its own row, in Arrow batches; files do not
-    meet, so nothing is grouped or shuffled.
+    meet, so nothing is grouped or shuffled.  The lines of about a megabyte of
+    texts make one batch: a batch a file costs more than the comparing.
     """
-    # the helper travels with the job, so executors need no copy of the package
+    # the helpers travel with the job, so executors need no copy of the package
     cloudpickle.register_pickle_by_value(hunk_lines)
-    diff_rows = hunk_lines.diff_rows
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, old, new in zip(batch.file_path, batch.code_before, batch.code_after):
-                yield diff_rows(path, old, new, context)
-
-    return changed.select("file_path", "code_before", "code_after").mapInPandas(compare, HUNKS)
+    cloudpickle.register_pickle_by_value(batches)
+    schema, stretches, lines_of = to_arrow_schema(StructType.fromDDL(HUNKS)), batches.stretches, hunk_lines.hunk_lines
+
+    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for start, n in stretches(part.column("code_before")):
+                texts = zip(*(column.to_pylist() for column in part.slice(start, n).columns), strict=True)
+                rows = [row for path, old, new in texts for row in lines_of(path, old, new, context)]
+                columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), field.type) for c, field in zip(columns, schema, strict=True)], schema=schema)
+
+    return changed.select("file_path", "code_before", "code_after").mapInArrow(compare, HUNKS)
 
 
 def strip_blank_hunk_lines(hunk_rows: DataFrame) -> DataFrame:
